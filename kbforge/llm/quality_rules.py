@@ -35,23 +35,32 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE, -1), "")
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with a word fails a rule."""
-    n = F.size(words(line))
-    marks = F.length(line) - F.length(F.regexp_replace(line, "[|»›•]", ""))
-    symbols = F.length(line) - F.length(F.regexp_replace(line, "[#*$%&<>]", ""))
-    low = F.lower(line)
+def judged_lines(text: Column) -> Column:
+    """Array of structs (line, n, fails) of the lines that hold a word; each measure of a line is taken once."""
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    measured = F.transform(
+        lines,
+        lambda x: F.struct(
+            x.alias("line"),
+            F.lower(x).alias("low"),
+            F.size(words(x)).alias("n"),
+            (F.length(x) - F.length(F.regexp_replace(x, "[|»›•]", ""))).alias("marks"),
+            (F.length(x) - F.length(F.regexp_replace(x, "[#*$%&<>]", ""))).alias("symbols"),
+        ),
+    )
+    return F.transform(measured, lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), _fails(x).alias("fails")))
+
+
+def _fails(x: Column) -> Column:
+    line, low, n = x["line"], x["low"], x["n"]
     unended = (n < SHORT_LINE) & ~line.rlike("[.!?:;\"'»”)。！？][\\x20\\x09-\\x0D]*$")
     boilerplate = F.lit(False)
     for phrase in BOILERPLATE:
         boilerplate = boilerplate | low.contains(phrase)
-    return (
-        unended
-        | ((marks >= NAV_MARKS) & (marks >= NAV_SHARE * n))
-        | (symbols >= F.greatest(F.lit(2.0), SYMBOLS_PER_WORD * n))
-        | ((n >= SHOUT_WORDS) & (line == F.upper(line)) & (line != low))
-        | boilerplate
-    )
+    navigation = (x["marks"] >= NAV_MARKS) & (x["marks"] >= NAV_SHARE * n)
+    garbage = x["symbols"] >= F.greatest(F.lit(2.0), SYMBOLS_PER_WORD * n)
+    shouting = (n >= SHOUT_WORDS) & (line != low) & (line == F.upper(line))
+    return navigation | garbage | shouting | unended | boilerplate
 
 
 def _repeats(n: str, hashes: str, k: int) -> str:
@@ -70,32 +79,31 @@ def _repeats(n: str, hashes: str, k: int) -> str:
 def line_first_quality(docs: DataFrame, text: str = "text", keep_share: float = KEEP_SHARE) -> DataFrame:
     """docs with struct column `quality`: counts, base verdict, line counts, kept, and the cleaned text."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     own = docs.columns
-    out = docs.withColumn("_q_text", body).withColumn("_q_words", words(F.col("_q_text"))).withColumn("_q_lines", lines)
+    out = docs.withColumn("_q_text", body).withColumn("_q_words", words(F.col("_q_text"))).withColumn("_q_lines", judged_lines(F.col("_q_text")))
     out = out.withColumn("_q_hash", F.transform("_q_words", lambda w: F.xxhash64(w)))
     n = "size(_q_words)"
     window = ", ".join(f"get(_q_hash, i + {j})" for j in range(5))
     out = out.withColumn(
         "_q_win", F.expr(f"CASE WHEN {n} > 5 THEN transform(sequence(0, {n} - 5), i -> xxhash64({window})) ELSE CAST(array() AS ARRAY<BIGINT>) END")
     )
-    good = F.filter("_q_lines", lambda x: ~line_fails(x))
+    good = F.filter("_q_lines", lambda x: ~x["fails"])
     out = out.withColumn("_q_good", good).withColumn("_q_repeat", F.expr(_repeats(n, "_q_win", 5)))
-    out = out.withColumn("_q_kept", F.aggregate("_q_good", F.lit(0).cast("long"), lambda a, x: a + F.size(words(x))))
+    out = out.withColumn("_q_kept", F.aggregate("_q_good", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
     n_words = F.size("_q_words").cast("long")
     base = (n_words < 10) | (100 * F.col("_q_repeat") > 20 * n_words)
     quality = F.struct(
         n_words.alias("n_words"),
         F.length(F.array_join("_q_words", "")).cast("long").alias("word_chars"),
         (F.length("_q_text") - F.length(F.regexp_replace("_q_text", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-        (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("n_dup_lines"),
+        (F.size("_q_lines") - F.size(F.array_distinct("_q_lines.line"))).cast("long").alias("n_dup_lines"),
         F.col("_q_repeat").alias("n_repeat_words"),
         base.alias("base_failed"),
         F.size("_q_lines").cast("long").alias("n_lines"),
         F.size("_q_good").cast("long").alias("n_good_lines"),
         F.col("_q_kept").alias("n_kept_words"),
         (~base & (F.col("_q_kept") >= keep_share * n_words)).alias("kept"),
-        F.array_join("_q_good", "\n").alias("cleaned"),
+        F.array_join("_q_good.line", "\n").alias("cleaned"),
     )
     return out.select(*[F.col(f"`{c}`") for c in own], quality.alias("quality"))
 
