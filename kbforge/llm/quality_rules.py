@@ -76,36 +76,40 @@ def _repeats(n: str, hashes: str, k: int) -> str:
           a -> a.covered))[0] END"""
 
 
+def _bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column computed once a row: filters and projections above a generator aren't merged into what is below it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def line_first_quality(docs: DataFrame, text: str = "text", keep_share: float = KEEP_SHARE) -> DataFrame:
     """docs with struct column `quality`: counts, base verdict, line counts, kept, and the cleaned text."""
-    body = F.coalesce(F.col(text), F.lit(""))
     own = docs.columns
-    out = docs.withColumn("_q_text", body).withColumn("_q_words", words(F.col("_q_text"))).withColumn("_q_lines", judged_lines(F.col("_q_text")))
-    out = out.withColumn("_q_hash", F.transform("_q_words", lambda w: F.xxhash64(w)))
+    out = docs.withColumn("_q_text", F.coalesce(F.col(text), F.lit("")))
+    out = _bound(out, "_q_words", words(F.col("_q_text")))
+    out = _bound(out, "_q_lines", judged_lines(F.col("_q_text")))
+    out = _bound(out, "_q_hash", F.transform("_q_words", lambda w: F.xxhash64(w)))
     n = "size(_q_words)"
     window = ", ".join(f"get(_q_hash, i + {j})" for j in range(5))
-    out = out.withColumn(
-        "_q_win", F.expr(f"CASE WHEN {n} > 5 THEN transform(sequence(0, {n} - 5), i -> xxhash64({window})) ELSE CAST(array() AS ARRAY<BIGINT>) END")
-    )
+    out = _bound(out, "_q_win", F.expr(f"CASE WHEN {n} > 5 THEN transform(sequence(0, {n} - 5), i -> xxhash64({window})) ELSE CAST(array() AS ARRAY<BIGINT>) END"))
     good = F.filter("_q_lines", lambda x: ~x["fails"])
-    out = out.withColumn("_q_good", good).withColumn("_q_repeat", F.expr(_repeats(n, "_q_win", 5)))
-    out = out.withColumn("_q_kept", F.aggregate("_q_good", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+    out = _bound(out, "_q", F.struct(good.alias("good"), F.expr(_repeats(n, "_q_win", 5)).alias("repeat")))
+    kept = F.aggregate("_q.good", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     n_words = F.size("_q_words").cast("long")
-    base = (n_words < 10) | (100 * F.col("_q_repeat") > 20 * n_words)
+    base = (n_words < 10) | (100 * F.col("_q.repeat") > 20 * n_words)
     quality = F.struct(
         n_words.alias("n_words"),
         F.length(F.array_join("_q_words", "")).cast("long").alias("word_chars"),
         (F.length("_q_text") - F.length(F.regexp_replace("_q_text", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.size("_q_lines") - F.size(F.array_distinct("_q_lines.line"))).cast("long").alias("n_dup_lines"),
-        F.col("_q_repeat").alias("n_repeat_words"),
+        F.col("_q.repeat").alias("n_repeat_words"),
         base.alias("base_failed"),
         F.size("_q_lines").cast("long").alias("n_lines"),
-        F.size("_q_good").cast("long").alias("n_good_lines"),
-        F.col("_q_kept").alias("n_kept_words"),
-        (~base & (F.col("_q_kept") >= keep_share * n_words)).alias("kept"),
-        F.array_join("_q_good.line", "\n").alias("cleaned"),
+        F.size("_q.good").cast("long").alias("n_good_lines"),
+        kept.alias("n_kept_words"),
+        (~base & (kept >= keep_share * n_words)).alias("kept"),
+        F.array_join("_q.good.line", "\n").alias("cleaned"),
     )
-    return out.select(*[F.col(f"`{c}`") for c in own], quality.alias("quality"))
+    return _bound(out, "_q_quality", quality).select(*[F.col(f"`{c}`") for c in own], F.col("_q_quality").alias("quality"))
 
 
 def op8(docs: DataFrame) -> DataFrame:
