@@ -2,14 +2,547 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kbforge.functions import text as X
+from kbforge.functions import urls as U
+from kbforge.operators import chunk, crawl, dedup, qa, retrieval
+from kbforge.sources import html, jsonl
+from kbforge.streaming import dedup as stream
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def _long(c: str | Column) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+# Shared SQL: white space stripped or removed, hashes, pairs of turns.
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _squash(x: str) -> str:
+    return rf"regexp_replace({x}, '\s+', '', 'g')"
+
+
+def _hash(x: str, n: int) -> str:
+    return f"md5(substring({_squash(x)}, 1, {n}))"
+
+
+_PAIRS = (
+    f"p AS (SELECT u.conv_id, u.turn, {_strip('u.text')} AS question, {_strip('a.text')} AS answer FROM conversations u JOIN conversations a "
+    "ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant')"
+)
+_VALID = f"{_PAIRS}, v AS (SELECT * FROM p WHERE length(question) >= 5 AND length(answer) >= 5)"
+_QNORM = "replace(" + _squash("question") + ", '？', '?')"
+
+
+def pairs(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "conversations")
+    u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"), (F.col("turn") + 1).alias("_next"))
+    a = c.where("role = 'assistant'").select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("text").alias("answer"))
+    return u.join(a, (F.col("conv_id") == F.col("_c")) & (F.col("_next") == F.col("_t"))).select("conv_id", "turn", "question", "answer")
+
+
+# Documents: hashes, dedup, chunks, filters.
+
+
+@query(f"SELECT doc_id, {_hash('text', 12000)} AS content_hash, {_hash('text', 8000)} AS content_hash_base FROM documents")
+def content_hash(s, d):
+    t = F.col("text")
+    return table(s, d, "documents").select("doc_id", X.content_hash(t).alias("content_hash"), X.content_hash(t, 8000).alias("content_hash_base"))
+
+
+@query(f"SELECT min(doc_id) AS doc_id, h AS content_hash FROM (SELECT doc_id, {_hash('text', 8000)} AS h FROM documents WHERE length(text) >= 200) GROUP BY h")
+def dedup_content_base(s, d):
+    rows = table(s, d, "documents").where(F.length("text") >= 200).select("doc_id", X.content_hash(F.col("text"), 8000).alias("content_hash"))
+    return dedup.keep_first(rows, "content_hash", "doc_id").select("doc_id", "content_hash")
+
+
+_VERDICT = f"h AS (SELECT d.doc_id, {_hash('d.text', 12000)} AS h, coalesce(l.quality, 0) = 1 AS ok FROM documents d LEFT JOIN labels l USING (doc_id) WHERE length(d.text) >= 120)"
+_STATUS = f"{_VERDICT}, f AS (SELECT h, min(doc_id) AS f FROM h WHERE ok GROUP BY h), st AS (SELECT doc_id, CASE WHEN doc_id > f THEN 'duplicate_content' WHEN ok THEN 'kept' ELSE 'ai_content_irrelevant' END AS status FROM h LEFT JOIN f USING (h))"
+
+
+def judged(s: SparkSession, d: str) -> DataFrame:
+    labels = table(s, d, "labels").select("doc_id", (F.col("quality") == 1).alias("useful"))
+    docs = table(s, d, "documents").where(F.length("text") >= 120).select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+    return dedup.accepted_first(docs.join(labels, "doc_id", "left"), "content_hash", "doc_id", F.col("useful"))
+
+
+@query(f"WITH {_STATUS} SELECT doc_id, status FROM st")
+def dedup_content(s, d):
+    return judged(s, d).select("doc_id", "status")
+
+
+@query("SELECT doc_id, coalesce(l.quality, 0) = 1 AS useful FROM documents LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.quality, 0) = 1")
+def content_filter(s, d):
+    labels = table(s, d, "labels").select("doc_id", (F.col("quality") == 1).alias("useful"))
+    return table(s, d, "documents").select("doc_id").join(labels, "doc_id").where("useful <=> true")
+
+
+@query(f"WITH {_STATUS} SELECT count(*) AS pages, count(*) FILTER (status = 'kept') AS useful, count(*) FILTER (status <> 'kept') AS skipped FROM st")
+def crawl_summary(s, d):
+    return qa.crawl_summary(judged(s, d))
+
+
+@query(f"SELECT count(*) AS n_docs, count(DISTINCT {_hash('text', 12000)}) AS n_hashes, count(DISTINCT source) AS n_sources FROM documents")
+def state_summary(s, d):
+    rows = table(s, d, "documents").select("source", X.content_hash(F.col("text")).alias("h"))
+    return rows.agg(F.count("*").alias("n_docs"), F.count_distinct("h").alias("n_hashes"), F.count_distinct("source").alias("n_sources"))
+
+
+def _chunk_sql(size: int, overlap: int, least: int) -> str:
+    step = size - overlap
+    return (
+        f"WITH t AS (SELECT doc_id, {_strip('text')} AS t FROM documents), w AS (SELECT doc_id, t, unnest(range(0, greatest(0, ceil((length(t) - {size}) / {step}.0)::BIGINT) + 1)) AS i FROM t), "
+        f"c AS (SELECT doc_id, i, {_strip(f'substring(t, i * {step} + 1, {size})')} AS chunk FROM w) "
+        f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS chunk_id, chunk FROM c WHERE length(chunk) >= {least}"
+    )
+
+
+@query(_chunk_sql(2200, 300, 250))
+def chunk_text(s, d):
+    return chunk.chunks(table(s, d, "documents"), "doc_id", "text").withColumn("chunk_id", _long("chunk_id"))
+
+
+@query(_chunk_sql(2500, 300, 300))
+def chunk_base(s, d):
+    return chunk.chunks(table(s, d, "documents"), "doc_id", "text", 2500, 300, 300).withColumn("chunk_id", _long("chunk_id"))
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents WHERE length(text) >= 120")
+def min_length(s, d):
+    return table(s, d, "documents").where(F.length("text") >= 120).select("doc_id", _long(F.length("text")).alias("n"))
+
+
+_LINES = rf"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip(chr(114) + 'egexp_replace(x, ' + chr(39) + chr(92) + 's+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}), lambda x: length(x) >= 8)"
+
+
+@query(f"SELECT doc_id, array_to_string({_LINES}, chr(10)) AS lines FROM documents")
+def clean_lines(s, d):
+    return table(s, d, "documents").select("doc_id", F.array_join(X.clean_lines(F.col("text"), 8), "\n").alias("lines"))
+
+
+@query(f"WITH l AS (SELECT doc_id, {_LINES} AS a FROM documents) SELECT doc_id, array_to_string(list_filter(a, lambda x, i: i = 1 OR a[i - 1] <> x), chr(10)) AS lines FROM l")
+def collapse_runs(s, d):
+    rows = table(s, d, "documents").select("doc_id", F.explode(F.array(X.clean_lines(F.col("text"), 8))).alias("a"))
+    return rows.select("doc_id", F.array_join(X.collapse_runs(F.col("a")), "\n").alias("lines"))
+
+
+@query(f"SELECT doc_id, CASE WHEN length(f) > 300 THEN substring(f, 1, 300) || '...' ELSE f END AS short FROM (SELECT doc_id, {_strip('replace(text, chr(10), chr(32))')} AS f FROM documents)")
+def shorten(s, d):
+    return table(s, d, "documents").select("doc_id", X.shorten(F.col("text")).alias("short"))
+
+
+@query("SELECT source AS url, reason, min(doc_id) AS doc_id FROM (SELECT *, CASE WHEN length(text) < 120 THEN 'content_too_short' ELSE lang END AS reason FROM documents) GROUP BY ALL")
+def failure_log(s, d):
+    rows = table(s, d, "documents").select("doc_id", F.col("source").alias("url"), F.when(F.length("text") < 120, "content_too_short").otherwise(F.col("lang")).alias("reason"))
+    return dedup.failure_log(rows, "doc_id").select("url", "reason", "doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE {_hash('text', 12000)} NOT IN (SELECT {_hash('text', 12000)} FROM benchmark)")
+def anti_content(s, d):
+    known = table(s, d, "benchmark").select(X.content_hash(F.col("text")).alias("content_hash"))
+    rows = table(s, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+    return dedup.not_in_history(rows, known, ["content_hash"]).select("doc_id")
+
+
+@query(
+    f"SELECT 'content_hash' AS kind, h AS value FROM (SELECT {_hash('text', 12000)} AS h FROM documents WHERE text <> '') GROUP BY h UNION ALL SELECT DISTINCT 'url', source FROM documents"
+)
+def load_state(s, d):
+    raw = table(s, d, "documents").select(F.col("source").alias("url"), F.lit(None).cast("string").alias("content_hash"), F.col("text").alias("content"))
+    none = raw.select(F.lit("").alias("question"), F.lit("").alias("id")).where("false")
+    state = qa.load_state(raw, none)
+    return state["content_hashes"].select(F.lit("content_hash").alias("kind"), F.col("content_hash").alias("value")).unionByName(state["urls"].select(F.lit("url").alias("kind"), F.col("url").alias("value")))
+
+
+@query()
+def stream_dedup(s, d):
+    base = (s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kbforge-stream-")).rstrip("/")
+    base += f"/stream-{abs(hash((d, id(s))))}-{F.__name__ and __import__('uuid').uuid4().hex}"
+    source = f"{d}/documents.parquet"
+    schema = s.read.parquet(source).schema
+    stream.run_available(s, source if _is_dir(s, source) else f"{d}/documents.parquet*", schema, f"{base}/out", f"{base}/state")
+    return s.read.schema("content_hash string").parquet(f"{base}/out")
+
+
+def _is_dir(s: SparkSession, path: str) -> bool:
+    p = s._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+# Pages: URLs and HTML.
+
+_NORM_BASE = "regexp_replace(split_part(trim(url), '#', 1), '/+$', '')"
+_NORM = (
+    "(SELECT CASE WHEN ends_with(o, '/') AND p <> '/' THEN o[:-2] ELSE o END FROM (SELECT b || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS o, regexp_replace(b, '^[a-z]+://[^/]*', '') AS p FROM "
+    "(SELECT split_part(split_part(url, '#', 1), '?', 1) AS b, array_to_string(list_filter(string_split(split_part(split_part(url, '#', 1), '?', 2), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_') "
+    "AND NOT list_contains(['from', 'spm', 'tdsourcetag'], split_part(x, '=', 1))), '&') AS q)))"
+)
+
+
+@query(f"SELECT page_id, {_NORM_BASE} AS url FROM pages")
+def url_norm_base(s, d):
+    return table(s, d, "pages").select("page_id", U.url_norm_base(F.col("url")).alias("url"))
+
+
+@query(f"SELECT page_id, {_NORM} AS url FROM pages")
+def url_norm(s, d):
+    return table(s, d, "pages").select("page_id", U.url_norm(F.col("url")).alias("url"))
+
+
+@query(f"SELECT u AS url, min(page_id) AS page_id FROM (SELECT page_id, {_NORM} AS u FROM pages) GROUP BY u")
+def dedup_url(s, d):
+    return dedup.keep_first(table(s, d, "pages").select("page_id", U.url_norm(F.col("url")).alias("url")), "url", "page_id").select("url", "page_id")
+
+
+@query("SELECT page_id, contains(url, 'example.com') AS base, contains(lower(url), 'example.com') AS enhanced, regexp_matches(lower(url), '^[a-z]+://([^/?#]*\\.)?example\\.com([/?#]|$)') AS strict FROM pages")
+def domain_filter(s, d):
+    u, names = F.col("url"), ["example.com"]
+    return table(s, d, "pages").select("page_id", U.domain_allowed_base(u, names).alias("base"), U.domain_allowed(u, names).alias("enhanced"), U.domain_allowed(u, names, True).alias("strict"))
+
+
+@query("SELECT page_id, CASE WHEN contains(split_part(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '/', -1), '.') AND NOT ends_with(url, '.html') THEN 'unsupported_content_type' ELSE 'html' END AS route FROM pages")
+def content_route(s, d):
+    return table(s, d, "pages").select("page_id", U.content_route(F.col("url"), F.lit("")).alias("route"))
+
+
+def _plain(x: str) -> str:
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+_LINKS = (
+    "l AS (SELECT page_id, unnest(range(len(hs))) AS i, unnest(hs) AS h, unnest(ns) AS n FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1) AS hs, "
+    "regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2) AS ns FROM pages))"
+)
+
+
+def links(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "pages").select("page_id", "url", F.posexplode(html.all_links("html")).alias("i", "l"))
+    return rows.select("page_id", "url", _long("i").alias("i"), F.col("l.href").alias("href"), F.col("l.anchor").alias("anchor"))
+
+
+@query(f"WITH {_LINKS} SELECT page_id, i, {_plain('h')} AS href, {_strip(_plain('n'))} AS anchor FROM l")
+def extract_links(s, d):
+    return links(s, d).drop("url")
+
+
+@query(f"WITH {_LINKS} SELECT page_id, i, {_plain('h')} AS href FROM l WHERE i < 5")
+def link_cap(s, d):
+    first = table(s, d, "pages").select("page_id", F.posexplode(F.slice(html.all_links("html"), 1, 5)).alias("i", "l"))
+    return first.select("page_id", _long("i").alias("i"), F.col("l.href").alias("href"))
+
+
+def _any(tests: list[str]) -> str:
+    return "(" + " OR ".join(tests) + ")"
+
+
+@query(
+    f"WITH {_LINKS}, k AS (SELECT page_id, i, lower({_plain('h')}) AS u, lower({_plain('h')} || ' ' || {_strip(_plain('n'))} || ' ') AS t FROM l) SELECT page_id, i, CASE WHEN "
+    + _any([f"contains(u, '{x}')" for x in U.REJECTED_PARTS]) + " THEN false WHEN " + _any([f"ends_with(u, '{x}')" for x in U.MEDIA_ENDS]) + " THEN false WHEN "
+    + _any([f"ends_with(u, '{x}')" for x in U.DOCUMENT_ENDS]) + " THEN true WHEN " + _any([f"contains(t, '{x.lower()}')" for x in U.IMPORTANT]) + " THEN true ELSE "
+    + _any([f"contains(u, '{x}')" for x in U.MARKERS]) + " END AS useful FROM k"
+)
+def useful_links(s, d):
+    return links(s, d).select("page_id", "i", U.useful_link(F.col("href"), F.col("anchor"), F.lit("")).alias("useful"))
+
+
+@query(f"WITH {_LINKS} SELECT DISTINCT split_part(p.url, '/', 3) || {_plain('h')} AS target FROM l JOIN pages p USING (page_id) WHERE split_part(p.url, '/', 3) || {_plain('h')} NOT IN (SELECT regexp_replace(split_part({_NORM_BASE}, '?', 1), '^[a-z]+://', '') FROM pages)")
+def anti_visited(s, d):
+    rows = links(s, d).select(F.concat(U.host(F.col("url")), "href").alias("target")).distinct()
+    seen = table(s, d, "pages").select(F.regexp_replace(F.element_at(F.split(U.url_norm_base(F.col("url")), "\\?", 2), 1), "^[a-z]+://", "").alias("target"))
+    return dedup.not_in_history(rows, seen, ["target"])
+
+
+@query(f"SELECT page_id, {_strip(_plain(chr(114) + 'egexp_extract(html, ' + chr(39) + '<title>([^<]*)</title>' + chr(39) + ', 1)'))} AS title FROM pages")
+def page_titles(s, d):
+    return table(s, d, "pages").select("page_id", html.html_extract_base("html")["title"].alias("title"))
+
+
+@query()
+def html_extract_base(s, d):
+    rows = table(s, d, "pages").select("page_id", html.html_extract_base("html").alias("x"))
+    return rows.select("page_id", "x.title", "x.content")
+
+
+@query()
+def html_extract(s, d):
+    rows = table(s, d, "pages").select("page_id", html.html_extract()("html", "url").alias("x"))
+    return rows.select("page_id", "x.title", "x.content", _long(F.size("x.links")).alias("n_links"))
+
+
+@query()
+def table_rows(s, d):
+    return table(s, d, "pages").select("page_id", html.tables("html").alias("rows"))
+
+
+@query()
+def bfs_crawl(s, d):
+    """The pages' own link lists as the web: a page links to the next two ids, and every seventh fetch fails."""
+    pages = table(s, d, "pages").select("page_id")
+
+    def fetch(level: DataFrame) -> DataFrame:
+        n = F.regexp_extract("url", "([0-9]+)$", 1).cast("long")
+        to = F.array(*[F.concat(F.lit("p/"), (n * 2 + i).cast("string")) for i in (1, 2)])
+        found = level.select("url", n.alias("page_id")).join(pages, "page_id").select("url", (F.col("page_id") % 7 != 6).alias("ok"), F.when(F.col("page_id") % 7 != 6, to).otherwise(F.expr("CAST(array() AS array<string>)")).alias("links"))
+        return level.select("url").join(found, "url", "left").select("url", F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("links", F.expr("CAST(array() AS array<string>)")).alias("links"))
+
+    return crawl.bfs_crawl(s.createDataFrame([("p/0", 0)], "url string, ord long"), fetch, 4, 20)
+
+
+# Records: questions, answers, JSON.
+
+
+@query(f"WITH {_VALID} SELECT conv_id, turn, question, answer FROM v")
+def qa_valid(s, d):
+    return qa.qa_valid(pairs(s, d))
+
+
+@query(f"WITH {_VALID} SELECT conv_id, turn, {_QNORM} AS norm, md5({_QNORM}) AS id FROM v")
+def question_norm(s, d):
+    q = F.col("question")
+    return qa.qa_valid(pairs(s, d)).select("conv_id", "turn", X.question_norm(q).alias("norm"), X.question_id(F.lit(""), q).alias("id"))
+
+
+@query(f"WITH {_VALID} SELECT id, min(ord) AS ord FROM (SELECT md5({_QNORM}) AS id, conv_id * 100000 + turn AS ord FROM v) GROUP BY id")
+def dedup_question(s, d):
+    rows = qa.qa_valid(pairs(s, d)).select(X.question_id(F.lit(""), F.col("question")).alias("id"), (F.col("conv_id") * 100000 + F.col("turn")).alias("ord"))
+    return dedup.keep_first(rows, "id", "ord").select("id", "ord")
+
+
+@query(f"WITH {_VALID} SELECT conv_id, turn FROM v WHERE md5({_QNORM}) NOT IN (SELECT md5(replace({_squash('text')}, '？', '?')) FROM benchmark)")
+def anti_question(s, d):
+    known = table(s, d, "benchmark").select(X.question_id(F.lit(""), F.col("text")).alias("id"))
+    rows = qa.qa_valid(pairs(s, d)).withColumn("id", X.question_id(F.lit(""), F.col("question")))
+    return dedup.not_in_history(rows, known, ["id"]).select("conv_id", "turn")
+
+
+@query(f"WITH {_VALID} SELECT conv_id, turn, {_strip(chr(39) + '问题：' + chr(39) + ' || question || chr(10) || ' + chr(39) + '答案：' + chr(39) + ' || answer')} AS index_text FROM v")
+def index_text(s, d):
+    return qa.qa_valid(pairs(s, d)).select("conv_id", "turn", X.index_text(F.col("question"), F.col("answer")).alias("index_text"))
+
+
+@query(f"SELECT conv_id, turn, coalesce(nullif(CASE WHEN role = 'system' THEN '' ELSE {_strip('text')} END, ''), role) AS picked FROM conversations")
+def pick_first(s, d):
+    t = F.when(F.col("role") == "system", " ").otherwise(F.col("text"))
+    return table(s, d, "conversations").select("conv_id", "turn", X.pick_first(F.lit(None).cast("string"), t, F.col("role")).alias("picked"))
+
+
+@query(f"WITH {_VALID} SELECT conv_id, turn, '问题：' || question || chr(10) || '答案：' || answer || CASE WHEN turn % 2 = 0 THEN chr(10) || '类别：c' || turn ELSE '' END || chr(10) || '来源链接：u' || conv_id AS doc_text FROM v")
+def rerank_doc_text(s, d):
+    category = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("c"), F.col("turn").cast("string")))
+    text = X.rerank_doc_text(F.col("question"), F.col("answer"), F.lit(""), category, F.lit(" "), F.concat(F.lit("u"), F.col("conv_id").cast("string")))
+    return qa.qa_valid(pairs(s, d)).select("conv_id", "turn", text.alias("doc_text"))
+
+
+@query(f"WITH {_VALID} SELECT conv_id, turn, 'Instruct: find' || chr(10) || 'Query:' || question AS prompt FROM v")
+def query_prefix(s, d):
+    return qa.qa_valid(pairs(s, d)).select("conv_id", "turn", X.query_prefix("find", F.col("question")).alias("prompt"))
+
+
+_FENCED = "'```json' || chr(10) || props || chr(10) || '```'"
+
+
+@query("SELECT event_id, props AS cleaned FROM events")
+def json_clean(s, d):
+    return table(s, d, "events").select("event_id", X.json_clean(F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).alias("cleaned"))
+
+
+@query("SELECT event_id, props AS cleaned FROM events")
+def json_clean_braces(s, d):
+    return table(s, d, "events").select("event_id", X.json_clean(F.concat(F.lit("Here it is: "), "props", F.lit(" - done")), True).alias("cleaned"))
+
+
+@query("SELECT CASE WHEN l = '' THEN 'blank' WHEN json_valid(l) THEN 'ok' ELSE 'bad' END AS status, count(*) AS n FROM (SELECT CASE event_id % 10 WHEN 0 THEN '' WHEN 1 THEN substring(props, 2) ELSE props END AS l FROM events) GROUP BY 1")
+def scan_jsonl(s, d):
+    m = F.col("event_id") % 10
+    rows = table(s, d, "events").select(F.col("event_id").alias("ord"), F.when(m == 0, "").when(m == 1, F.substring("props", 2, 1_000_000)).otherwise(F.col("props")).alias("value"))
+    return jsonl.with_status(rows).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_VALID} SELECT conv_id * 100000 + turn AS id, question, answer FROM v WHERE turn % 5 <> 4")
+def load_qa_items(s, d):
+    rows = qa.qa_valid(pairs(s, d)).select((F.col("conv_id") * 100000 + F.col("turn")).alias("ord"), "turn", F.to_json(F.struct(F.col("question").alias("instruction"), F.col("answer").alias("output"))).alias("value"))
+    rows = rows.withColumn("value", F.when(F.col("turn") % 5 == 4, "{bad").otherwise(F.col("value")))
+    return jsonl.qa_items(rows).select("id", "question", "answer")
+
+
+@query(f"WITH {_VALID} SELECT conv_id, v.turn, d.source, d.lang FROM v JOIN documents d ON d.doc_id = v.conv_id")
+def qa_lineage(s, d):
+    rows = qa.qa_valid(pairs(s, d)).withColumn("source_doc_id", F.col("conv_id"))
+    return qa.qa_lineage(rows, table(s, d, "documents")).select("conv_id", "turn", "source", "lang")
+
+
+@query(
+    "WITH a AS (SELECT lang AS v, doc_id AS o FROM documents ORDER BY doc_id LIMIT 12), b AS (SELECT source AS v, min(doc_id) AS o FROM documents GROUP BY source), "
+    "u AS (SELECT v, 0 AS s, o FROM a UNION ALL SELECT v, 1, o FROM b WHERE v NOT IN (SELECT v FROM a)) SELECT v AS keyword, row_number() OVER (ORDER BY s, o) - 1 AS ord FROM u ORDER BY s, o LIMIT 20"
+)
+def keyword_union(s, d):
+    docs = table(s, d, "documents")
+    first = docs.orderBy("doc_id").limit(12).select(F.col("lang").alias("keyword"), F.col("doc_id").alias("o"))
+    return dedup.ordered_union(first, docs.select(F.col("source").alias("keyword"), F.col("doc_id").alias("o")), "keyword", "o", 20).withColumn("ord", _long("ord"))
+
+
+@query(
+    "WITH k AS (SELECT event_id, event_type = 'click' AS ok FROM events), e AS (SELECT max(event_id) AS m, count(*) AS n FROM (SELECT event_id FROM k WHERE ok ORDER BY event_id LIMIT 100)) "
+    "SELECT event_id FROM k, e WHERE n < 100 OR event_id <= m"
+)
+def page_cap(s, d):
+    return dedup.page_cap(table(s, d, "events").select("event_id", "event_type"), "event_id", F.col("event_type") == "click", 100).select("event_id")
+
+
+# Vectors: search, rerank, contexts.
+
+_DOT = "round(list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 6)"
+_HITS = (
+    "q AS (SELECT vec_id AS query_id, embedding AS qe, label AS ql FROM embeddings WHERE vec_id % 50 = 0), "
+    f"s AS (SELECT query_id, vec_id, label, ql, {_DOT.format(a='embedding', b='qe')} AS score FROM q, embeddings), "
+    "hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 30)"
+)
+_TOP = (
+    f"{_HITS}, re AS (SELECT query_id, vec_id, label, rank AS faiss_rank, round(score, 3) AS faiss_score, (label = ql)::INT::DOUBLE AS rerank_score FROM hits), "
+    "nr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, faiss_rank) AS rank FROM re), "
+    "top AS (SELECT *, 'vector ' || vec_id AS question, 'label ' || label AS answer FROM nr WHERE rank <= 5)"
+)
+
+
+@query(f"WITH s AS (SELECT e.vec_id, {_DOT.format(a='e.embedding', b='z.embedding')} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) z) SELECT row_number() OVER (ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s QUALIFY rank <= 30")
+def knn_topk(s, d):
+    items = table(s, d, "embeddings")
+    first = items.where("vec_id = 0").select("embedding").first()
+    return retrieval.knn_topk(items, first.embedding if first else []).withColumn("rank", _long("rank"))
+
+
+def hits(s: SparkSession, d: str) -> DataFrame:
+    items = table(s, d, "embeddings")
+    asked = items.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.knn_topk_batch(items, asked).withColumn("rank", _long("rank"))
+
+
+def top(s: SparkSession, d: str) -> DataFrame:
+    items = table(s, d, "embeddings").select("vec_id", "label")
+    asked = items.select(F.col("vec_id").alias("query_id"), F.col("label").alias("_ql"))
+    rows = retrieval.hit_lookup(hits(s, d), items, "vec_id").join(asked, "query_id")
+    rows = rows.withColumn("rerank_score", (F.col("label") == F.col("_ql")).cast("double"))
+    return retrieval.rerank_topn(rows).select(
+        "query_id", "vec_id", _long("rank").alias("rank"), "faiss_rank", F.round("faiss_score", 3).alias("faiss_score"), "rerank_score",
+        F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("question"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("answer"), F.lit("").alias("index_text"),
+    )
+
+
+@query(f"WITH {_HITS} SELECT query_id, rank, vec_id, score FROM hits")
+def knn_topk_batch(s, d):
+    return hits(s, d)
+
+
+@query(f"WITH {_HITS} SELECT query_id, rank, vec_id, label FROM hits")
+def hit_lookup(s, d):
+    return retrieval.hit_lookup(hits(s, d), table(s, d, "embeddings").select("vec_id", "label"), "vec_id").select("query_id", "rank", "vec_id", "label")
+
+
+@query(f"WITH {_TOP} SELECT query_id, rank, vec_id, faiss_rank, rerank_score FROM top")
+def rerank_topn(s, d):
+    return top(s, d).select("query_id", "rank", "vec_id", "faiss_rank", "rerank_score")
+
+
+@query(f"WITH {_HITS} SELECT query_id, rank, vec_id FROM hits WHERE rank <= 5")
+def topn_no_rerank(s, d):
+    return retrieval.topn_no_rerank(hits(s, d)).select("query_id", "rank", "vec_id")
+
+
+def _context_sql(block: str, between: str) -> str:
+    return f"WITH {_TOP} SELECT query_id, string_agg({block}, {between} ORDER BY rank) AS context FROM top GROUP BY query_id"
+
+
+_HEAD = "'[资料' || rank || ' | {a}' || printf('%.4f', faiss_score) || ' | Rerank分数 ' || printf('%.4f', rerank_score) || ']' || chr(10) || '问题：' || question || chr(10) || '答案：' || answer"
+
+
+@query(_context_sql(_HEAD.format(a="FAISS相似度 "), "chr(10) || chr(10)"))
+def build_context(s, d):
+    return retrieval.build_context(top(s, d))
+
+
+@query(_context_sql(_HEAD.format(a="FAISS排名 ' || faiss_rank || ' | FAISS分数 ") + " || chr(10) || '类别：c' || vec_id", "chr(10) || chr(10)"))
+def build_context_sources(s, d):
+    return retrieval.build_context_sources(top(s, d).withColumns({"category": F.concat(F.lit("c"), F.col("vec_id").cast("string")), "source_title": F.lit(""), "source_url": F.lit(None).cast("string")}))
+
+
+@query(
+    _context_sql(
+        "'[资料' || rank || ']' || chr(10) || 'FAISS 排名：' || faiss_rank || chr(10) || 'FAISS 分数：' || printf('%.4f', faiss_score) || chr(10) || 'Rerank 分数：' || printf('%.4f', rerank_score) || chr(10) || '问题：' || question || chr(10) || '答案：' || answer || chr(10)",
+        "chr(10)",
+    )
+)
+def build_context_search(s, d):
+    return retrieval.build_context_search(top(s, d))
+
+
+@query(
+    f"WITH {_TOP} SELECT query_id, 'ok' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '**参考资料 Top ' || count(*) || '：**' || chr(10) || string_agg('- [' || rank || '] ' || question || chr(10) || '  - FAISS: ' || "
+    "printf('%.4f', faiss_score) || ', Rerank: ' || printf('%.4f', rerank_score), chr(10) ORDER BY rank) AS reply FROM top GROUP BY query_id"
+)
+def answer_with_sources(s, d):
+    best = top(s, d)
+    return retrieval.answer_with_sources(best, best.select("query_id").distinct().withColumn("answer", F.lit("ok")))
+
+
+@query(
+    f"WITH {_VALID} SELECT conv_id, turn, '{retrieval.SYSTEM}' AS system_text, replace('{retrieval.USER_HEAD}', '\\n', chr(10)) || answer || replace('{retrieval.USER_MIDDLE}', '\\n', chr(10)) || question || replace('{retrieval.USER_TAIL}', '\\n', chr(10)) AS user_text FROM v"
+)
+def chat_messages(s, d):
+    rows = qa.qa_valid(pairs(s, d)).select("conv_id", "turn", retrieval.chat_messages(F.col("question"), F.col("answer")).alias("m"))
+    return rows.select("conv_id", "turn", F.col("m")[0]["content"].alias("system_text"), F.col("m")[1]["content"].alias("user_text"))
+
+
+_SQUARES = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
+
+
+@query(f"SELECT vec_id, round({_SQUARES}, 6) AS norm, round(embedding[1]::DOUBLE / {_SQUARES}, 6) AS first_value FROM embeddings")
+def l2_normalize(s, d):
+    e = F.col("embedding")
+    return table(s, d, "embeddings").select("vec_id", F.round(retrieval.l2_norm(e), 6).alias("norm"), F.round(retrieval.l2_normalize(e)[0], 6).alias("first_value"))
+
+
+@query(f"SELECT a.vec_id, {_DOT.format(a='a.embedding', b='b.embedding')} AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine_sim(s, d):
+    a = table(s, d, "embeddings").select("vec_id", "embedding")
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return a.join(b, "vec_id").select("vec_id", F.round(retrieval.dot(F.col("embedding"), F.col("other")), 6).alias("score"))
+
+
+@query("SELECT vec_id, round(CASE WHEN label = 0 THEN embedding[-1] ELSE embedding[label + 1] END::DOUBLE, 6) AS pooled FROM embeddings")
+def last_token_pool(s, d):
+    mask = F.transform("embedding", lambda x, i: F.when(i <= F.col("label"), 1).otherwise(0))
+    return table(s, d, "embeddings").select("vec_id", F.round(retrieval.last_token_pool(F.col("embedding"), mask, F.col("label") == 0).cast("double"), 6).alias("pooled"))
