@@ -170,15 +170,16 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     spans = find(docs, text)
     spans = spans.where("size(base) + size(added) > 0").select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_hash"), F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_spans"))
     spans = spans.dropDuplicates(["_doc_id", "_hash"])
-    t = F.col(text)
-    joined = docs.join(spans, (docs["doc_id"] == F.col("_doc_id")) & (F.xxhash64(docs[text]) == F.col("_hash")), "left")
+    t = F.col("_text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.col(text).alias("_text"))
+    joined = rows.join(spans, F.col("_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("_text") == F.col("_hash")), "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(
         F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(t, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"))
     )
     rest = lambda a: F.concat(a["out"], F.substring(t, (a["at"] + 1).cast("int"), F.length(t)))
     clean = F.when(F.col("_spans").isNull(), t).otherwise(F.aggregate("_spans", start, step, rest))
-    return joined.select(*[clean.alias(c) if c == text else docs[c] for c in docs.columns])
+    return joined.select(*[clean.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -82,9 +82,9 @@ def _bound(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def line_first_quality(docs: DataFrame, text: str = "text", keep_share: float = KEEP_SHARE) -> DataFrame:
-    """docs with struct column `quality`: counts, base verdict, line counts, kept, and the cleaned text."""
-    own = docs.columns
-    out = docs.withColumn("_q_text", F.coalesce(F.col(text), F.lit("")))
+    """docs with struct column `quality`: counts, base verdict, line counts, kept, and the cleaned text. An input column of that name gives way."""
+    own = [c for c in docs.columns if c != "quality"]
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_q_text"))
     out = _bound(out, "_q_words", words(F.col("_q_text")))
     out = _bound(out, "_q_lines", judged_lines(F.col("_q_text")))
     out = _bound(out, "_q_hash", F.transform("_q_words", lambda w: F.xxhash64(w)))
@@ -109,7 +109,7 @@ def line_first_quality(docs: DataFrame, text: str = "text", keep_share: float =
         (~base & (kept >= keep_share * n_words)).alias("kept"),
         F.array_join("_q.good.line", "\n").alias("cleaned"),
     )
-    return _bound(out, "_q_quality", quality).select(*[F.col(f"`{c}`") for c in own], F.col("_q_quality").alias("quality"))
+    return _bound(out, "_q_quality", quality).select(*[F.col("_row")[c].alias(c) for c in own], F.col("_q_quality").alias("quality"))
 
 
 def op8(docs: DataFrame) -> DataFrame:
