@@ -14,14 +14,19 @@ from kbforge.llm import near_dedup, packing, pii, quality_rules, substring_dedup
 from kbforge.llm.scratch import written
 
 
-def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
-    docs = docs.withColumn("text", text)
-    return docs.withColumn("n_chars", F.length("text").cast("bigint")).select(*columns)
+def _with_text(rows: DataFrame, columns: list[str], text) -> DataFrame:
+    """Rows with the whole document in column _row to documents with another text."""
+    new = {"text": text, "n_chars": F.length(text).cast("bigint")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in columns])
+
+
+def _whole(docs: DataFrame):
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line-first rules reject go; failing lines of the others are removed."""
-    judged = quality_rules.line_first_quality(docs).where("quality.kept")
+    judged = quality_rules.line_first_quality(docs.select("doc_id", "text", _whole(docs))).where("quality.kept")
     same = F.col("quality.n_good_lines") == F.col("quality.n_lines")
     return _with_text(judged, docs.columns, F.when(same, F.col("text")).otherwise(F.col("quality.cleaned")))
 
@@ -35,12 +40,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur elsewhere are cut out of every document that holds them."""
     cut = substring_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
-    return _with_text(docs.join(cut, "doc_id", "left"), docs.columns, F.coalesce("kept_text", "text"))
+    rows = docs.select("doc_id", "text", _whole(docs)).join(cut, "doc_id", "left")
+    return _with_text(rows, docs.columns, F.coalesce("kept_text", "text"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets give way to their kind in angle brackets."""
-    return _with_text(pii.redact(docs), docs.columns, F.col("text"))
+    return _with_text(pii.redact(docs.select("doc_id", "text", _whole(docs))), docs.columns, F.col("text"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
