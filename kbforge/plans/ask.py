@@ -17,7 +17,9 @@ def build_index(items: DataFrame, path: str, embed: Callable, model_name: str =
     """items(id, question, answer, index_text, raw) with vectors to path/items, and one row of facts to path/meta."""
     if items.isEmpty():
         raise ValueError("no items to index")
-    vectors = items.withColumn("embedding", retrieval.l2_normalize(embed(F.col("index_text"))).cast("array<float>"))
+    # the generator keeps the model's call out of the expressions above it
+    vectors = items.select("*", F.explode(F.array(embed(F.col("index_text")))).alias("_v"))
+    vectors = vectors.withColumn("embedding", retrieval.l2_normalize(F.col("_v")).cast("array<float>")).drop("_v")
     vectors.write.mode("overwrite").parquet(f"{path}/items")
     written = items.sparkSession.read.parquet(f"{path}/items")
     meta = written.agg(F.count("*").alias("num_items"), F.max(F.size("embedding")).alias("dimension"))
