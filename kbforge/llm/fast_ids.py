@@ -2,7 +2,8 @@
 
 A byte-level BPE encodes each pre-token by itself, and a single space between two other characters always starts a
 pre-token. So a text falls apart at its single spaces, and a piece seen before need not be encoded again: the ids of a text are
-the remembered ids of its pieces. Texts in which a space touches other white space are encoded in one call.
+the remembered ids of its pieces. Texts in which a space touches other white space, or with
+characters outside the oldest ranges of Unicode, are encoded in one call.
 Pieces are encoded by the library's own BPE model, behind its byte alphabet, each pre-token of the piece separately.
 """
 
@@ -11,15 +12,20 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces and pre-tokens that one worker remembers at most.
-REMEMBERED = 400_000
-_ADJACENT = re.compile(r"\s | \s")
+#: Pieces and pre-tokens that one worker remembers at most (some 200 bytes each).
+PIECES, TOKENS = 700_000, 400_000
+#: A letter run and one of these are two pre-tokens.
+_CLOSING = frozenset(",.;:!?")
+#: Outside these ranges, letter tables of different Unicode versions could differ: such texts go to the library whole.
+_UNSURE = re.compile("[^\x00-\u052f\u2000-\u206f]")
+_BEFORE, _AFTER = re.compile(r"\s "), re.compile(r" \s")
 
 
 def _byte_alphabet() -> list[str]:
@@ -47,7 +53,7 @@ class Reader:
             self.tokenizer = Tokenizer.from_str(text := f.read())
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         spec = json.loads(text)
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.dtype, self.code = (np.uint16, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
         # pieces may be taken apart only where pre-tokens are split by the pattern and nothing else changes the text
         pre = spec.get("pre_tokenizer") or {}
         self.separable = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec["model"]["type"] == "BPE"
@@ -56,31 +62,41 @@ class Reader:
         self.pieces: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
 
+    def _bpe(self, word: str) -> bytes:
+        """Ids of one pre-token."""
+        shown = word.encode().decode("latin-1").translate(_ALPHABET)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _token(self, word: str) -> bytes:
         found = self.tokens.get(word)
         if found is None:
-            shown = word.encode().decode("latin-1").translate(_ALPHABET)
-            found = np.array([t.id for t in self.model.tokenize(shown)], self.dtype).tobytes()
-            if len(self.tokens) < REMEMBERED:
+            found = self._bpe(word)
+            if len(self.tokens) < TOKENS:
                 self.tokens[word] = found
         return found
 
     def _piece(self, piece: str) -> bytes:
-        found = b"".join(map(self._token, self.pattern.findall(piece)))
-        if len(self.pieces) < REMEMBERED and len(piece) < 64:
+        """Ids of a piece behind its space; remembered without the space."""
+        if piece.isalpha():
+            found = self._bpe(" " + piece)
+        elif piece[-1:] in _CLOSING and piece[:-1].isalpha():
+            found = (self.pieces.get(piece[:-1]) or self._piece(piece[:-1])) + self._token(piece[-1])
+        else:
+            found = b"".join(map(self._token, self.pattern.findall(" " + piece)))
+        if len(self.pieces) < PIECES and len(piece) < 64:
             self.pieces[piece] = found
         return found
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian integers of self.dtype."""
-        if not self.separable or _ADJACENT.search(text):
+        if not self.separable or _UNSURE.search(text) or _AFTER.search(text) or _BEFORE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        get, piece = self.pieces.get, self._piece
-        first, *rest = text.split(" ")
-        out = [piece(first)] if first else []
-        for x in rest:
-            x = " " + x
-            out.append(get(x) or piece(x))
+        pieces = text.split(" ")
+        out = list(map(self.pieces.get, pieces))
+        out[0] = b"".join(map(self._token, self.pattern.findall(pieces[0])))
+        for i, x in enumerate(out):
+            if x is None:
+                out[i] = self._piece(pieces[i])
         return b"".join(out)
 
 
