@@ -64,7 +64,7 @@ class Reader:
 
     def _bpe(self, word: str) -> bytes:
         """Ids of one pre-token."""
-        shown = word.encode().decode("latin-1").translate(_ALPHABET)
+        shown = word.translate(_ALPHABET) if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET)
         return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _token(self, word: str) -> bytes:
@@ -78,7 +78,7 @@ class Reader:
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece behind its space; remembered without the space."""
         if piece.isalpha():
-            found = self._bpe(" " + piece)
+            found = array(self.code, [t.id for t in self.model.tokenize(_ALPHABET[32] + piece)]).tobytes() if piece.isascii() else self._bpe(" " + piece)
         elif piece[-1:] in _CLOSING and piece[:-1].isalpha():
             found = (self.pieces.get(piece[:-1]) or self._piece(piece[:-1])) + self._token(piece[-1])
         else:
