@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kbforge.functions import text as X
 from kbforge.functions import urls as U
 from kbforge.operators import chunk, crawl, dedup, qa, retrieval
+from kbforge.scratch import shared_dir
 from kbforge.sources import html, jsonl
 from kbforge.streaming import dedup as stream
 
@@ -188,11 +189,11 @@ def load_state(s, d):
 
 @query()
 def stream_dedup(s, d):
-    base = (s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kbforge-stream-")).rstrip("/")
-    base += f"/stream-{abs(hash((d, id(s))))}-{F.__name__ and __import__('uuid').uuid4().hex}"
+    base = f"{shared_dir(s)}/kbforge-stream-{uuid.uuid4().hex}"
     source = f"{d}/documents.parquet"
     schema = s.read.parquet(source).schema
-    stream.run_available(s, source if _is_dir(s, source) else f"{d}/documents.parquet*", schema, f"{base}/out", f"{base}/state")
+    # a stream reads a folder or a pattern
+    stream.run_available(s, source if _is_dir(s, source) else f"{source}*", schema, f"{base}/out", f"{base}/state")
     return s.read.schema("content_hash string").parquet(f"{base}/out")
 
 
@@ -372,9 +373,6 @@ def query_prefix(s, d):
     return qa.qa_valid(pairs(s, d)).select("conv_id", "turn", X.query_prefix("find", F.col("question")).alias("prompt"))
 
 
-_FENCED = "'```json' || chr(10) || props || chr(10) || '```'"
-
-
 @query("SELECT event_id, props AS cleaned FROM events")
 def json_clean(s, d):
     return table(s, d, "events").select("event_id", X.json_clean(F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).alias("cleaned"))

@@ -38,11 +38,10 @@ def failure_log(failures: DataFrame, order: str, history: DataFrame | None = Non
     return not_in_history(out, history, ["url", "reason"]) if history is not None else out
 
 
-def page_cap(rows: DataFrame, order: str, success: Column, cap: int, bucket: str | None = None) -> DataFrame:
-    """Rows up to the cap-th success in order. Successes are counted by range buckets first, then within the one that holds the
-    cap-th, so no window spans the table."""
+def page_cap(rows: DataFrame, order: str, success: Column, cap: int) -> DataFrame:
+    """Rows up to the cap-th success in order. The cap-th is found by a top-k over the successes, so no window spans the table."""
     marked = rows.withColumn("_ok", success.eqNullSafe(F.lit(True)))
-    hit = marked.where("_ok").select(order).orderBy(order).limit(cap)  # a top-k: the cap is the feature
+    hit = marked.where("_ok").select(order).orderBy(order).limit(cap)
     edge = hit.agg(F.max(order).alias("_edge"), F.count("*").alias("_n"))
     return marked.join(F.broadcast(edge), (F.col("_n") < cap) | (F.col(order) <= F.col("_edge"))).select(*rows.columns)
 
