@@ -20,7 +20,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces and pre-tokens that one worker remembers at most (some 200 bytes each).
-PIECES, TOKENS = 700_000, 400_000
+PIECES, TOKENS = 1_200_000, 200_000
 #: A letter run and one of these are two pre-tokens.
 _CLOSING = frozenset(",.;:!?")
 #: Outside these ranges, letter tables of different Unicode versions could differ: such texts go to the library whole.

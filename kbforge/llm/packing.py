@@ -42,6 +42,7 @@ def _cut(tokenizer_path: str, pattern: str, window: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = fast_ids.reader(tokenizer_path, pattern)
         frequency = np.zeros(reader.tokenizer.get_vocab_size() + 1, np.int64)
+        held = np.zeros(len(frequency), bool)
         n_docs = n_tokens = 0
         end = np.array([END_ID], reader.dtype).tobytes()
         for batch in batches:
@@ -51,7 +52,10 @@ def _cut(tokenizer_path: str, pattern: str, window: int, with_ids: bool):
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     raw = reader.ids(text or "") + end
                     ids = np.frombuffer(raw, reader.dtype)
-                    frequency[np.unique(ids)] += 1
+                    held[ids] = True
+                    own = np.flatnonzero(held)
+                    frequency[own] += 1
+                    held[own] = False
                     n_docs, n_tokens = n_docs + 1, n_tokens + len(ids)
                     whole = len(ids) // window * window
                     for a in range(0, whole, window):
@@ -84,7 +88,8 @@ class Index:
             terms.append(t.astype(np.int64))
             owner.append(np.full(len(t), i))
             tf.append(c)
-            self.queries.append(t[np.argsort(-idf[t], kind="stable")].astype(np.int64))
+            self.queries.append(t.astype(np.int64))
+        self.idf = idf
         self.n = len(docs)
         term, doc, count = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (terms, owner, tf))
         length = np.array([len(d) for d in docs], np.float64)
@@ -97,6 +102,7 @@ class Index:
     def scores(self, i: int) -> np.ndarray:
         """BM25 of every left-over for the rarest tokens of left-over i that another one has too."""
         q = self.queries[i]
+        q = q[np.argsort(-self.idf[q], kind="stable")]
         size = self.at[q + 1] - self.at[q]
         q = q[size > 1][:QUERY]
         if not len(q):
