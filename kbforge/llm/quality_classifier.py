@@ -75,7 +75,7 @@ def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def train(rows: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[float, bytes, bytes]]) -> tuple[np.ndarray, float]:
     """FTRL-proximal over (label, keys, values); returns weights and bias. The last coordinate is the bias."""
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
@@ -101,9 +101,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int = MAX_
         .orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_labelled)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
-    found = rows.mapInArrow(featurize, "doc_id bigint, y double, keys binary, vals binary").collect()
-    found.sort(key=lambda r: (kernel.mix(np.array([r.doc_id], np.int64).view(np.uint64))[0], r.y))
-    return train([(r.y, r["keys"], r.vals) for r in found])
+    found = rows.mapInArrow(featurize, "doc_id bigint, y double, keys binary, vals binary").toArrow()
+    order = np.lexsort((found.column("y").to_numpy(), kernel.mix(found.column("doc_id").to_numpy().view(np.uint64))))
+    ys, keys, values = found.column("y").to_pylist(), found.column("keys"), found.column("vals")
+    return train([(ys[i], keys[int(i)].as_buffer(), values[int(i)].as_buffer()) for i in order])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:

@@ -1,46 +1,5 @@
-"""Lineage cuts: tables written to the shared folder that the cluster names in spark.checkpoint.dir."""
+"""Lineage cuts of this subpackage: kbforge.scratch."""
 
-from __future__ import annotations
+from kbforge.scratch import drop_written, shared_dir, written
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests on one machine), a temporary folder that is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="kbforge-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, computed once and read back from shared storage; survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kbforge-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written() -> None:
-    """Deletes every table written so far: call when no result of this library is read any more."""
-    while _written:
-        spark, path = _written.pop()
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _clean() -> None:
-    try:
-        drop_written()
-    except Exception:  # the JVM has gone before Python: the folder's owner clears it
-        _written.clear()
+__all__ = ["drop_written", "shared_dir", "written"]
