@@ -10,7 +10,8 @@ confirmed on the full sets. Documents with the same set are one class throughout
 After the first pass, keys of large groups that still hold different components are gone through again: first with the
 document that shares the most keys with others in front (the original of a group of edited copies), then in random orders
 by chunks, in which each document proposes the ones of other components that its registers put nearest, until a round confirms
-nothing new.
+nothing new. These rounds only save work: keys that are still mixed then are settled in full, block by block, every pair of
+different components being tested that the registers don't rule out by MARGIN standard errors.
 
 Null text or text without words: set size 0, a component of its own. Repeated rows of one doc_id count as one document.
 Ties: the smallest doc_id is kept. Other columns are ignored; an empty table gives an empty table.
@@ -34,6 +35,8 @@ BANDS, ROWS = 32, 4
 SMALL = 5
 #: Rows of a mixed key whose registers are compared with one another at a time, best partners that a row then proposes, and rounds.
 CHUNK, BEST, ROUNDS = 256, 4, 3
+#: Rows of a mixed key in one block on average, when all blocks are compared with one another.
+BLOCK = 2048
 #: Ids of candidates that are broadcast at most (a few dozen MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Standard errors by which an estimate may fall short of the threshold.
@@ -252,6 +255,58 @@ def _proposals(rows: DataFrame, sketches: DataFrame, seed: int, threshold: float
     return full.drop("ord").mapInArrow(_nearest(threshold - 0.11), "a bigint, b bigint").distinct()
 
 
+def _agreeing(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of equal full registers and of registers full in one at least, for all pairs of rows."""
+    same = np.zeros((len(a), len(b)), np.int16)
+    for x, y in zip(a.T, b.T):
+        same += x[:, None] == y[None, :]
+    empty = ((a == 0xFFFF).astype(np.float32) @ (b == 0xFFFF).astype(np.float32).T).astype(np.int16)
+    return same - empty, M - empty
+
+
+def _between(threshold: float, percent: int):
+    """Rows of two blocks (i, j) of a key to all pairs (a, b) of different components that their registers leave plausible."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rep, comp, n, block = (rows.column(c).to_numpy() for c in ("rep", "component", "n_shingles", "block"))
+        found = [np.zeros((2, 0), np.int64)]
+        if (comp != comp[0]).any():
+            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, M)
+            order = np.lexsort((n, comp))
+            i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+            left, right = order[block[order] == i], order[block[order] == j]
+            for at in range(0, len(left), CHUNK):
+                x = left[at : at + CHUNK]
+                for to in range(at if i == j else 0, len(right), CHUNK):
+                    y = right[to : to + CHUNK]
+                    ok = comp[x][:, None] != comp[y][None, :]
+                    ok &= 100 * np.minimum(n[x][:, None], n[y][None, :]) >= percent * np.maximum(n[x][:, None], n[y][None, :])
+                    if not ok.any():
+                        continue
+                    same, used = _agreeing(sketch[x], sketch[y])
+                    used = np.maximum(used, 1)
+                    ok &= same / used + MARGIN * np.sqrt(0.25 / used) >= threshold
+                    u, v = np.nonzero(ok)
+                    for part in range(0, len(u), 10_000):
+                        a, b = x[u[part : part + 10_000]], y[v[part : part + 10_000]]
+                        value, error = estimate(sketch[a], sketch[b], n[a].astype(np.float64), n[b].astype(np.float64))
+                        near = value + MARGIN * error >= threshold
+                        found.append(np.stack([np.minimum(rep[a], rep[b])[near], np.maximum(rep[a], rep[b])[near]]))
+        ab = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.table({"a": ab[0], "b": ab[1]})
+
+    return run
+
+
+def _all_across(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Every plausible pair of different components under each key. A key's rows are dealt into blocks, and each pair of blocks is one group."""
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    dealt = dealt.join(sketches.select(F.col("doc_id").alias("rep"), "sketch"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n_shingles", "sketch")
+    return dealt.groupBy("key", "i", "j").applyInArrow(_between(percent / 100, percent), "a bigint, b bigint").distinct()
+
+
 def _plausible(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,26 +367,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     # how often a document of a large group meets others under a key: originals of edited copies come first
     weight = open_rows.groupBy("key").agg(F.count("*").alias("size")).join(open_rows, "key").groupBy("rep").agg(F.sum("size").alias("weight"))
     open_rows = written(open_rows.join(weight, "rep"), "nd-open")
-    for round_ in range(ROUNDS):
+
+    def still_mixed() -> tuple[DataFrame, DataFrame]:
         labels = written(graph.components(links, "nd-cc"), "nd-label")
         linked = open_rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n_shingles", "weight", F.coalesce("component", "rep").alias("component"))
         mixed = linked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        left = written(linked.join(mixed.select("key"), "key", "left_semi"), "nd-mixed")
-        if left.isEmpty():
-            break
+        return labels, written(linked.join(mixed.select("key"), "key", "left_semi"), "nd-mixed")
+
+    labels, left = still_mixed()
+    round_ = 0
+    while not left.isEmpty():
+        last = round_ == ROUNDS
         if round_ == 0:
             more = _candidates(left, "nd-pair", -F.col("weight"), True)[0]
-        else:
+        elif not last:
             more = _proposals(left, reps, round_, percent / 100)
-        more = more.join(tested, ["a", "b"], "left_anti")
-        more = written(more, "nd-tested")
+        else:
+            more = _all_across(left, reps, percent)
+        more = written(more.join(tested, ["a", "b"], "left_anti"), "nd-tested")
         new = _verify(more, None if round_ else reps, base, "text", k, percent, "nd-link")
         tested = tested.unionByName(more)
-        if round_ and new.isEmpty():
+        nothing = new.isEmpty()
+        if not nothing:
+            links = links.unionByName(new)
+            labels, left = still_mixed()
+        if last:
             break
-        links = links.unionByName(new)
-    else:
-        labels = written(graph.components(links, "nd-cc"), "nd-label")
+        round_ = ROUNDS if round_ and nothing else round_ + 1
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = member.where("rep = doc_id").select("rep").distinct().join(labels.withColumnRenamed("node", "rep"), "rep").join(degree, "rep", "left")
     out = member.join(named, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

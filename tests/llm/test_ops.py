@@ -150,6 +150,27 @@ def test_near_dedup(spark, docs, empty):
     assert near_dedup.op6(empty).count() == 0 and near_dedup.op6(docs.where("doc_id = 1")).first().component_id == 1
 
 
+def test_near_dedup_settles_large_groups(spark, monkeypatch):
+    words = prose(100, 51).split()
+    words = [f"{w}{i}" for i, w in enumerate(words)]
+    rows, r = [], np.random.default_rng(9)
+    for g in range(60):  # pairs of versions of one template, each like its partner alone
+        own = list(words)
+        for j in r.choice(np.arange(5, 95, 5), 3, False):
+            own[j] = f"group{g}x{j}"
+        for m in range(2):
+            w = list(own)
+            w[2 if m else 97] = f"member{g}x{m}"
+            rows.append((2 * g + m, " ".join(w)))
+    sets, comp = components(rows, 4)
+    assert len(set(comp.values())) == 60
+    # one key for all, and what saves work held so small that it can't decide
+    for name, value in (("band_keys", lambda regs: np.array([7], np.int64)), ("ROUNDS", 1), ("CHUNK", 8), ("BEST", 1), ("BLOCK", 16)):
+        monkeypatch.setattr(near_dedup, name, value, raising=False)
+    got = by_id(near_dedup.op6(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: x.component_id for i, x in got.items()} == comp
+
+
 def test_hyperminhash_estimate():
     r = np.random.default_rng(1)
     for n, shared in ((40, 36), (3000, 2500), (500, 100)):
