@@ -3,8 +3,7 @@
 Counts of all training words are exact and cover the corpus. The most frequent ones are the vocabulary of the recurrent
 model; any other word is its symbol TAIL times a static share: absolute discounting over the counts of all other training words,
 the discounted mass going to unknown words as one event. So the model's events are those of the base: V known tokens and one unknown.
-The recurrent weights are trained by every partition on its share of the documents, then averaged, in ROUNDS rounds; the
-training share is a fixed fraction of the training documents (TRAIN_EVERY), so it grows with the input.
+The recurrent weights are trained by every partition on all its training documents, then averaged, in ROUNDS rounds.
 
 Null or empty text: the end token alone. No training documents: every word is unknown, scores stay finite. Repeated rows
 are scored alike and count as often as they stand. A null doc_id is neither held out nor trained on. Other columns are
@@ -25,8 +24,8 @@ from kbforge.llm.scratch import written
 
 #: Words of the recurrent model; words whose counts travel to every task (bounds on what is broadcast).
 VOCABULARY, HEAD = 2046, 65_536
-#: One in so many training documents trains the recurrent weights; rounds of training and averaging.
-TRAIN_EVERY, ROUNDS = 8, 3
+#: One in so many training documents trains the recurrent weights (1: all of them); rounds of training and averaging.
+TRAIN_EVERY, ROUNDS = 1, 3
 _MERGE_AT = 1 << 21
 #: Words whose documents a task scores side by side.
 SIDE_BY_SIDE = 4_000_000

@@ -362,6 +362,13 @@ def test_lm_scoring(docs, empty):
     assert lm_scoring.op1(empty).count() == 0
 
 
+def test_lm_trains_on_all_documents(docs, monkeypatch):
+    seen, real = [], lm_scoring._round
+    monkeypatch.setattr(lm_scoring, "_round", lambda share, *rest: seen.append(share.count()) or real(share, *rest))
+    lm_scoring.op1(docs)
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in ROWS)] * lm_scoring.ROUNDS
+
+
 def test_lm_beats_base_on_held_out_text(spark, sf):
     held = lm_scoring.op1(spark.read.parquet(f"{sf}/documents.parquet")).where("held_out").collect()
     assert len(held) > 10 and sum(x.score for x in held) > 0.9 * sum(x.base_score for x in held)
