@@ -2,8 +2,8 @@
 
 Every document is its token ids and an end id. Whole windows are cut off its front; what is left waits in a shard, dealt by
 a hash of doc_id, with an inverted BM25 index over the shard's left-overs. Document frequencies and the mean length cover the whole
-corpus. Each seed, in order of doc_id, asks the index for its neighbours by its rarest tokens; unused ones fill the
-seed's window greedily, best first, the last one cut where the window is full, its rest staying in the pool. Where
+corpus. Each seed, in order of doc_id, asks the index for its neighbours by all its tokens; unused ones fill the
+seed's window greedily, best first and down to the last that scores above 0, the last one cut where the window is full, its rest staying in the pool. Where
 no neighbour is left, the next unused left-over in order follows. Only the last window of a shard can be short.
 
 Null or empty text: the end id alone. Repeated rows are packed as often as they stand; ties in score go to the smaller
@@ -24,8 +24,8 @@ from kbforge.llm import fast_ids
 from kbforge.llm.scratch import written
 
 WINDOW, END_ID = 1024, 0
-#: Documents of a shard on average; BM25 parameters; tokens of a query; neighbours looked at a time.
-SHARD, K1, B, QUERY, NEIGHBOURS = 2048, 1.2, 0.75, 16, 16
+#: Documents of a shard on average; BM25 parameters.
+SHARD, K1, B = 2048, 1.2, 0.75
 
 _CUT = "kind int, doc_id bigint, start bigint, length bigint, doc_tokens bigint, crc bigint, ids binary"
 _NAMES = ["kind", "doc_id", "start", "length", "doc_tokens", "crc", "ids"]
@@ -100,14 +100,10 @@ class Index:
         self.at = np.searchsorted(term, np.arange(len(idf) + 1))
 
     def scores(self, i: int) -> np.ndarray:
-        """BM25 of every left-over for the rarest tokens of left-over i that another one has too."""
+        """BM25 of every left-over for all tokens of left-over i."""
         q = self.queries[i]
-        q = q[np.argsort(-self.idf[q], kind="stable")]
         size = self.at[q + 1] - self.at[q]
-        q = q[size > 1][:QUERY]
-        if not len(q):
-            return np.zeros(self.n)
-        rows = np.concatenate([np.arange(self.at[t], self.at[t + 1]) for t in q])
+        rows = np.repeat(self.at[q] - np.cumsum(size) + size, size) + np.arange(size.sum())
         return np.bincount(self.doc[rows], self.weight[rows], self.n)
 
 
@@ -136,10 +132,9 @@ def fill(lengths: list[int], index: Index, window: int) -> list[list[tuple[int,
         if room:
             s = index.scores(seed)
             s[~free] = 0
-            best = np.argpartition(-s, min(NEIGHBOURS, len(s) - 1))[:NEIGHBOURS]
-            best = best[np.lexsort((best, -s[best]))]
-            for i in best.tolist():
-                if not room or s[i] <= 0:
+            best = np.flatnonzero(s > 0)
+            for i in best[np.argsort(-s[best], kind="stable")].tolist():
+                if not room:
                     break
                 take(i)
         after = cursor

@@ -276,6 +276,19 @@ def test_packing_takes_neighbours():
     assert packing.fill([40] * 4, packing.Index(docs, idf, 40.0), 80) == [[(0, 0, 40), (2, 0, 40)], [(1, 0, 40), (3, 0, 40)]]
 
 
+def test_packing_goes_down_the_whole_ranking():
+    docs = [np.array([5 + i % 2] * 30) for i in range(60)]  # 30 left-overs of each of two topics
+    first = packing.fill([30] * 60, packing.Index(docs, np.ones(20), 30.0), 900)[0]
+    assert [i for i, _, _ in first] == list(range(0, 60, 2))
+
+
+def test_packing_asks_with_all_tokens():
+    docs = [np.arange(40), np.arange(16), np.arange(16, 40)]
+    s = packing.Index(docs, np.linspace(2, 1, 40), 40.0).scores(0)
+    brute = [sum(np.linspace(2, 1, 40)[t] * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(d) / 40)) for t in d) for d in docs]
+    assert np.allclose(s, brute)
+
+
 def test_token_files(docs, empty):
     got = by_id(token_files.op3(docs))
     start = 0
