@@ -12,9 +12,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests on one machine), a temporary folder that is then set."""
+    """spark.checkpoint.dir; where it is unset and all runs on one machine (tests), a temporary folder that is then set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kbforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,12 +33,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written() -> None:
-    """Deletes every table written so far: call when no result of this library is read any more."""
-    while _written:
+def mark() -> int:
+    """A point in the list of written tables, for drop_written."""
+    return len(_written)
+
+
+def drop_written(since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables written after a mark but for the last `keep` ones: call when no result that reads them is used any more."""
+    kept = _written[len(_written) - keep :] if keep else []
+    del _written[len(_written) - keep :]
+    while len(_written) > since:
         spark, path = _written.pop()
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.extend(kept)
 
 
 def _clean() -> None:
