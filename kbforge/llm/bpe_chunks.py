@@ -71,11 +71,11 @@ def stitch(chunks: list[tuple[int, str]], bounds: list[np.ndarray], step: int, p
                 pieces.append((begin, text[begin - start : cut - start]))
             begin, start, text, known = cut, at, more, other[other >= cut]
         else:
-            last = int(sure[-1]) if len(sure) else begin
-            last = max(last, begin)
+            # go on from the last trusted boundary, which may lie on either side of the next chunk's start
+            last = max(int(sure[-1]) if len(sure) else begin, begin)
             if last > begin:
                 pieces.append((begin, text[begin - start : last - start]))
-            text = text[last - start : at - start] + more
+            text = more[last - at :] if last >= at else text[last - start : at - start] + more
             begin = start = last
             known = np.concatenate([[0], pre(text)]) + start
     if start + len(text) > begin:

@@ -51,8 +51,10 @@ class Reader:
 
         with open(tokenizer_path, encoding="utf-8") as f:
             self.tokenizer = Tokenizer.from_str(text := f.read())
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         spec = json.loads(text)
+        # texts that hold an added token's string go to the library whole
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or ()]
+        self.special = re.compile("|".join(added) or r"(?!)")
         self.dtype, self.code = (np.uint16, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
         # pieces may be taken apart only where pre-tokens are split by the pattern and nothing else changes the text
         pre = spec.get("pre_tokenizer") or {}
@@ -89,7 +91,7 @@ class Reader:
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian integers of self.dtype."""
-        if not self.separable or _UNSURE.search(text) or _AFTER.search(text) or _BEFORE.search(text):
+        if not self.separable or self.special.search(text) or _UNSURE.search(text) or _AFTER.search(text) or _BEFORE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         pieces = text.split(" ")
         out = list(map(self.pieces.get, pieces))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
+from tokenizers import Tokenizer  # noqa: E402
 
 from kbforge.llm import bpe_chunks, fast_ids, graph, gru, kernel, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, substring_dedup, token_files, transport_stream  # noqa: E402
 
@@ -232,16 +234,43 @@ def test_bpe_chunks(docs, empty):
     assert bpe_chunks.digests(docs.where("doc_id = 11").union(docs.where("doc_id = 11")), path, pattern, step=100).count() == 2
 
 
+def _stitched(c, text, step, overlap):
+    chunks = [(a, text[a : a + step + overlap]) for a in range(0, len(text), step)]
+    return bpe_chunks.stitch(chunks, [c.boundaries(t) for _, t in chunks], step, c.boundaries)
+
+
+def test_stitching_random_texts():
+    c = bpe_chunks.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    r = random.Random(1)
+    bits = ["a", "b", "'", "s", "ll", "re", " ", "  ", "\n", "1", "22", "ß", "日", "!", "'s", "'ll", "\t", "e" * 9, "'" * 5, " " * 12]
+    for step, overlap in ((40, 8), (64, 32), (7, 3), (5, 0), (33, 1)):
+        for _ in range(2000):
+            text = "".join(r.choice(bits) for _ in range(r.randint(1, 120)))
+            pieces = _stitched(c, text, step, overlap)
+            true = {0, *c.boundaries(text).tolist()}
+            assert "".join(t for _, t in pieces) == text and all(a in true for a, _ in pieces), (text, step, overlap)
+
+
+@pytest.mark.parametrize("text", ["x " * 16_382 + "wo'sall", "x " * 16_383 + "y's" + "b" * 700 + " end", "x " * 16_000 + "'" * 2000 + "s"])
+def test_stitching_at_production_sizes(text):
+    c = bpe_chunks.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    pieces = _stitched(c, text, bpe_chunks.STEP, bpe_chunks.OVERLAP)
+    assert "".join(t for _, t in pieces) == text and sum((c.encode(t) for _, t in pieces), []) == c.encode(text)
+
+
 def reader():
     return fast_ids.reader(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def true_ids(t):
-    return reader().tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+    return PLAIN.encode(t or "", add_special_tokens=False).ids + [0]
 
 
 def test_fast_ids_are_the_librarys():
-    odd = ["a  b", " x ", "\n \n", "it's we'll 're", "<|endoftext|> x", "  y", "tab\t z", "", "a 　b", "x\u001cy z"]
+    odd = ["a  b", " x ", "\n \n", "it's we'll 're", "<|endoftext|> x", "a<|endoftext|>", "so <|endoftext|>\nb", "  y", "tab\t z", "", "a 　b", "x\u001cy z"]
     for t in [t or "" for _, t in ROWS] + odd:
         assert np.frombuffer(reader().ids(t), reader().dtype).tolist() + [0] == true_ids(t), t[:40]
 
