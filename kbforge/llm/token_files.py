@@ -252,16 +252,15 @@ def token_files(docs: DataFrame, tokenizer_path: str, pattern: str, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = fast_ids.reader(tokenizer_path, pattern)
         part, file, held, size = TaskContext.get().partitionId(), 0, [], 0
-        end = np.array([END_ID], reader.dtype).tobytes()
+        end = np.array([END_ID], reader.dtype)
 
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([size], pa.int64()), pa.array([write_file(held)], pa.binary())], ["part", "file", "n_ids", "content"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                for doc, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                    ids = np.frombuffer(reader.ids(t or "") + end, reader.dtype)
+            for lo, hi, flat, ends in reader.slices(batch.column(1)):
+                for doc, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+                    ids = np.concatenate([flat[a:b], end])
                     if held and size + len(ids) > FILE_IDS:
                         yield done()
                         file, held, size = file + 1, [], 0

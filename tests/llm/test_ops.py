@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -56,8 +57,6 @@ def low(t):
 
 
 def test_kernel_words_and_windows():
-    import pyarrow as pa
-
     texts = [t for _, t in ROWS]
     for limit in (1, 500, 1 << 20):
         words, hashes = [], []
@@ -272,7 +271,12 @@ def true_ids(t):
 def test_fast_ids_are_the_librarys():
     odd = ["a  b", " x ", "\n \n", "it's we'll 're", "<|endoftext|> x", "a<|endoftext|>", "so <|endoftext|>\nb", "  y", "tab\t z", "", "a 　b", "x\u001cy z"]
     for t in [t or "" for _, t in ROWS] + odd:
-        assert np.frombuffer(reader().ids(t), reader().dtype).tolist() + [0] == true_ids(t), t[:40]
+        assert reader().ids(t).tolist() + [0] == true_ids(t), t[:40]
+    r = random.Random(2)
+    bits = ["a", "B", "'s", " ", "  ", "\n", "1", "22", "ß", "日", "!", "'ll", "\t", "The", " the ", " cat,", "\u200b", "\u2003", "\xa0", "<|endoftext|>", "\x1c", "x.", "Я"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(5000)]
+    got = [x.tolist() for _, _, ids, ends in reader().slices(pa.array([*texts, None])) for x in np.split(ids, ends[:-1])]
+    assert got == [e.ids for e in PLAIN.encode_batch([*texts, ""], add_special_tokens=False)]
 
 
 def test_packing(docs, empty):
@@ -289,6 +293,7 @@ def test_packing(docs, empty):
             at += r.length
         assert at == len(ids)
     sizes = []
+    assert len(packing.op2(docs.union(docs)).collect()) >= 2 * len(ROWS)
     for parts in seq.values():
         at = 0
         for r in sorted(parts, key=lambda r: r.offset):
@@ -318,6 +323,36 @@ def test_packing_asks_with_all_tokens():
     assert np.allclose(s, brute)
 
 
+def test_packing_index_against_brute_force():
+    r = np.random.default_rng(4)
+    docs = [r.zipf(1.5, r.integers(1, 60)).clip(max=49) for _ in range(80)]
+    idf = np.linspace(3, 0.1, 50)
+    mean = float(np.mean([len(d) for d in docs]))
+    index = packing.Index(docs, idf, mean)
+
+    def brute(i, j):
+        d = docs[j].tolist()
+        return sum(idf[t] * d.count(t) * 2.2 / (d.count(t) + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(docs[i].tolist()) if t in d)
+
+    free = r.random(80) < 0.5
+    for i in (0, 7, 79):
+        assert np.allclose(index.scores(i), [brute(i, j) for j in range(80)], rtol=1e-5)
+    index.keep(free)
+    for i in (0, 7, 79):
+        assert np.allclose(index.scores(i), [brute(i, j) for j in np.flatnonzero(free)], rtol=1e-5)
+
+
+def test_packing_deals_alike_documents_together():
+    r = np.random.default_rng(6)
+    topics = [r.choice(2000, 60, False) for _ in range(50)]
+    docs = [np.where(r.random(60) < 0.9, topics[i % 50], r.integers(0, 2000, 60)) for i in range(1000)]
+    keys = packing.drawn(docs, np.ones(2000))
+    assert (packing.drawn([docs[3], docs[3][::-1]], np.ones(2000))[0] == keys[3]).all()
+    rank = np.argsort(np.lexsort(keys.T[::-1]))
+    near = sum(rank[i] // 100 == rank[i + 50] // 100 for i in range(950))
+    assert near > 400  # a random deal would put one in ten together
+
+
 def test_token_files(docs, empty):
     got = by_id(token_files.op3(docs))
     start = 0
