@@ -1,13 +1,17 @@
 """Operator 3, token-id files: an adaptive context-mixing range coder in independently reset, checksummed blocks.
 
-A block codes BLOCK ids with a model that starts afresh. Three orders predict the next id: order 2 and order 1 by what
-followed their context last, with a confidence each; order 0 by the ids that the block has seen. The chances of `order 2 is right`,
-`order 1 is right`, `seen before` and `new` are integer mixes of adaptive estimates by order-2 confidence, order-1 confidence
-and block; they drive a carry-less range coder of 48 bits. Integers throughout: any machine decodes what another one wrote.
-All blocks of a file are coded side by side, one vector lane each.
-
-A file is: header, directory of (doc_id, number of ids), then blocks, each with its id count, payload length and CRC-32.
-Files come in ascending doc_id order and hold up to FILE_IDS ids, a document never being split across files.
+Three orders predict the next id. Order 2 and order 1 name the id that their context (the two ids before, the id before) has
+taught them, with a confidence; order 0 gives every id a chance by counts. The chance that order 2 is right, and then order 1, is
+mixed from adaptive estimates by confidence, agreement and the id's frequency: their logits are weighted, and the weights
+are learned with every id. What neither names is coded by order 0: adaptive counts over CLASSES classes that begin at the
+file's own frequencies (an id of its own for each frequent one, classes of like mass for the others, in which the file's counts
+decide). All chances drive a carry-less range coder of 48 bits. A block of BLOCK ids starts with fresh counts, estimates,
+contexts and weights, so any block can be decoded by itself. Integers throughout: any machine decodes what another one wrote. All
+blocks of a file are coded side by side, one vector lane each.
+
+A file is: header, directory of (doc_id, number of ids), table of ids with their counts, then blocks, each with its id count,
+payload length and CRC-32. Files come in ascending doc_id order and hold up to FILE_IDS ids, a document never being split
+across files. Ids may have up to 32 bits.
 
 Null or empty text: the end id alone. Rows that share a doc_id follow one another, each with its own entry; ties between
 them go by text. A null doc_id comes first. Other columns are ignored; an empty table gives no file and an empty table.
@@ -15,202 +19,294 @@ them go by text. A null doc_id comes first. Other columns are ignored; an empty
 
 from __future__ import annotations
 
+import decimal
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbforge.llm import fast_ids
 from kbforge.llm.scratch import written
 
 BLOCK, FILE_IDS, END_ID = 2048, 1 << 22, 0
-SLOTS = 1024
-MAGIC = b"KBTF0001"
-_HEAD = struct.Struct("<8sIIQ")  # magic, documents, blocks, ids
+#: Slots of a context table; groups and classes of order 0, most of them for one id each.
+SLOTS, GROUPS, GROUP = 1024, 16, 32
+CLASSES, SINGLE = GROUPS * GROUP, 432
+#: Weight of the file's frequencies when a block begins, and of each id that comes.
+PRIOR, COUNT = 4096, 24
+MAGIC = b"KBTF0002"
+_HEAD = struct.Struct("<8sIIQI")  # magic, documents, blocks, ids, bytes of the table of ids
 _BLOCK_HEAD = struct.Struct("<III")  # ids, payload words, CRC-32 of the ids
 _U = np.uint64
 _MASK, _TOP, _16, _32 = _U((1 << 48) - 1), _U(1 << 32), _U(16), _U(32)
 _ONE = 1 << 16
+_NULL = -(1 << 63)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Logit of a chance of 2**12, 256 to the natural unit, and the chance of 2**16 for a logit; in decimal arithmetic, so that every machine has the same."""
+    ctx = decimal.Context(prec=30)
+    number = lambda x: int(x.to_integral_value())
+    logit = [number(256 * ctx.ln(ctx.divide(decimal.Decimal(2 * c + 1), decimal.Decimal(2 * (4096 - c) - 1)))) for c in range(4096)]
+    chance = [number(ctx.divide(decimal.Decimal(_ONE), 1 + ctx.exp(ctx.divide(decimal.Decimal(-x), decimal.Decimal(256))))) for x in range(-2047, 2048)]
+    return np.array(logit, np.int32), np.clip(np.array(chance, np.int32), 64, _ONE - 64)
+
+
+_LOGIT, _CHANCE = _tables()
+
+
+class _Mix:
+    """The chance of a yes, mixed from adaptive estimates in chosen slots of each lane by weights that are learned."""
+
+    def __init__(self, lanes: int, slots: tuple[int, ...], weight: float):
+        self.estimates = [np.full(lanes * n, 1 << 14, np.int32) for n in slots]
+        self.lane = [np.arange(lanes) * n for n in slots]
+        self.weights = [np.full(lanes, int(weight * _ONE), np.int32) for _ in slots]
+
+    def predict(self, *slots: np.ndarray) -> np.ndarray:
+        self.at = [a + s for a, s in zip(self.lane, slots)]
+        self.held = [e[at] for e, at in zip(self.estimates, self.at)]
+        self.logits = [_LOGIT[h >> 4] for h in self.held]
+        mixed = sum(w * x for w, x in zip(self.weights, self.logits)) >> 16
+        self.chance = _CHANCE[np.minimum(np.maximum(mixed, -2047), 2047) + 2047]
+        return self.chance
+
+    def learn(self, rows: np.ndarray | slice, yes: np.ndarray) -> None:
+        """yes: what came in the lanes `rows`."""
+        goal = np.where(yes, _ONE - 1, 0)
+        miss = goal - self.chance[rows]
+        for e, w, at, held, x in zip(self.estimates, self.weights, self.at, self.held, self.logits):
+            w[rows] += x[rows] * miss >> 14
+            old = held[rows]
+            e[at[rows]] = old + ((goal - old) >> 4)
 
 
 class _Model:
-    """State of all lanes. predict() gives the four cumulated chances of 2**16, learn() takes the ids that came."""
+    """State of all lanes. Symbols are ids by falling frequency."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, counts: np.ndarray):
         self.lane = np.arange(lanes)
         self.base = self.lane * SLOTS
-        self.id1, self.id2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
-        self.sure1, self.sure2 = np.zeros(lanes * SLOTS, np.int8), np.zeros(lanes * SLOTS, np.int8)
-        half = _ONE // 2
-        self.a2, self.a1, self.a0 = np.full(lanes * 4, half // 2, np.int32), np.full(lanes * 4, half // 2, np.int32), np.full(lanes, half // 2, np.int32)
-        self.b1, self.b0 = np.full(lanes * 4, half // 2, np.int32), np.full(lanes, half // 2, np.int32)
-        self.c0 = np.full(lanes, half, np.int32)
-        self.last1 = self.last2 = np.zeros(lanes, np.int64)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cumulated chances of the events 1, 2 and 3 (event 0 starts at 0)."""
-        p, q = self.last1, self.last2
-        self.at1 = self.base + ((p * 40503 >> 5) & (SLOTS - 1))
-        self.at2 = self.base + ((p * 40503 + q * 60493 >> 5) & (SLOTS - 1))
-        self.s1, self.s2 = self.id1[self.at1], self.id2[self.at2]
-        self.n1, self.n2 = self.sure1[self.at1], self.sure2[self.at2]
-        self.k1, self.k2 = self.lane * 4 + self.n1, self.lane * 4 + self.n2
-        a = (2 * self.a2[self.k2] + self.a1[self.k1] + self.a0) >> 2
-        a = np.minimum(np.maximum(a, 1024), 63488)
-        b = np.where(self.s1 == self.s2, 1024, np.minimum(np.maximum((self.b1[self.k1] + self.b0) >> 1, 1024), 63488))
-        c = np.minimum(np.maximum(self.c0, 2048), 63488)
-        two = a + ((_ONE - a).astype(np.int64) * b >> 16)
-        return a, two, two + ((_ONE - two) * c >> 16)
-
-    def learn(self, ids: np.ndarray, event: np.ndarray) -> None:
-        up = lambda hit: np.where(hit, _ONE - 1, 0)
-        hit = up(event == 0)
-        for table, at in ((self.a2, self.k2), (self.a1, self.k1), (self.a0, self.lane)):
-            table[at] += (hit - table[at]) >> 4
-        on = np.flatnonzero(event > 0)
-        hit = up(event[on] == 1)
-        for table, at in ((self.b1, self.k1[on]), (self.b0, on)):
-            table[at] += (hit - table[at]) >> 4
-        on = np.flatnonzero(event > 1)
-        self.c0[on] += (up(event[on] == 2) - self.c0[on]) >> 4
-        for guess, sure, known, at in ((self.s1, self.n1, self.id1, self.at1), (self.s2, self.n2, self.id2, self.at2)):
-            right = guess == ids
-            sure_then = np.where(right, np.minimum(sure + 1, 3), np.where(sure > 1, sure - 1, 1))
-            known[at] = np.where(right | (sure > 1), guess, ids)
-            self_sure = self.sure1 if known is self.id1 else self.sure2
-            self_sure[at] = sure_then
-        self.last2, self.last1 = self.last1, ids
-
-
-def _first_seen(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows of ids: rank of each id by first appearance in its row, whether it appears first here, ids seen before."""
-    order = np.argsort(ids, axis=1, kind="stable")
-    ranked = np.take_along_axis(ids, order, 1)
-    opens = np.concatenate([np.ones((len(ids), 1), bool), ranked[:, 1:] != ranked[:, :-1]], axis=1)
-    first = np.zeros(ids.shape, bool)
-    np.put_along_axis(first, order, opens, 1)
-    seen = np.cumsum(first, axis=1)
-    begin = np.maximum.accumulate(np.where(opens, np.arange(ids.shape[1]), 0), axis=1)
-    place = np.take_along_axis(order, begin, 1)
-    rank = np.empty(ids.shape, np.int64)
-    np.put_along_axis(rank, order, np.take_along_axis(seen, place, 1) - 1, 1)
-    return rank, first, seen - first
-
-
-def encode_blocks(blocks: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    """Rows of ids, of which the first lengths[i] count, longest rows first, to payloads."""
+        # a slot holds 4 * symbol + confidence; confidence 0: nothing yet
+        self.known = [np.zeros(lanes * SLOTS, np.int64) for _ in range(2)]
+        self.first, self.second = _Mix(lanes, (16, 8, 16), 0.4), _Mix(lanes, (16, 4), 0.6)
+        self.last = [np.zeros(lanes, np.int64) for _ in range(2)]
+        self.rank = np.minimum(np.frexp(np.arange(len(counts) + 1) / 16.0)[1].clip(0) // 3, 3)  # of a symbol: four steps of frequency
+        # order 0: classes of symbols, counts of the classes and of groups of classes
+        total = int(counts.sum())
+        rest = counts[SINGLE:]
+        mass = np.cumsum(rest) - rest
+        many = CLASSES - SINGLE
+        self.of = np.concatenate([np.arange(min(SINGLE, len(counts))), SINGLE + mass * many // max(int(rest.sum()), 1)])
+        inside = np.bincount(self.of, counts, CLASSES).astype(np.int64)
+        self.size = inside
+        self.begin = np.cumsum(counts) - counts - (np.cumsum(inside) - inside)[self.of]
+        self.upto, self.counts = np.cumsum(counts), counts
+        self.below = np.cumsum(inside) - inside  # counts of all classes before
+        prior = np.where(inside > 0, np.maximum(1, inside * PRIOR // total), 0)
+        self.freq = np.tile(prior.astype(np.uint16), lanes)
+        self.groups = np.repeat(prior.reshape(GROUPS, GROUP).sum(1)[:, None], lanes, axis=1)
+        self.alone = np.bincount(self.of, minlength=CLASSES) == 1
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """Cumulated chances of 2**16: order 2 is right; order 2 or 1 is. Order 1 has none where it says the same."""
+        p, q = self.last
+        self.at = [self.base + ((p * 40503 >> 5) & (SLOTS - 1)), self.base + ((p * 40503 + q * 60493 >> 5) & (SLOTS - 1))]
+        held = [k[at] for k, at in zip(self.known, self.at)]
+        (self.one, self.two), (sure1, sure2) = [h >> 2 for h in held], [h & 3 for h in held]
+        self.sure = sure1, sure2
+        self.same = self.one == self.two
+        rank1, rank2 = self.rank[self.one], self.rank[self.two]
+        a = self.first.predict(sure2 * 4 + rank2, sure1 * 2 + self.same, sure2 * 4 + sure1)
+        b = self.second.predict(sure1 * 4 + rank1, sure2)
+        self.apart = ~self.same
+        b = np.where(self.same, 0, (_ONE - a) * b.astype(np.int64) >> 16)
+        return a.astype(np.int64), a + b
+
+    def learn(self, symbols: np.ndarray, event: np.ndarray) -> None:
+        self.first.learn(slice(None), event == 0)
+        rows = np.flatnonzero((event > 0) & self.apart)
+        self.second.learn(rows, event[rows] == 1)
+        for known, at, guess, sure in zip(self.known, self.at, (self.one, self.two), self.sure):
+            right = (guess == symbols) & (sure > 0)
+            stays = right | (sure > 1)
+            known[at] = np.where(stays, guess * 4 + np.where(right, np.minimum(sure + 1, 3), sure - 1), symbols * 4 + 1)
+        c = self.of[symbols]
+        self.freq[self.lane * CLASSES + c] += np.uint16(COUNT)
+        self.groups.ravel()[(c >> 5) * len(c) + self.lane] += COUNT
+        self.last = [symbols + 1, self.last[0]]
+
+    def _within(self, rows: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the classes of a group of each lane, one column a lane, and their running sums."""
+        own = np.ascontiguousarray(self.freq.reshape(-1, GROUP)[rows * GROUPS + groups].T)
+        return own, np.cumsum(own, axis=0, dtype=np.int32)
+
+    def place(self, rows: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, width and total of classes among the counts of their lanes."""
+        i, g, k = np.arange(len(rows)), classes >> 5, classes & 31
+        groups = np.cumsum(self.groups[:, rows], axis=0)
+        own, cut = self._within(rows, g)
+        width = own[k, i].astype(np.int64)
+        return groups[g, i] - cut[-1] + cut[k, i] - width, width, groups[-1]
+
+    def find(self, rows: np.ndarray, share: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class, start and width at a value below the total; share(total) gives that value."""
+        i = np.arange(len(rows))
+        groups = np.cumsum(self.groups[:, rows], axis=0)
+        value = share(groups[-1])
+        g = (groups <= value).sum(0)
+        own, cut = self._within(rows, g)
+        before = groups[g, i] - cut[-1]
+        k = (cut <= value - before).sum(0)
+        width = own[k, i].astype(np.int64)
+        return g * GROUP + k, before + cut[k, i] - width, width
+
+
+def encode_blocks(blocks: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Rows of symbols, of which the first lengths[i] count, longest rows first, to payloads. counts: of all symbols in the file."""
     lanes, width = blocks.shape
-    out = np.zeros((lanes, 2 * width + 16), np.uint16)
+    out = np.zeros((lanes, 3 * width + 16), np.uint16)
     used = np.zeros(lanes, np.int64)
     low, size = np.zeros(lanes, _U), np.full(lanes, (1 << 48) - 1, _U)
-    model = _Model(lanes)
-    rank, first, before = _first_seen(blocks)
-    ids = blocks.astype(np.int64)
+    model = _Model(lanes, counts)
+    live = np.searchsorted(-lengths, -np.arange(width), "left")
+
+    def settle(rows: np.ndarray | slice) -> None:
+        """Puts out what is decided; afterwards a range is 2**32 at least."""
+        l, s = low[rows], size[rows]
+        act = np.flatnonzero(((l ^ (l + s)) < _TOP) | (s < _TOP))
+        own = np.arange(lanes)[rows][act]
+        while len(own):
+            l, s = low[own], size[own]
+            s = np.where((l ^ (l + s)) < _TOP, s, _TOP - (l & (_TOP - _U(1))))
+            out[own, used[own]] = (l >> _32).astype(np.uint16)
+            used[own] += 1
+            low[own], size[own] = (l << _16) & _MASK, s << _16
+            l, s = low[own], size[own]
+            own = own[((l ^ (l + s)) < _TOP) | (s < _TOP)]
+
     for t in range(width):
-        live = t < lengths
-        one, two, three = model.predict()
-        now = ids[:, t]
-        event = np.where(first[:, t], 3, np.where(now == model.s2, 0, np.where(now == model.s1, 1, 2)))
-        start = np.choose(event, (0, one, two, three)).astype(_U)
-        stop = np.choose(event, (one, two, three, _ONE)).astype(_U)
-        ways = np.choose(event, (1, 1, np.maximum(before[:, t], 1), _ONE)).astype(_U)
-        which = np.choose(event, (0, 0, rank[:, t], now)).astype(_U)
-        part = size >> _16
-        at = low + part * start
-        part = part * (stop - start) // ways
-        at += part * which
-        if live.all():
-            low, size = at, part
-        else:
-            low, size = np.where(live, at, low), np.where(live, part, size)
+        now = blocks[:, t]
+        a, b = model.predict()
+        event = np.where((now == model.two) & (model.sure[1] > 0), 0, np.where((now == model.one) & (model.sure[0] > 0) & model.apart, 1, 2))
+        start, stop = np.where(event == 0, 0, np.where(event == 1, a, b)), np.where(event == 0, a, np.where(event == 1, b, _ONE))
+        on = slice(0, int(live[t]))
+        part = size[on] >> _16
+        low[on] += part * start[on].astype(_U)
+        size[on] = part * (stop - start)[on].astype(_U)
+        rows = np.flatnonzero(event[on] == 2)
+        c = model.of[now[rows]]
+        start, wide, total = (x.astype(_U) for x in model.place(rows, c))
+        part = size[rows] // total
+        low[rows] += part * start
+        size[rows] = part * wide
+        settle(on)
+        more = rows[~model.alone[c]]
+        if len(more):
+            s = now[more]
+            part = size[more] // model.size[model.of[s]].astype(_U)
+            low[more] += part * model.begin[s].astype(_U)
+            size[more] = part * counts[s].astype(_U)
+            settle(more)
         model.learn(now, event)
-        while True:
-            flat = (low ^ (low + size)) < _TOP
-            act = flat | (size < _TOP)
-            rows = np.flatnonzero(act)
-            if not len(rows):
-                break
-            l, s = low[rows], size[rows]
-            s = np.where(flat[rows], s, _TOP - (l & (_TOP - _U(1))))
-            out[rows, used[rows]] = (l >> _32).astype(np.uint16)
-            used[rows] += 1
-            low[rows], size[rows] = (l << _16) & _MASK, s << _16
     for shift in (32, 16, 0):
         out[np.arange(lanes), used] = ((low >> _U(shift)) & _U(0xFFFF)).astype(np.uint16)
         used += 1
     return [row[:n].astype("<u2").tobytes() for row, n in zip(out, used)]
 
 
-def decode_blocks(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
+def decode_blocks(payloads: list[bytes], lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The rows that encode_blocks was given."""
     lanes, width = len(payloads), int(lengths.max(initial=0))
-    words = np.zeros((lanes, max(len(p) for p in payloads) // 2 + 4), np.uint16)
+    words = np.zeros((lanes, max(len(p) for p in payloads) // 2 + 8), np.uint16)
     for row, p in zip(words, payloads):
         row[: len(p) // 2] = np.frombuffer(p, "<u2")
     code = (words[:, 0].astype(_U) << _32) | (words[:, 1].astype(_U) << _16) | words[:, 2].astype(_U)
     used = np.full(lanes, 3)
     low, size = np.zeros(lanes, _U), np.full(lanes, (1 << 48) - 1, _U)
-    model = _Model(lanes)
+    model = _Model(lanes, counts)
+    live = np.searchsorted(-lengths, -np.arange(width), "left")
     out = np.zeros((lanes, width), np.int64)
-    seen, count = np.zeros((lanes, width + 1), np.int64), np.zeros(lanes, np.int64)
-    lane = np.arange(lanes)
+
+    def settle(rows: np.ndarray | slice) -> None:
+        l, s = low[rows], size[rows]
+        act = np.flatnonzero(((l ^ (l + s)) < _TOP) | (s < _TOP))
+        own = np.arange(lanes)[rows][act]
+        while len(own):
+            l, s = low[own], size[own]
+            s = np.where((l ^ (l + s)) < _TOP, s, _TOP - (l & (_TOP - _U(1))))
+            code[own] = ((code[own] << _16) & _MASK) | words[own, np.minimum(used[own], words.shape[1] - 1)].astype(_U)
+            used[own] += 1
+            low[own], size[own] = (l << _16) & _MASK, s << _16
+            l, s = low[own], size[own]
+            own = own[((l ^ (l + s)) < _TOP) | (s < _TOP)]
+
     for t in range(width):
-        live = t < lengths
-        one, two, three = model.predict()
-        part = size >> _16
-        value = np.minimum((code - low) // part, _U(_ONE - 1)).astype(np.int64)
-        event = (value >= one).astype(np.int64) + (value >= two) + (value >= three)
-        start = np.choose(event, (0, one, two, three)).astype(_U)
-        stop = np.choose(event, (one, two, three, _ONE)).astype(_U)
-        ways = np.choose(event, (1, 1, np.maximum(count, 1), _ONE)).astype(_U)
-        at = low + part * start
-        part = part * (stop - start) // ways
-        which = np.minimum((code - at) // part, ways - _U(1))
-        at += part * which
-        w = which.astype(np.int64)
-        now = np.choose(event, (model.s2, model.s1, seen[lane, np.minimum(w, width)], w)).astype(np.int64)
-        out[:, t] = now
-        if live.all():
-            low, size = at, part
-        else:
-            low, size = np.where(live, at, low), np.where(live, part, size)
-            now = np.where(live, now, 0)
-        fresh = np.flatnonzero(event == 3)
-        seen[fresh, count[fresh]] = now[fresh]
-        count[fresh] += 1
-        model.learn(now, event)
-        while True:
-            flat = (low ^ (low + size)) < _TOP
-            rows = np.flatnonzero(flat | (size < _TOP))
-            if not len(rows):
-                break
-            l, s = low[rows], size[rows]
-            s = np.where(flat[rows], s, _TOP - (l & (_TOP - _U(1))))
-            code[rows] = ((code[rows] << _16) & _MASK) | words[rows, np.minimum(used[rows], words.shape[1] - 1)].astype(_U)
-            used[rows] += 1
-            low[rows], size[rows] = (l << _16) & _MASK, s << _16
+        a, b = model.predict()
+        n = int(live[t])
+        on = slice(0, n)
+        part = size[on] >> _16
+        value = np.minimum((code[on] - low[on]) // part, _U(_ONE - 1)).astype(np.int64)
+        event = (value >= a[on]).astype(np.int64) + (value >= b[on])
+        start, stop = np.where(event == 0, 0, np.where(event == 1, a[on], b[on])), np.where(event == 0, a[on], np.where(event == 1, b[on], _ONE))
+        low[on] += part * start.astype(_U)
+        size[on] = part * (stop - start).astype(_U)
+        now = np.zeros(lanes, np.int64)
+        now[on] = np.where(event == 0, model.two[on], model.one[on])
+        rows = np.flatnonzero(event == 2)
+
+        def share(total: np.ndarray) -> np.ndarray:
+            nonlocal part
+            part = size[rows] // total.astype(_U)
+            return np.minimum((code[rows] - low[rows]) // part, total.astype(_U) - _U(1)).astype(np.int64)
+
+        c, start, wide = model.find(rows, share)
+        low[rows] += part * start.astype(_U)
+        size[rows] = part * wide.astype(_U)
+        settle(on)
+        many = ~model.alone[c]
+        more, in_class = rows[many], c[many]
+        of_total = model.size[in_class]
+        part = size[more] // of_total.astype(_U)
+        within = np.minimum((code[more] - low[more]) // part, of_total.astype(_U) - _U(1)).astype(np.int64)
+        now[rows] = np.searchsorted(model.upto, model.below[c], "right")
+        s = np.searchsorted(model.upto, model.below[in_class] + within, "right")
+        now[more] = s
+        low[more] += part * model.begin[s].astype(_U)
+        size[more] = part * counts[s].astype(_U)
+        settle(more)
+        out[on, t] = now[on]
+        events = np.full(lanes, 2)
+        events[on] = event
+        model.learn(now, events)
     return out
 
 
 def write_file(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
     """Documents as (doc_id, ids) to a file's bytes."""
-    ids = np.concatenate([x for _, x in docs]).astype(np.int64)
+    ids = np.concatenate([x for _, x in docs]).astype(np.uint32)
+    if int(ids.max()) < 1 << 22:
+        counts = np.bincount(ids)
+        names = np.flatnonzero(counts).astype(np.uint32)
+        which = (np.cumsum(counts > 0) - 1)[ids]
+        counts = counts[names]
+    else:
+        names, which, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    symbol = np.empty(len(order), np.int64)
+    symbol[order] = np.arange(len(order))
     n = -(-len(ids) // BLOCK)
     lengths = np.minimum(BLOCK, len(ids) - np.arange(n) * BLOCK)
     rows = np.zeros(n * BLOCK, np.int64)
-    rows[: len(ids)] = ids
-    rows = rows.reshape(n, BLOCK)[:, : int(lengths.max())]
-    rows = rows.astype(np.uint16) if rows.max(initial=0) < _ONE else rows
-    if rows.dtype != np.uint16:
-        raise ValueError("ids of 2**16 or more don't fit this format")
-    payloads = encode_blocks(rows, lengths)
-    null = -(1 << 63)
-    out = [_HEAD.pack(MAGIC, len(docs), n, len(ids)), np.array([null if d is None else d for d, _ in docs], "<i8").tobytes(), np.array([len(x) for _, x in docs], "<u4").tobytes()]
+    rows[: len(ids)] = symbol[which]
+    payloads = encode_blocks(rows.reshape(n, BLOCK)[:, : int(lengths.max())], lengths, counts[order])
+    table = zlib.compress(names[order].astype("<u4").tobytes() + counts[order].astype("<u4").tobytes())
+    out = [_HEAD.pack(MAGIC, len(docs), n, len(ids), len(table)), np.array([_NULL if d is None else d for d, _ in docs], "<i8").tobytes(), np.array([len(x) for _, x in docs], "<u4").tobytes(), table]
     for k, p in enumerate(payloads):
         own = ids[k * BLOCK : k * BLOCK + lengths[k]].astype("<u4").tobytes()
         out += (_BLOCK_HEAD.pack(int(lengths[k]), len(p) // 2, zlib.crc32(own)), p)
@@ -220,13 +316,15 @@ def write_file(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
 
 def read_file(data: bytes) -> list[tuple[int | None, np.ndarray]]:
     """The documents of a file; ValueError if a checksum fails."""
-    magic, n_docs, n, total = _HEAD.unpack_from(data)
-    if magic != MAGIC or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
+    if len(data) < _HEAD.size + 4 or data[:8] != MAGIC or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
         raise ValueError("not a token file, or damaged")
+    _, n_docs, n, total, table_size = _HEAD.unpack_from(data)
     at = _HEAD.size
     doc_ids = np.frombuffer(data, "<i8", n_docs, at)
     sizes = np.frombuffer(data, "<u4", n_docs, at + 8 * n_docs)
     at += 12 * n_docs
+    names, counts = np.frombuffer(zlib.decompress(data[at : at + table_size]), "<u4").reshape(2, -1)
+    at += table_size
     lengths, payloads, sums = [], [], []
     for _ in range(n):
         m, words, crc = _BLOCK_HEAD.unpack_from(data, at)
@@ -235,66 +333,64 @@ def read_file(data: bytes) -> list[tuple[int | None, np.ndarray]]:
         payloads.append(data[at : at + 2 * words])
         sums.append(crc)
         at += 2 * words
-    rows = decode_blocks(payloads, np.array(lengths))
-    ids = np.concatenate([row[:m] for row, m in zip(rows, lengths)])
+    rows = decode_blocks(payloads, np.array(lengths), counts.astype(np.int64))
+    ids = names[np.concatenate([row[:m] for row, m in zip(rows, lengths)])]
     for k, (m, crc) in enumerate(zip(lengths, sums)):
-        if zlib.crc32(rows[k, :m].astype("<u4").tobytes()) != crc:
+        if zlib.crc32(ids[k * BLOCK : k * BLOCK + m].astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {k} is damaged")
     if len(ids) != total:
         raise ValueError("ids are missing")
     cut = np.cumsum([0, *sizes.tolist()])
-    return [(None if d == -(1 << 63) else int(d), ids[a:b]) for d, a, b in zip(doc_ids, cut, cut[1:])]
+    return [(None if d == _NULL else int(d), ids[a:b]) for d, a, b in zip(doc_ids, cut, cut[1:])]
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Rows (part, file, n_ids, content): complete files; (part, file) ascending is doc_id ascending."""
+    """Rows (part, file, before, n_ids, content): complete files; (part, file) ascending is doc_id ascending. before counts the ids of the part's files before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = fast_ids.reader(tokenizer_path, pattern)
-        part, file, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, file, before, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
         end = np.array([END_ID], reader.dtype)
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([size], pa.int64()), pa.array([write_file(held)], pa.binary())], ["part", "file", "n_ids", "content"])
+            return pa.RecordBatch.from_pylist([{"part": part, "file": file, "before": before, "n_ids": size, "content": write_file(held)}], _FILE)
 
         for batch in batches:
             for lo, hi, flat, ends in reader.slices(batch.column(1)):
                 for doc, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
-                    ids = np.concatenate([flat[a:b], end])
-                    if held and size + len(ids) > FILE_IDS:
+                    if held and size + b - a + 1 > FILE_IDS:
                         yield done()
-                        file, held, size = file + 1, [], 0
-                    held.append((doc, ids))
-                    size += len(ids)
+                        file, before, held, size = file + 1, before + size, [], 0
+                    held.append((doc, np.concatenate([flat[a:b], end])))
+                    size += b - a + 1
         if held:
             yield done()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", F.col(text).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, "part int, file int, n_ids bigint, content binary")
+    return ordered.mapInArrow(run, "part int, file int, before bigint, n_ids bigint, content binary")
+
+
+_FILE = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("content", pa.binary())])
 
 
 def read_back(files: DataFrame) -> DataFrame:
     """Files to rows (doc_id, start, n_tokens, ids_crc32); start counts the ids of all files and documents before."""
-    # one small row a file
-    sizes = sorted((r.part, r.file, r.n_ids) for r in files.select("part", "file", "n_ids").collect())
-    before, starts = 0, {}
-    for part, file, n in sizes:
-        starts[part, file] = before
-        before += n
-    starts = files.sparkSession.sparkContext.broadcast(starts)
+    # one row a part, so a task can add them up and every task may hold them
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    begin = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("begin"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                part, file, content = (batch.column(c)[k].as_py() for c in ("part", "file", "content"))
-                docs = read_file(content)
+                docs = read_file(batch.column("content")[k].as_py())
                 n = np.array([len(x) for _, x in docs], np.int64)
-                start = starts.value[part, file] + np.cumsum(n) - n
+                start = batch.column("start")[k].as_py() + np.cumsum(n) - n
                 crc = [zlib.crc32(x.astype("<u4").tobytes()) for _, x in docs]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array(start), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("part", "file", "content").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    placed = files.join(F.broadcast(begin), "part").select((F.col("begin") + F.col("before")).alias("start"), "content")
+    return placed.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op3(docs: DataFrame) -> DataFrame:

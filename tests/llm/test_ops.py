@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -369,15 +370,30 @@ def test_range_coder():
     for sizes in ([1], [5, 3], [700] * 3 + [7]):
         for top in (1, 3, 200, 65536):
             n = np.array(sizes)
-            rows = np.zeros((len(n), n.max()), np.uint16)
+            rows = np.zeros((len(n), n.max()), np.int64)
             for row, m in zip(rows, n):
                 row[:m] = np.minimum(r.zipf(1.3, m) - 1, top - 1)
-            back = token_files.decode_blocks(token_files.encode_blocks(rows, n), n)
+            counts = np.maximum(np.bincount(np.concatenate([row[:m] for row, m in zip(rows, n)]), minlength=top), 1)
+            back = token_files.decode_blocks(token_files.encode_blocks(rows, n, counts), n, counts)
             assert all((a[:m] == b[:m]).all() for a, b, m in zip(rows, back, n))
+    for ids in (np.array([7]), np.full(5000, 7), r.integers(0, 2**32 - 1, 3000), r.zipf(1.3, 9000).clip(max=1 << 20)):
+        cut = len(ids) // 3
+        back = token_files.read_file(token_files.write_file([(None, ids[:cut]), (4, ids[cut:])]))
+        assert [d for d, _ in back] == [None, 4] and (np.concatenate([x for _, x in back]) == ids).all()
     data = token_files.write_file([(None, np.array([1, 2])), (4, np.arange(5000) % 7)])
-    assert [(d, len(x)) for d, x in token_files.read_file(data)] == [(None, 2), (4, 5000)] and len(data) < 2500
+    assert len(data) < 2500
+    for at in (0, 20, 60, len(data) // 2, len(data) - 1):
+        with pytest.raises(ValueError):
+            token_files.read_file(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :])
     with pytest.raises(ValueError):
-        token_files.read_file(data[:60] + bytes([data[60] ^ 1]) + data[61:])
+        token_files.read_file(data[:10])
+
+
+def test_range_coder_beats_static_frequencies(sf):
+    texts = pq.read_table(f"{sf.replace('0.001', '0.01')}/documents.parquet").column("text").combine_chunks()
+    ids = np.concatenate([np.append(x, 0) for _, _, flat, ends in reader().slices(texts) for x in np.split(flat, ends[:-1])])
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert len(token_files.write_file([(1, ids)])) * 8 / len(ids) < -(share * np.log2(share)).sum() - 0.4
 
 
 def test_transport_stream(docs, empty):
