@@ -125,7 +125,7 @@ class _Model:
         a = self.first.predict(sure2 * 4 + rank2, sure1 * 2 + self.same, sure2 * 4 + sure1)
         b = self.second.predict(sure1 * 4 + rank1, sure2)
         self.apart = ~self.same
-        b = np.where(self.same, 0, (_ONE - a) * b.astype(np.int64) >> 16)
+        b = np.where(self.same, 0, np.maximum((_ONE - a) * b.astype(np.int64) >> 16, 1))  # never empty: it may come
         return a.astype(np.int64), a + b
 
     def learn(self, symbols: np.ndarray, event: np.ndarray) -> None:

@@ -376,7 +376,8 @@ def test_range_coder():
             counts = np.maximum(np.bincount(np.concatenate([row[:m] for row, m in zip(rows, n)]), minlength=top), 1)
             back = token_files.decode_blocks(token_files.encode_blocks(rows, n, counts), n, counts)
             assert all((a[:m] == b[:m]).all() for a, b, m in zip(rows, back, n))
-    for ids in (np.array([7]), np.full(5000, 7), r.integers(0, 2**32 - 1, 3000), r.zipf(1.3, 9000).clip(max=1 << 20)):
+    surprise = np.where(r.random(40_000) < 0.01, r.integers(0, 60, 40_000), np.tile(r.permutation(40), 1000))  # sure contexts that are wrong at times
+    for ids in (surprise, np.array([7]), np.full(5000, 7), r.integers(0, 2**32 - 1, 3000), r.zipf(1.3, 9000).clip(max=1 << 20)):
         cut = len(ids) // 3
         back = token_files.read_file(token_files.write_file([(None, ids[:cut]), (4, ids[cut:])]))
         assert [d for d, _ in back] == [None, 4] and (np.concatenate([x for _, x in back]) == ids).all()
