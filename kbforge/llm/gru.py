@@ -8,7 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, CLASS = 16, 64
+HIDDEN, CLASS = 16, 128
+#: Lanes and steps of a window of backpropagation, and windows that are dealt to the lanes at a time.
+LANES, WINDOW, PORTION = 512, 16, 8
+#: Lanes of the first portion; each further one has twice as many, up to LANES.
+FIRST_LANES = 32
 TAIL, END = 0, 1
 
 
@@ -54,26 +58,32 @@ class Gru:
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
         n = h.shape[1]
-        a, g = self.p["Wx"][x], h @ self.p["U"]
+        a, g = self.p["Wx"].take(x, axis=0), h @ self.p["U"]
         zr = a[:, : 2 * n] + g[:, : 2 * n]
-        np.clip(zr, -30, 30, out=zr)
-        zr = 1.0 / (1.0 + np.exp(-zr))
-        z, r = zr[:, :n], zr[:, n:]
-        new = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
-        return new + z * (h - new), (x, h, z, r, new, g[:, 2 * n :])
+        np.tanh(np.multiply(zr, 0.5, out=zr), out=zr)
+        np.add(np.multiply(zr, 0.5, out=zr), 0.5, out=zr)
+        z, r, gn = zr[:, :n], zr[:, n:], g[:, 2 * n :]
+        new = r * gn
+        np.tanh(np.add(new, a[:, 2 * n :], out=new), out=new)
+        return new + z * (h - new), (x, h, z, r, new, gn)
+
+    def _by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]], np.ndarray]:
+        """Class of each symbol, the order that sorts by it, (class, from, to) of the runs but class 0, and places within classes in that order."""
+        c = (y + CLASS - 1) // CLASS
+        order = np.argsort(c.astype(np.int16), kind="stable")
+        cut = np.searchsorted(c[order], np.arange(self.classes + 2)).tolist()
+        return c, order, [(k, cut[k], cut[k + 1]) for k in range(1, self.classes + 1) if cut[k] < cut[k + 1]], (y[order] - 1) % CLASS
 
     def log_probs(self, hs: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log P(y | state) for rows of states."""
-        c = (y + CLASS - 1) // CLASS
+        c, order, runs, place = self._by_class(y)
         logits = hs @ self.p["Wc"] + self.p["bc"]
         out = logits[np.arange(len(y)), c] - _lse(logits)
-        order = np.argsort(c, kind="stable")
-        cut = np.searchsorted(c[order], np.arange(self.classes + 2))
-        for k in range(1, self.classes + 1):
-            rows = order[cut[k] : cut[k + 1]]
-            if len(rows):
-                inner = hs[rows] @ self.p["Wo"][k - 1] + self.p["bo"][k - 1]
-                out[rows] += inner[np.arange(len(rows)), (y[rows] - 1) % CLASS] - _lse(inner)
+        own, inside = hs[order], np.zeros(len(y), out.dtype)
+        for k, a, b in runs:
+            inner = own[a:b] @ self.p["Wo"][k - 1] + self.p["bo"][k - 1]
+            inside[a:b] = inner[np.arange(b - a), place[a:b]] - _lse(inner)
+        out[order] += inside
         return out
 
     def score(self, docs: list[np.ndarray], window: int = 32, lanes: int = 2048) -> np.ndarray:
@@ -105,83 +115,131 @@ class Gru:
         return total
 
     def gradients(self, xs: np.ndarray, ys: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-        """Loss per symbol, gradients and last state over a window of lanes [T, B]; fresh marks the steps at which a document begins (state 0)."""
-        p, steps = self.p, len(xs)
-        caches, states = [], []
+        """Loss per symbol, gradients and last state over a window of lanes [T, B]; fresh marks the steps at which a document begins (state 0).
+        Of Wx come the rows that occur, "rows" naming them; of Wo and bo the classes that occur, "own" naming them."""
+        p, steps, size = self.p, len(xs), h.shape[1]
+        stays = (~fresh[..., None]).astype(h.dtype)
+        caches, hs = [], np.empty((steps, *h.shape), h.dtype)
         for t in range(steps):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            h, cache = self.step(xs[t], h)
+            h, cache = self.step(xs[t], h * stays[t])
             caches.append(cache)
-            states.append(h)
-        hs, y = np.concatenate(states), ys.ravel()
+            hs[t] = h
+        states, y = hs.reshape(-1, size), ys.ravel()
         n = len(y)
-        c = (y + CLASS - 1) // CLASS
-        logits = hs @ p["Wc"] + p["bc"]
-        prob = np.exp(logits - _lse(logits)[:, None])
-        loss = -np.log(prob[np.arange(n), c] + 1e-30).sum()
-        prob[np.arange(n), c] -= 1
-        g = {k: np.zeros_like(v) for k, v in p.items() if k in ("Wx", "U", "Wo", "bo")}
-        g["Wc"], g["bc"] = hs.T @ prob / n, prob.sum(0) / n
+        c, order, runs, place = self._by_class(y)
+        prob = states @ p["Wc"] + p["bc"]
+        np.exp(prob, out=prob)
+        prob /= _rows_sum(prob)[:, None]
+        pick = (np.arange(n), c)
+        loss = -np.log(prob[pick] + 1e-30).sum(dtype=np.float64)
+        prob[pick] -= 1
+        g = {"Wc": states.T @ prob / n, "bc": prob.sum(0) / n, "own": np.array([k - 1 for k, _, _ in runs], np.int64)}
+        own = states[order]
+        down = np.zeros_like(own)
+        wo, bo = np.empty((len(runs), *p["Wo"].shape[1:]), h.dtype), np.empty((len(runs), CLASS), h.dtype)
+        for i, (k, a, b) in enumerate(runs):
+            q = own[a:b] @ p["Wo"][k - 1] + p["bo"][k - 1]
+            np.exp(q, out=q)
+            q /= _rows_sum(q)[:, None]
+            at = (np.arange(b - a), place[a:b])
+            loss -= np.log(q[at] + 1e-30).sum(dtype=np.float64)
+            q[at] -= 1
+            wo[i], bo[i] = own[a:b].T @ q / n, q.sum(0) / n
+            down[a:b] = q @ p["Wo"][k - 1].T
+        g["Wo"], g["bo"] = wo, bo
         dhs = prob @ p["Wc"].T
-        order = np.argsort(c, kind="stable")
-        cut = np.searchsorted(c[order], np.arange(self.classes + 2))
-        for k in range(1, self.classes + 1):
-            rows = order[cut[k] : cut[k + 1]]
-            if len(rows):
-                inner = hs[rows] @ p["Wo"][k - 1] + p["bo"][k - 1]
-                q = np.exp(inner - _lse(inner)[:, None])
-                pick = (np.arange(len(rows)), (y[rows] - 1) % CLASS)
-                loss -= np.log(q[pick] + 1e-30).sum()
-                q[pick] -= 1
-                g["Wo"][k - 1], g["bo"][k - 1] = hs[rows].T @ q / n, q.sum(0) / n
-                dhs[rows] += q @ p["Wo"][k - 1].T
-        dhs = (dhs / n).reshape(steps, -1, h.shape[1])
-        dh = np.zeros_like(h)
-        das = []
+        dhs[order] += down
+        dhs = (dhs / n).reshape(hs.shape)
+        dh, g["U"] = np.zeros_like(h), np.zeros_like(p["U"])
+        das = np.empty((steps, len(h), 3 * size), h.dtype)
         for t in range(steps - 1, -1, -1):
-            x, prev, z, r, new, gn = caches[t]
-            dh = dh + dhs[t]
+            _, prev, z, r, new, gn = caches[t]
+            dh += dhs[t]
+            da = das[t]
             dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (prev - new) * z * (1 - z)
-            dr = dnew * gn * r * (1 - r)
-            da = np.concatenate([dz, dr, dnew], axis=1)
-            dg = np.concatenate([dz, dr, dnew * r], axis=1)
-            das.append((x, da))
+            da[:, :size] = dh * (prev - new) * z * (1 - z)
+            da[:, size : 2 * size] = dnew * gn * r * (1 - r)
+            da[:, 2 * size :] = dnew
+            dg = da.copy()
+            dg[:, 2 * size :] *= r
             g["U"] += prev.T @ dg
-            dh = (dh * z + dg @ p["U"].T) * ~fresh[t][:, None]
-        np.add.at(g["Wx"], np.concatenate([x for x, _ in das]), np.concatenate([d for _, d in das]))
+            dh = (dh * z + dg @ p["U"].T) * stays[t]
+        x = xs.ravel()
+        order = np.argsort(x.astype(np.uint16) if len(p["Wx"]) <= 1 << 16 else x, kind="stable")
+        x = x[order]
+        at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        g["rows"], g["Wx"] = x[at], np.add.reduceat(das.reshape(n, -1)[order], at, axis=0)
         return float(loss / n), g, h
 
-    def train(self, docs: list[np.ndarray], lanes: int = 128, window: int = 16, rate: float = 0.05) -> tuple["Gru", float]:
-        """One pass of truncated backpropagation with Adagrad steps over documents laid end to end in lanes; the trained model and its mean loss."""
-        docs = [d for d in docs if len(d)]
-        if not docs:
-            return self, 0.0
-        ys = np.concatenate(docs)
+    def trainer(self, rate: float, lanes: int = LANES, window: int = WINDOW) -> "Trainer":
+        return Trainer(self, rate, lanes, window)
+
+    def train(self, docs: list[np.ndarray], lanes: int = LANES, window: int = WINDOW, rate: float = 0.1) -> tuple["Gru", float]:
+        """One pass over documents; the trained model and its mean loss."""
+        t = self.trainer(rate, lanes, window)
+        t.feed(docs)
+        t.finish()
+        return t.model, t.loss / max(t.seen, 1)
+
+
+class Trainer:
+    """Truncated backpropagation with Adagrad steps over documents that are fed in portions. They lie end to end in one stream;
+    enough of it for PORTION windows of all lanes is dealt to the lanes at a time, and every symbol is learned from once. Early
+    portions have few lanes, so that many steps are taken while there is most to learn."""
+
+    def __init__(self, model: Gru, rate: float, lanes: int, window: int):
+        self.model = Gru({k: v.copy() for k, v in model.p.items()})
+        self.squares = {k: np.full_like(v, 1e-4) for k, v in self.model.p.items()}
+        self.rate, self.most, self.window = rate, lanes, window
+        self.lanes = min(FIRST_LANES, lanes)
+        self.held: list[np.ndarray] = []
+        self.waiting = self.seen = 0
+        self.loss = 0.0
+
+    def feed(self, docs: list[np.ndarray]) -> None:
+        for d in docs:
+            if len(d):
+                self.held.append(d)
+                self.waiting += len(d)
+            if self.waiting >= PORTION * self.window * self.lanes:
+                self._learn(self.lanes)
+                self.lanes = min(2 * self.lanes, self.most)
+
+    def finish(self) -> None:
+        """Learns from what is left over, in as many lanes as it fills."""
+        if self.waiting:
+            self._learn(max(1, min(self.lanes, self.waiting // self.window)))
+
+    def _learn(self, lanes: int) -> None:
+        ys = np.concatenate(self.held).astype(np.int64)
         fresh = np.zeros(len(ys), bool)
-        fresh[np.cumsum([0, *(len(d) for d in docs[:-1])])] = True
+        fresh[np.cumsum([0, *(len(d) for d in self.held[:-1])])] = True
+        self.held, self.waiting = [], 0
         xs = np.concatenate([[END], ys[:-1]])
         xs[fresh] = END
-        lanes = max(1, min(lanes, len(ys) // window))
-        width = len(ys) // lanes
-        lay = lambda v: v[: lanes * width].reshape(lanes, width).T
-        xs, ys, fresh = lay(xs), lay(ys), lay(fresh)
-        fresh = fresh.copy()
+        width = -(-len(ys) // lanes)
+        # lanes of equal width; the last ones may be a symbol short, which the first symbols of the stream fill
+        pad = lanes * width - len(ys)
+        lay = lambda v: np.concatenate([v, v[:pad]]).reshape(lanes, width).T
+        xs, ys, fresh = lay(xs), lay(ys), lay(fresh).copy()
         fresh[0] = True
-        model = Gru({k: v.copy() for k, v in self.p.items()})
-        seen = {k: np.full_like(v, 1e-4) for k, v in self.p.items()}
-        h = np.zeros((lanes, self.p["U"].shape[0]), np.float32)
-        losses = []
-        for t in range(0, width, window):
-            loss, g, h = model.gradients(xs[t : t + window], ys[t : t + window], fresh[t : t + window], h)
-            losses.append(loss)
-            for k in self.NAMES:
-                np.clip(g[k], -1, 1, out=g[k])
-                seen[k] += g[k] * g[k]
-                model.p[k] -= rate * g[k] / np.sqrt(seen[k])
-        return model, float(np.mean(losses))
+        h = np.zeros((lanes, self.model.p["U"].shape[0]), self.model.p["U"].dtype)
+        for t in range(0, width, self.window):
+            loss, g, h = self.model.gradients(xs[t : t + self.window], ys[t : t + self.window], fresh[t : t + self.window], h)
+            n = xs[t : t + self.window].size
+            self.loss, self.seen = self.loss + loss * n, self.seen + n
+            for k in Gru.NAMES:
+                at = g["rows"] if k == "Wx" else g["own"] if k in ("Wo", "bo") else slice(None)
+                d = np.clip(g[k], -1, 1)
+                q = self.squares[k][at] + d * d
+                self.squares[k][at] = q
+                self.model.p[k][at] -= self.rate * d / np.sqrt(q)
+
+
+def _rows_sum(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
 def _lse(x: np.ndarray) -> np.ndarray:
-    m = x.max(1)
-    return m + np.log(np.exp(x - m[:, None]).sum(1))
+    """Log of the sum of exponentials of each row; logits are moderate, so no maximum is taken out."""
+    return np.log(_rows_sum(np.exp(x)))

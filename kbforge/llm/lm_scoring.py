@@ -3,7 +3,9 @@
 Counts of all training words are exact and cover the corpus. The most frequent ones are the vocabulary of the recurrent
 model; any other word is its symbol TAIL times a static share: absolute discounting over the counts of all other training words,
 the discounted mass going to unknown words as one event. So the model's events are those of the base: V known tokens and one unknown.
-The recurrent weights are trained by every partition on all its training documents, then averaged, in ROUNDS rounds.
+The recurrent weights learn from every training document once: the documents are dealt over ROUNDS rounds by a hash of doc_id;
+in a round every partition trains on its share from the same start, and the weights that moved are averaged by the words seen. So the
+scores of the network depend on how the input is partitioned, all other columns don't.
 
 Null or empty text: the end token alone. No training documents: every word is unknown, scores stay finite. Repeated rows
 are scored alike and count as often as they stand. A null doc_id is neither held out nor trained on. Other columns are
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +26,11 @@ from kbforge.llm import gru, kernel
 from kbforge.llm.scratch import written
 
 #: Words of the recurrent model; words whose counts travel to every task (bounds on what is broadcast).
-VOCABULARY, HEAD = 2046, 65_536
-#: One in so many training documents trains the recurrent weights (1: all of them); rounds of training and averaging.
-TRAIN_EVERY, ROUNDS = 1, 3
+VOCABULARY, HEAD = 4094, 65_536
+#: Rounds of training and averaging, and the step of the first one.
+ROUNDS, RATE = 3, 0.3
+#: Weights that travel in one row.
+CHUNK = 8192
 _MERGE_AT = 1 << 21
 #: Words whose documents a task scores side by side.
 SIDE_BY_SIDE = 4_000_000
@@ -91,17 +96,17 @@ def _with_ends(sym: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return [np.append(sym[a:b], gru.END) for a, b in zip(first, first[1:])]
 
 
-def op1(docs: DataFrame, train_every: int = TRAIN_EVERY, rounds: int = ROUNDS) -> DataFrame:
+def op1(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     trained = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(False))
-    return score(docs, trained, held, train_every, rounds)
+    return score(docs, trained, held, rounds)
 
 
-def score(docs: DataFrame, trained: Column, held: Column, train_every: int = TRAIN_EVERY, rounds: int = ROUNDS, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, trained: Column, held: Column, rounds: int = ROUNDS, text: str = "text") -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all docs; the model learns from rows where `trained`."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select("doc_id", F.col(text).alias("text"), trained.alias("trained"), held.alias("held"))
-    learn = rows.where("trained")
+    learn = rows.where("trained").select("doc_id", "text")
     counts = written(learn.select("text").mapInArrow(_count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), "lm-counts")
     # the head's place among the counts comes first, so that tasks don't each send a whole head to the driver
     step = F.floor(F.log2("c") * 16)
@@ -129,14 +134,14 @@ def score(docs: DataFrame, trained: Column, held: Column, train_every: int = TRA
     sym_counts[gru.TAIL], sym_counts[gru.END] = tail_tokens, ends
     model = gru.Gru.fresh(sym_counts)
     lexicon = sc.broadcast(lex)
-    share = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(train_every)) == 0).select("text")
     for round_ in range(rounds):
-        model = _round(share, lexicon, model, sc, 0.05 / (1 + round_))
+        share = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == round_).select("text")
+        model = _round(share, lexicon, model, sc, RATE / (1 + round_))
     shared = sc.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lx, net = lexicon.value, shared.value
-        rng = np.random.default_rng()
+        uid = TaskContext.get().partitionId() << 40  # and the number of the row in its partition
         for batch in batches:
             # many documents run side by side, so that few steps run for the longest ones alone; only symbols are held meanwhile
             symbols, cols, tails, begin, words = [], {k: [] for k in ("n", "known", "base", "static")}, [], 0, 0
@@ -159,16 +164,18 @@ def score(docs: DataFrame, trained: Column, held: Column, train_every: int = TRA
                 c = {k: np.concatenate(v) for k, v in cols.items()}
                 part = batch.slice(begin, hi - begin)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rng.integers(0, 2**63 - 1, hi - begin)), part.column("doc_id"), part.column("held"), pa.array(c["n"], pa.int64()), pa.array(c["known"], pa.int64()), pa.array(c["base"]), pa.array(value + c["static"]), pa.concat_arrays(tails)],
+                    [pa.array(np.arange(uid, uid + hi - begin)), part.column("doc_id"), part.column("held"), pa.array(c["n"], pa.int64()), pa.array(c["known"], pa.int64()), pa.array(c["base"]), pa.array(value + c["static"]), pa.concat_arrays(tails)],
                     ["uid", "doc_id", "held", "n_tokens", "known", "base", "value", "far"],
                 )
+                uid += hi - begin
                 symbols, cols, tails, begin, words = [], {k: [] for k in ("n", "known", "base", "static")}, [], hi, 0
 
     scored = rows.select("doc_id", "text", "held").mapInArrow(run, "uid bigint, doc_id bigint, held boolean, n_tokens bigint, known bigint, base double, value double, far array<bigint>")
     scored = written(scored, "lm-scored")
-    # words outside the head: their counts come by a join; none of them is frequent
+    # words outside the head: their counts come by a join, which sees a word once for thousands of documents, however frequent it is
     least = int(lex.counts.min()) if len(lex.counts) else 0
-    far = scored.select("uid", F.explode("far").alias("h")).join(counts.where(F.col("c") <= least), "h", "left").select("uid", F.coalesce("c", F.lit(0)).cast("double").alias("c"))
+    far = scored.where(F.size("far") > 0).select("uid", "far").mapInArrow(_inverted, "h bigint, uids array<bigint>")
+    far = far.join(counts.where(F.col("c") <= least), "h", "left").select(F.explode("uids").alias("uid"), F.coalesce("c", F.lit(0)).cast("double").alias("c"))
     part = F.when(F.col("c") > 0, F.col("c") - discount).otherwise(discount * max(tail_types, 1)) / max(tail_tokens, 1)
     part = F.log10(part) if tail_types else F.lit(0.0)
     sums = far.groupBy("uid").agg(F.count_if(F.col("c") > 0).alias("far_known"), F.sum(F.log10(F.col("c") + 1)).alias("far_base"), F.sum(part).alias("far_value"))
@@ -180,16 +187,32 @@ def score(docs: DataFrame, trained: Column, held: Column, train_every: int = TRA
     )
 
 
-def _groups(slices: Iterator, words: int = 600_000) -> Iterator[list]:
-    held, size = [], 0
-    for s in slices:
-        held.append(s)
-        size += len(s[3]) + s[1] - s[0]
-        if size >= words:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (uid, words) of a batch to rows (word, uids), a uid as often as it holds the word."""
+    for batch in batches:
+        lists = batch.column(1)
+        h = lists.flatten().to_numpy()
+        uid = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        uids = pa.ListArray.from_arrays(pa.array(np.append(at, len(h)), pa.int32()), pa.array(uid[order]))
+        yield pa.RecordBatch.from_arrays([pa.array(h[at]), uids], ["h", "uids"])
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, seen, moved) to a mean for each chunk. A weight's mean is over those who moved it."""
+    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for chunk, seen, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            moved = np.frombuffer(raw, np.float32).astype(np.float64)
+            if chunk not in sums:
+                sums[chunk] = (np.zeros(len(moved)), np.zeros(len(moved)))
+            sums[chunk][0][:] += moved * seen
+            sums[chunk][1][:] += (moved != 0) * seen
+    if sums:
+        mean = [(s / np.maximum(n, 1)).tobytes() for s, n in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(mean, pa.binary())], ["chunk", "mean"])
 
 
 def _round(share: DataFrame, lexicon, model: gru.Gru, sc, rate: float) -> gru.Gru:
@@ -197,19 +220,20 @@ def _round(share: DataFrame, lexicon, model: gru.Gru, sc, rate: float) -> gru.Gr
     shared = sc.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen = shared.value, 0
+        learner = shared.value.trainer(rate)
         for batch in batches:
-            for group in _groups(_symbols(lexicon.value, batch.column("text"))):
-                docs = [d for _, _, w, _, _, sym in group for d in _with_ends(sym, w.first)]
-                net, _ = net.train(docs, rate=rate)
-                seen += sum(map(len, docs))
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([net.flat() - shared.value.flat()], pa.list_(pa.float32()))], ["seen", "moved"])
-
-    moved = share.mapInArrow(run, "seen bigint, moved array<float>").select("seen", F.posexplode("moved").alias("i", "v"))
-    mean = moved.groupBy("i").agg((F.sum(F.col("v").cast("double") * F.col("seen")) / F.sum("seen")).alias("v")).collect()
-    if not mean:
-        return model
+            for _, _, w, _, _, sym in _symbols(lexicon.value, batch.column("text")):
+                learner.feed(_with_ends(sym, w.first))
+        learner.finish()
+        if learner.seen:
+            moved = learner.model.flat() - shared.value.flat()
+            parts = [moved[at : at + CHUNK].tobytes() for at in range(0, len(moved), CHUNK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([learner.seen] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["chunk", "seen", "moved"])
+
+    # chunks are alike in size, and a task adds up what comes for its chunks row by row
+    moved = share.mapInArrow(run, "chunk int, seen bigint, moved binary").repartition("chunk").mapInArrow(_averaged, "chunk int, mean binary")
     flat = model.flat().astype(np.float64)
-    flat[np.fromiter((r.i for r in mean), np.int64, len(mean))] += np.fromiter((r.v for r in mean), np.float64, len(mean))
+    for row in moved.collect():  # the model, once
+        mean = np.frombuffer(row.mean, np.float64)
+        flat[row.chunk * CHUNK : row.chunk * CHUNK + len(mean)] += mean
     return model.with_flat(flat)
