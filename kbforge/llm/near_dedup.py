@@ -10,10 +10,12 @@ confirmed on the full sets. Documents with the same set are one class throughout
 After the first pass, keys of large groups that still hold different components are gone through again: first with the
 document that shares the most keys with others in front (the original of a group of edited copies), then in random orders
 by chunks, in which each document proposes the ones of other components that its registers put nearest, until a round confirms
-nothing new. These rounds only save work: keys that are still mixed then are settled in full, block by block, every pair of
-different components being tested that the registers don't rule out by MARGIN standard errors.
+nothing new. These rounds only save work: documents of keys that are still mixed then are joined exactly. Each lists the rarest of its
+shingles, as many as two sets of the wanted similarity can't both miss (prefix filter), and under each such shingle every pair of
+different components is tested, block by block, that the registers don't rule out by MARGIN standard errors.
 
-Null text or text without words: set size 0, a component of its own. Repeated rows of one doc_id count as one document.
+Null text or text without words: set size 0, a component of its own. Repeated rows of one doc_id count as one document in the
+links and each give a row. A null doc_id is linked with nothing; its component is null.
 Ties: the smallest doc_id is kept. Other columns are ignored; an empty table gives an empty table.
 """
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbforge.llm import graph, kernel
+from kbforge.llm import graph, kernel, skew
 from kbforge.llm.scratch import written
 
 M, MANTISSA = 128, 10
@@ -35,8 +37,8 @@ BANDS, ROWS = 32, 4
 SMALL = 5
 #: Rows of a mixed key whose registers are compared with one another at a time, best partners that a row then proposes, and rounds.
 CHUNK, BEST, ROUNDS = 256, 4, 3
-#: Rows of a mixed key in one block on average, when all blocks are compared with one another.
-BLOCK = 2048
+#: Rows of a shingle in one block on average, when all blocks are compared with one another; buckets of the shingle counts.
+BLOCK, BUCKETS = 2048, 1 << 20
 #: Ids of candidates that are broadcast at most (a few dozen MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Standard errors by which an estimate may fall short of the threshold.
@@ -140,13 +142,13 @@ def _sketch(k: int):
 
 def _neighbours(across: bool):
     """Sorted rows (key, rep, n, component) to rows of three kinds. 0: pairs (a, b). 1: rows (rep, rep, key) at the ends of a
-    partition, whose groups may go on next door. 2: rows (rep, n, key) of groups of which not every pair was looked at."""
+    partition, whose groups may go on next door. 2: rows (rep, n, key, rows of the key at hand) of groups of which not every pair was looked at."""
 
-    def made(a: np.ndarray, b: np.ndarray, key: np.ndarray | None, kind: int) -> Iterator[pa.RecordBatch]:
+    def made(a: np.ndarray, b: np.ndarray, key: np.ndarray | None, kind: int, beside: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(a), 50_000):
             x, y = a[at : at + 50_000], b[at : at + 50_000]
-            z = pa.nulls(len(x), pa.int64()) if key is None else pa.array(key[at : at + 50_000], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), z, pa.array(np.full(len(x), kind, np.int32))], ["a", "b", "key", "kind"])
+            z, w = (pa.nulls(len(x), pa.int64()) if c is None else pa.array(c[at : at + 50_000], pa.int64()) for c in (key, beside))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), z, pa.array(np.full(len(x), kind, np.int32)), w], ["a", "b", "key", "kind", "beside"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = None  # (key, rep, n, component) of the last rows, the group's first row in front
@@ -187,7 +189,7 @@ def _neighbours(across: bool):
             if not across:
                 big = np.flatnonzero(~small[group])
                 big = big[big >= old]
-                yield from made(rep[big], n[big], key[big], 2)
+                yield from made(rep[big], n[big], key[big], 2, size[group[big]])
             tail = np.unique([first[-1], total - 1])
             keep = [x[tail] for x in cols]
             last = (int(key[-1]), int(rep[first[-1]]))
@@ -200,16 +202,16 @@ def _neighbours(across: bool):
 
 
 def _candidates(rows: DataFrame, label: str, order: Column, across: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) from rows (key, rep, n_shingles, component), and the rows (key, rep, n_shingles) of groups that need another look. Keys are dealt by range over (key, order), so a hot key spreads over tasks."""
+    """Pairs (a, b) from rows (key, rep, n_shingles, component), and the rows (key, rep, n_shingles, beside) of groups that need another look. Keys are dealt by range over (key, order), so a hot key spreads over tasks."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.withColumn("ord", order).repartitionByRange(parts, "key", "ord").sortWithinPartitions("key", "ord")
-    found = written(ordered.select("key", "rep", "n_shingles", "component").mapInArrow(_neighbours(across), "a bigint, b bigint, key bigint, kind int"), label)
+    found = written(ordered.select("key", "rep", "n_shingles", "component").mapInArrow(_neighbours(across), "a bigint, b bigint, key bigint, kind int, beside bigint"), label)
     # a group cut by a partition's end: the first rows of its parts are linked to the least of them
     ends = found.where("kind = 1").select("key", F.col("a").alias("rep")).distinct()
     least = ends.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1")
     cut = ends.join(least, "key").select("a", F.col("rep").alias("b"))
     pairs = found.where("kind = 0").select("a", "b").unionByName(cut).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs, found.where("kind = 2").select("key", F.col("a").alias("rep"), F.col("b").alias("n_shingles"))
+    return pairs, found.where("kind = 2").select("key", F.col("a").alias("rep"), F.col("b").alias("n_shingles"), "beside")
 
 
 def _nearest(threshold: float):
@@ -298,10 +300,55 @@ def _between(threshold: float, percent: int):
     return run
 
 
-def _all_across(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Every plausible pair of different components under each key. A key's rows are dealt into blocks, and each pair of blocks is one group."""
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+def _bucket_counts(k: int):
+    """Texts to partial counts of their shingles' buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in kernel.slices(batch.column(0)):
+                for s in shingle_sets(data, offsets, k):
+                    np.add.at(total, (s >> np.uint64(44)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(total[at[i : i + 100_000]])], ["bucket", "n"])
+
+    return run
+
+
+def _prefixes(k: int, percent: int, counts):
+    """Rows (rep, n_shingles, component, text) to rows (key, rep, n_shingles, component): the rarest shingles of each, one more than a partner may lack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in kernel.slices(batch.column("text")):
+                part, keys, many = batch.slice(a, b - a), [], []
+                for s in shingle_sets(data, offsets, k):
+                    # a partner shares at least percent / 100 of the shingles
+                    m = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
+                    first = np.lexsort((s, counts.value[(s >> np.uint64(44)).astype(np.int64)]))[:m]
+                    keys.append(s[first].view(np.int64))
+                    many.append(len(first))
+                of = pa.array(np.repeat(np.arange(b - a), many))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(part.column(c).take(of) for c in ("rep", "n_shingles", "component"))], ["key", "rep", "n_shingles", "component"])
+
+    return run
+
+
+def _all_across(rows: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Every plausible pair of different components among the documents of rows(rep, n_shingles, component): they share a shingle
+    among the rarest of both, whatever order all agree on, here by counts in BUCKETS buckets. A key's rows are dealt into blocks, and each pair of blocks is one group."""
+    own = rows.select("rep", "n_shingles", "component").dropDuplicates(["rep"])
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(own, "rep").dropDuplicates(["rep"])
+    texts = written(texts, "nd-mixed-text")
+    counts = np.zeros(BUCKETS, np.int32)
+    for r in texts.select("text").mapInArrow(_bucket_counts(k), "bucket bigint, n bigint").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).alias("n")).toArrow().to_batches():
+        counts[r.column(0).to_numpy()] = r.column(1).to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    keyed = written(texts.mapInArrow(_prefixes(k, percent, shared), "key bigint, rep bigint, n_shingles bigint, component bigint"), "nd-prefix")
+    blocks = keyed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "blocks")
+    dealt = skew.spread_join(keyed, blocks, ["key"], ["rep"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    dealt = written(dealt, "nd-prefix")
     dealt = dealt.join(sketches.select(F.col("doc_id").alias("rep"), "sketch"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n_shingles", "sketch")
     return dealt.groupBy("key", "i", "j").applyInArrow(_between(percent / 100, percent), "a bigint, b bigint").distinct()
@@ -337,21 +384,21 @@ def _verify(pairs: DataFrame, sketches: DataFrame | None, docs: DataFrame, text:
     """Pairs, written before, that the registers make plausible (sketches given) and the full sets confirm."""
     near = pairs
     if sketches is not None:
-        a = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a"), F.col("n_shingles").alias("n_a"))
-        b = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n_shingles").alias("n_b"))
-        near = written(pairs.join(a, "a").join(b, "b").mapInArrow(_plausible(percent / 100), "a bigint, b bigint"), label)
+        both = skew.with_both_ends(pairs, sketches.select("doc_id", "sketch", F.col("n_shingles").alias("n")), "doc_id")
+        near = written(both.mapInArrow(_plausible(percent / 100), "a bigint, b bigint"), label)
     ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
     if 2 * near.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = written(docs.select("doc_id", F.col(text).alias("t")).join(ids, "doc_id", "left_semi"), label)
-    a = texts.select(F.col("doc_id").alias("a"), F.col("t").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("t").alias("text_b"))
-    return written(near.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(k, percent), "a bigint, b bigint"), label)
+    texts = written(docs.select("doc_id", F.col(text).alias("text")).join(ids, "doc_id", "left_semi"), label)
+    both = skew.with_both_ends(near, texts, "doc_id").select("a", "b", "text_a", "text_b")
+    return written(both.mapInArrow(_confirmed(k, percent), "a bigint, b bigint"), label)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, n_links); n_links counts the confirmed links between the document's class and others."""
-    base = docs.select("doc_id", F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    """Rows (doc_id, n_shingles, component_id, n_links). n_links counts the links between the document's class and other classes that the
+    search has confirmed; links within a component that were not needed to find it aren't all looked at."""
+    every = docs.select("doc_id", F.col(text).alias("text"))
+    base = every.where("doc_id IS NOT NULL")
     sketched = written(base.mapInArrow(_sketch(k), _SKETCH), "nd-sketch")
     # equal sets: one class, its smallest doc_id speaks for it
     classes = sketched.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
@@ -365,14 +412,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     tested = written(pairs, "nd-tested")
     links = _verify(tested, reps, base, "text", k, percent, "nd-link")
     # how often a document of a large group meets others under a key: originals of edited copies come first
-    weight = open_rows.groupBy("key").agg(F.count("*").alias("size")).join(open_rows, "key").groupBy("rep").agg(F.sum("size").alias("weight"))
-    open_rows = written(open_rows.join(weight, "rep"), "nd-open")
+    weight = open_rows.groupBy("rep").agg(F.sum("beside").alias("weight"))
+    open_rows = written(open_rows.drop("beside").join(weight, "rep"), "nd-open")
 
     def still_mixed() -> tuple[DataFrame, DataFrame]:
         labels = written(graph.components(links, "nd-cc"), "nd-label")
         linked = open_rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n_shingles", "weight", F.coalesce("component", "rep").alias("component"))
-        mixed = linked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        return labels, written(linked.join(mixed.select("key"), "key", "left_semi"), "nd-mixed")
+        linked = written(linked, "nd-linked")
+        mixed = linked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        return labels, written(skew.spread_join(linked, mixed, ["key"], ["rep"]), "nd-mixed")
 
     labels, left = still_mixed()
     round_ = 0
@@ -383,7 +431,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
         elif not last:
             more = _proposals(left, reps, round_, percent / 100)
         else:
-            more = _all_across(left, reps, percent)
+            more = _all_across(left, reps, base, k, percent)
         more = written(more.join(tested, ["a", "b"], "left_anti"), "nd-tested")
         new = _verify(more, None if round_ else reps, base, "text", k, percent, "nd-link")
         tested = tested.unionByName(more)
@@ -398,11 +446,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     named = member.where("rep = doc_id").select("rep").distinct().join(labels.withColumnRenamed("node", "rep"), "rep").join(degree, "rep", "left")
     out = member.join(named, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     empty = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(empty)
+    nameless = every.where("doc_id IS NULL").mapInArrow(_sketch(k), _SKETCH).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(empty).unionByName(nameless)
 
 
 def op6(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs, k=4).drop("n_links").withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return near_duplicates(docs, k=4).drop("n_links").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 ORACLE_SQL = r"""
