@@ -1,12 +1,13 @@
 """Operator 7, personal data by bootstrapped contextual extraction; DataFrame functions only.
 
 Base entities (email, ip, card, phone) are found by their form. They, and long hexadecimal strings as seeds of the kind
-`secret`, seed a graph of patterns and instances: an instance is an identifier-like token (one with a digit or an @), a
-pattern the two words before it with the token's shape. Spark scores the graph in rounds: a pattern is as sure as the share
+`secret`, seed a graph of patterns and instances: an instance is an identifier-like token (a word with a digit or an @, or digit
+groups with single spaces between them), a pattern the two words before it with the token's shape. The words before a word are
+whole; before digit groups they are looked for within GROUP_CONTEXT code points. Spark scores the graph in rounds: a pattern is as sure as the share
 of its distinct instances that are trusted, an instance as sure as its patterns make it (noisy or). Patterns
 above CONFIDENT with SUPPORT instances then give their kind to the tokens that no form had found.
 
-Null or empty text: no spans. Repeated rows give equal results and count once in the graph. Overlapping kinds are all
+Null or empty text: no spans. A null doc_id is a value like any other. Repeated rows give equal results and count once in the graph. Overlapping kinds are all
 reported. Other columns are ignored by `find`; `redact` keeps them. An empty table gives an empty table.
 """
 
@@ -17,6 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kbforge.llm import skew
 from kbforge.llm.scratch import written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -28,6 +30,9 @@ FORMS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Digit groups with single spaces between them, as phones and cards are written.
+GROUPED = r"(?<![^\x20\x09-\x0D])[+(]?+[0-9][0-9().-]*+(?:\x20[0-9().-]++)++"
+GROUP_CONTEXT = 256
 #: Rounds over the graph, what a pattern must score, and how many distinct instances it must have.
 ROUNDS, CONFIDENT, SUPPORT = 3, 0.6, 5
 #: Added to a pattern's instances when its share of trusted ones is taken.
@@ -102,14 +107,28 @@ def base_spans(text: Column, kind: str) -> Column:
 
 def _tokens(text: Column) -> Column:
     """Array of identifier-like tokens without their outer punctuation: core, its place, its shape, the two words before."""
-    parts = located(text, TOKEN)
 
-    def one(s: Column) -> Column:
+    def two_words(left: Column) -> Column:
+        return F.regexp_replace(F.lower(left), r"[0-9]+", "0")
+
+    def one(s: Column, left: Column) -> Column:
         head = F.length(F.regexp_extract(s["value"], r"^[^\p{L}0-9+]*", 0)).cast("long")
         core = F.regexp_extract(s["value"], r"^[^\p{L}0-9+]*(.*?)[^\p{L}0-9]*$", 1)
-        before = F.lower(F.substring(text, F.greatest(s["start"] - 63, F.lit(1)).cast("int"), F.least(s["start"], F.lit(64)).cast("int")))
-        left = F.regexp_extract(before, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1)
-        return F.struct(core.alias("core"), (s["start"] + head).alias("start"), F.regexp_replace(left, r"[0-9]+", "0").alias("left"))
+        return F.struct(core.alias("core"), (s["start"] + head).alias("start"), two_words(left).alias("left"))
+
+    # TOKEN finds exactly the words with a digit or an @: the n-th match is the n-th of these words
+    words = F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+", -1), "")
+    before = lambda ws: F.filter(
+        F.transform(ws, lambda w, i: F.when(w.rlike("[0-9@]"), F.when(i >= 2, F.concat_ws(" ", F.get(ws, i - 2), F.get(ws, i - 1))).otherwise(F.lit("")))), lambda x: x.isNotNull()
+    )
+    plain = let(words, lambda ws: F.zip_with(located(text, TOKEN), before(ws), one))
+
+    def spaced_left(s: Column) -> Column:
+        near = F.substring(text, F.greatest(s["start"] - (GROUP_CONTEXT - 1), F.lit(1)).cast("int"), F.least(s["start"], F.lit(GROUP_CONTEXT)).cast("int"))
+        return F.regexp_replace(F.regexp_extract(near, r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$", 1), r"[\x20\x09-\x0D]+", " ")
+
+    none = F.expr("CAST(array() AS array<struct<core:string,start:bigint,left:string>>)")
+    spaced = F.when(text.rlike(r"[0-9)] [(0-9]"), F.transform(located(text, GROUPED), lambda s: one(s, spaced_left(s)))).otherwise(none)
 
     def shaped(t: Column) -> Column:
         core = t["core"]
@@ -123,7 +142,7 @@ def _tokens(text: Column) -> Column:
         )
         return F.struct(core.alias("core"), t["start"].alias("start"), (t["start"] + F.length(core)).alias("end"), t["left"].alias("left"), shape.alias("shape"))
 
-    some = F.filter(F.transform(F.transform(parts, one), shaped), lambda t: (F.length(t["core"]) >= 4) & (t["left"] != ""))
+    some = F.filter(F.transform(F.concat(plain, spaced), shaped), lambda t: (F.length(t["core"]) >= 4) & (t["left"] != ""))
     return F.when(text.rlike("[0-9@]"), some).otherwise(F.expr("CAST(array() AS array<struct<core:string,start:bigint,end:bigint,left:string,shape:string>>)"))
 
 
@@ -131,13 +150,15 @@ def confident_patterns(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
     """Rows tokens(core, left, shape) and seeds(core, kind) to rows (left, shape, kind, confidence): graph scores in ROUNDS rounds."""
     edges = written(tokens.select("core", "left", "shape").distinct(), "pii-edges")
     size = edges.groupBy("left", "shape").agg(F.count("*").alias("size")).where(F.col("size") >= SUPPORT)
-    kept = edges.join(size, ["left", "shape"])
+    kept = written(skew.spread_join(edges, size, ["left", "shape"], ["core"]), "pii-kept")
     trust = seeds.select("core", "kind").distinct().withColumn("trust", F.lit(1.0))
     known = trust
     scores = None
-    for _ in range(ROUNDS):
-        scores = kept.join(trust, "core").groupBy("left", "shape", "kind").agg((F.sum("trust") / (F.max("size") + SMOOTH)).alias("confidence")).where("confidence > 0.1")
-        by_pattern = kept.join(scores, ["left", "shape"]).groupBy("core", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("trust"))
+    for round_ in range(ROUNDS):
+        scores = skew.spread_join(kept, trust, ["core"], ["left", "shape"]).groupBy("left", "shape", "kind").agg((F.sum("trust") / (F.max("size") + SMOOTH)).alias("confidence")).where("confidence > 0.1")
+        if round_ + 1 == ROUNDS:
+            break
+        by_pattern = skew.spread_join(kept, scores, ["left", "shape"], ["core"]).groupBy("core", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("trust"))
         trust = by_pattern.unionByName(known).groupBy("core", "kind").agg(F.max("trust").alias("trust"))
     best = scores.where(F.col("confidence") >= CONFIDENT).groupBy("left", "shape").agg(F.max(F.struct("confidence", "kind")).alias("b"))
     return best.select("left", "shape", "b.kind", "b.confidence")
@@ -152,9 +173,10 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     by_form = found.where("size(base) > 0").select(F.explode("base").alias("s")).select(F.col("s.value").alias("core"), "s.kind")
     long_hex = tokens.where((F.col("shape") == "hex") & (F.length("core") >= SECRET_SEED)).select("core", F.lit("secret").alias("kind"))
     patterns = written(confident_patterns(tokens, by_form.unionByName(long_hex)), "pii-patterns")
-    hits = tokens.join(patterns, ["left", "shape"]).select("doc_id", "text_hash", F.struct("kind", "start", "end", F.col("core").alias("value")).alias("s"))
+    hits = skew.spread_join(tokens, patterns, ["left", "shape"], ["core"]).select("doc_id", "text_hash", F.struct("kind", "start", "end", F.col("core").alias("value")).alias("s"))
     hits = hits.distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("s")).alias("hits"))
-    out = found.select("doc_id", "text_hash", "base").join(hits, ["doc_id", "text_hash"], "left")
+    hits = hits.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    out = found.select("doc_id", "text_hash", "base").join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     free = F.filter("hits", lambda h: ~F.exists("base", lambda b: (h["start"] < b["end"]) & (b["start"] < h["end"])))
     return out.select("doc_id", "text_hash", "base", F.coalesce(free, F.expr(f"CAST(array() AS {_SPAN})")).alias("added"))
 

@@ -221,6 +221,14 @@ def test_pii_discovers_by_context(spark):
     assert got[50].n_ip == 0 and got[50].spans == "ip:16:27"
 
 
+def test_pii_discovers_spaced_groups(spark):
+    rows = [(i, f"please call +1 (234) 567-89{i:02d} today") for i in range(12)] + [(None, "please call 234 567 8901 today"), (51, "x" * 900 + " call 234 567 8902 today")]
+    rows += [(60 + i, f"{'y' * 700} {'z' * 700} 10.0.0.{i} end") for i in range(12)] + [(80, f"{'y' * 700} {'z' * 700} 777.0.0.1 end")]
+    got = by_id(pii.op7(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[None].spans == "phone:12:24" and got[None].n_phone == 0 and got[51].spans == ""
+    assert got[80].spans == "ip:1402:1411"  # the words before are whole
+
+
 def test_bpe_chunks(docs, empty):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     c = bpe_chunks.Codec(path, pattern)
