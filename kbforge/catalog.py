@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kbforge.functions import text as X
 from kbforge.functions import urls as U
 from kbforge.operators import chunk, crawl, dedup, qa, retrieval
+from kbforge.plans import crawl as plan
 from kbforge.scratch import shared_dir
 from kbforge.sources import html, jsonl
 from kbforge.streaming import dedup as stream
@@ -145,7 +146,8 @@ def min_length(s, d):
     return table(s, d, "documents").where(F.length("text") >= 120).select("doc_id", _long(F.length("text")).alias("n"))
 
 
-_LINES = rf"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip(chr(114) + 'egexp_replace(x, ' + chr(39) + chr(92) + 's+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}), lambda x: length(x) >= 8)"
+_SPACES = r"regexp_replace(x, '\s+', ' ', 'g')"
+_LINES = rf"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip(_SPACES)}), lambda x: length(x) >= 8)"
 
 
 @query(f"SELECT doc_id, array_to_string({_LINES}, chr(10)) AS lines FROM documents")
@@ -187,7 +189,7 @@ def load_state(s, d):
     return state["content_hashes"].select(F.lit("content_hash").alias("kind"), F.col("content_hash").alias("value")).unionByName(state["urls"].select(F.lit("url").alias("kind"), F.col("url").alias("value")))
 
 
-@query()
+@query(f"SELECT DISTINCT {_hash('text', 12000)} AS content_hash FROM documents")
 def stream_dedup(s, d):
     base = f"{shared_dir(s)}/kbforge-stream-{uuid.uuid4().hex}"
     source = f"{d}/documents.parquet"
@@ -250,6 +252,9 @@ _LINKS = (
 )
 
 
+_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+
+
 def links(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "pages").select("page_id", "url", F.posexplode(html.all_links("html")).alias("i", "l"))
     return rows.select("page_id", "url", _long("i").alias("i"), F.col("l.href").alias("href"), F.col("l.anchor").alias("anchor"))
@@ -287,7 +292,7 @@ def anti_visited(s, d):
     return dedup.not_in_history(rows, seen, ["target"])
 
 
-@query(f"SELECT page_id, {_strip(_plain(chr(114) + 'egexp_extract(html, ' + chr(39) + '<title>([^<]*)</title>' + chr(39) + ', 1)'))} AS title FROM pages")
+@query(f"SELECT page_id, {_strip(_plain(_TITLE))} AS title FROM pages")
 def page_titles(s, d):
     return table(s, d, "pages").select("page_id", html.html_extract_base("html")["title"].alias("title"))
 
@@ -304,23 +309,84 @@ def html_extract(s, d):
     return rows.select("page_id", "x.title", "x.content", _long(F.size("x.links")).alias("n_links"))
 
 
-@query()
+@query("SELECT page_id, left(url, 7) || ' | b' || chr(10) || 'row ' || page_id AS rows FROM pages")
 def table_rows(s, d):
-    return table(s, d, "pages").select("page_id", html.tables("html").alias("rows"))
+    """Pages with a table put behind their own content."""
+    cells = F.concat(F.lit("<table><tr><th> "), F.substring("url", 1, 7), F.lit(" </th><td>b</td></tr><tr><td></td></tr><tr><td>row\n"), F.col("page_id").cast("string"), F.lit("</td></tr></table></article>"))
+    return table(s, d, "pages").select("page_id", F.array_join(html.tables(F.replace("html", F.lit("</article>"), cells)), "\n").alias("rows"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE t AS (SELECT 0::BIGINT AS n, 0 AS depth UNION ALL SELECT 2 * t.n + i, depth + 1 FROM t JOIN pages p ON p.page_id = t.n, (SELECT unnest([1, 2]) AS i) WHERE depth < 8 AND t.n % 7 <> 6), "
+    "r AS (SELECT n, depth, n % 7 <> 6 AND n IN (SELECT page_id FROM pages) AS ok, row_number() OVER (ORDER BY depth, n) AS position FROM t), "
+    "c AS (SELECT *, coalesce(sum(ok::INT) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r) SELECT 'p/' || n AS url, depth::BIGINT AS depth, position::BIGINT AS position, ok FROM c WHERE before < 300"
+)
 def bfs_crawl(s, d):
-    """The pages' own link lists as the web: a page links to the next two ids, and every seventh fetch fails."""
+    """A made-up web over all page ids: page n links to 2n + 1 and 2n + 2, every seventh fetch fails, and pages that aren't in the table too."""
     pages = table(s, d, "pages").select("page_id")
 
     def fetch(level: DataFrame) -> DataFrame:
         n = F.regexp_extract("url", "([0-9]+)$", 1).cast("long")
         to = F.array(*[F.concat(F.lit("p/"), (n * 2 + i).cast("string")) for i in (1, 2)])
-        found = level.select("url", n.alias("page_id")).join(pages, "page_id").select("url", (F.col("page_id") % 7 != 6).alias("ok"), F.when(F.col("page_id") % 7 != 6, to).otherwise(F.expr("CAST(array() AS array<string>)")).alias("links"))
-        return level.select("url").join(found, "url", "left").select("url", F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("links", F.expr("CAST(array() AS array<string>)")).alias("links"))
+        found = level.select("url", n.alias("page_id")).join(pages, "page_id").where(F.col("page_id") % 7 != 6).select("url", to.alias("links"))
+        return level.select("url").join(found, "url", "left").select("url", F.col("links").isNotNull().alias("ok"), F.coalesce("links", F.expr("CAST(array() AS array<string>)")).alias("links"))
+
+    got = crawl.bfs_crawl(s.createDataFrame([("p/0", 0)], "url string, ord long"), fetch, 8, 300)
+    return got.select("url", _long("depth").alias("depth"), _long("position").alias("position"), "ok")
+
+
+# From pages to records.
+
+_PAGES_SQL = f"g AS (SELECT d.doc_id AS ord, 'http://h.example/' || source || '/' || d.doc_id AS url, coalesce(nullif(lang, 'en'), source) AS title, text AS content, {_hash('text', 12000)} AS h, l.quality = 1 AS ok FROM documents d LEFT JOIN labels l USING (doc_id))"
+_JUDGED_SQL = (
+    f"{_PAGES_SQL}, f AS (SELECT h, min(ord) AS f FROM g WHERE ok AND length(content) >= 120 GROUP BY h), "
+    "j AS (SELECT g.*, CASE WHEN length(content) < 120 THEN 'content_too_short' WHEN ord > f THEN 'duplicate_content' WHEN ok THEN 'kept' ELSE 'ai_content_irrelevant' END AS status FROM g LEFT JOIN f USING (h))"
+)
+
 
-    return crawl.bfs_crawl(s.createDataFrame([("p/0", 0)], "url string, ord long"), fetch, 4, 20)
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    """Documents as fetched pages: English ones without a title of their own, and labels as the judge's replies."""
+    labels = table(s, d, "labels").select("doc_id", F.to_json(F.struct((F.col("quality") == 1).alias("useful"), F.lit("guide").alias("category"))).alias("reply"))
+    docs = table(s, d, "documents").join(labels, "doc_id", "left")
+    url = F.concat(F.lit("http://h.example/"), "source", F.lit("/"), F.col("doc_id").cast("string"))
+    pages = docs.select(F.col("doc_id").alias("ord"), url.alias("url"), F.nullif("lang", F.lit("en")).alias("title"), F.col("source").alias("frontier_title"), F.col("text").alias("content"), plan.verdict(F.col("reply")).alias("v"))
+    return plan.judged(pages, F.col("v.useful"), F.col("v.category"), F.col("v.reason")).drop("v")
+
+
+@query(f"WITH {_JUDGED_SQL} SELECT ord, title, status, CASE WHEN ok IS NULL THEN 'other' ELSE 'guide' END AS ai_category FROM j")
+def judge_pages(s, d):
+    return _pages(s, d).select("ord", "title", "status", "ai_category")
+
+
+@query(f"WITH {_JUDGED_SQL} SELECT ord, url, status AS reason, title, CASE status WHEN 'duplicate_content' THEN h END AS content_hash, CASE status WHEN 'content_too_short' THEN length(content) ELSE -1 END AS length, CASE status WHEN 'ai_content_irrelevant' THEN '' END AS reason_detail FROM j WHERE status <> 'kept'")
+def page_failures(s, d):
+    return plan.failures(_pages(s, d)).withColumn("length", F.coalesce(_long("length"), F.lit(-1).cast("long")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN true ELSE l.quality = 1 END AS relevant FROM documents LEFT JOIN labels l USING (doc_id) WHERE doc_id % 5 = 0 OR l.quality = 1")
+def relevant_urls(s, d):
+    labels = table(s, d, "labels").select("doc_id", F.to_json(F.struct((F.col("quality") == 1).alias("relevant"))).alias("reply"))
+    rows = table(s, d, "documents").select("doc_id").join(labels, "doc_id", "left")
+    return plan.relevant_urls(rows, F.col("reply"), F.col("doc_id") % 5 == 0).select("doc_id", F.lit(True).alias("relevant"))
+
+
+_CHUNKS_OF_KEPT = f"{_JUDGED_SQL}, s AS (SELECT *, {_strip('content')} AS t FROM j WHERE status = 'kept'), w AS (SELECT *, unnest(range(0, greatest(0, ceil((length(t) - 2200) / 1900.0)::BIGINT) + 1)) AS i FROM s), c0 AS (SELECT *, {_strip('substring(t, i * 1900 + 1, 2200)')} AS chunk FROM w), c AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY i) AS chunk_id FROM c0 WHERE length(chunk) >= 250)"
+
+
+@query(
+    f"WITH {_CHUNKS_OF_KEPT}, p AS (SELECT ord, url, title, chunk_id, chunk, 0 AS k, 'What does ' || {_strip('substring(chunk, 1, 6)')} || ' say?' AS question, {_strip('substring(chunk, 1, 60)')} AS answer, chunk_id = 1 AS own FROM c), "
+    "q AS (SELECT *, md5(replace(regexp_replace(question, '\\s+', '', 'g'), '？', '?')) AS id FROM p WHERE length(question) >= 5 AND length(answer) >= 5), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord, chunk_id, k) AS n FROM q) "
+    "SELECT id, question, answer, CASE WHEN own THEN 'own' ELSE 'guide' END AS category, substring(chunk, 1, 250) AS evidence, title || ' - chunk ' || chunk_id AS source_title, url AS source_url, chunk_id::BIGINT AS chunk_id, md5(url) AS source_doc_id FROM r WHERE n = 1"
+)
+def qa_synthesis(s, d):
+    """Records from stand-in replies: one pair from the chunk's head, and one too short to stay; the first chunk's pair names its category."""
+    documents = plan.raw_documents(_pages(s, d))
+    head = lambda n: X.strip(F.substring("chunk", 1, n))
+    pair = F.struct(F.concat(F.lit("What does "), head(6), F.lit(" say?")).alias("question"), head(60).alias("answer"), F.when(F.col("chunk_id") == 1, "own").alias("category"), F.lit(" ").alias("evidence"))
+    short = F.struct(F.lit("Why?").alias("question"), head(60).alias("answer"), F.lit(None).cast("string").alias("category"), F.lit("").alias("evidence"))
+    replies = plan.chunked(documents).select("ord", "chunk_id", F.to_json(F.struct(F.array(short, pair).alias("qa_pairs"))).alias("reply"))
+    return plan.synthesized(documents, replies).withColumn("chunk_id", _long("chunk_id"))
 
 
 # Records: questions, answers, JSON.
@@ -386,7 +452,7 @@ def json_clean_braces(s, d):
 @query("SELECT CASE WHEN l = '' THEN 'blank' WHEN json_valid(l) THEN 'ok' ELSE 'bad' END AS status, count(*) AS n FROM (SELECT CASE event_id % 10 WHEN 0 THEN '' WHEN 1 THEN substring(props, 2) ELSE props END AS l FROM events) GROUP BY 1")
 def scan_jsonl(s, d):
     m = F.col("event_id") % 10
-    rows = table(s, d, "events").select(F.col("event_id").alias("ord"), F.when(m == 0, "").when(m == 1, F.substring("props", 2, 1_000_000)).otherwise(F.col("props")).alias("value"))
+    rows = table(s, d, "events").select(F.col("event_id").alias("ord"), F.when(m == 0, "").when(m == 1, F.expr("substring(props, 2)")).otherwise(F.col("props")).alias("value"))
     return jsonl.with_status(rows).groupBy("status").agg(F.count("*").alias("n"))
 
 

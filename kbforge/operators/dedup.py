@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key in the order. A minimum per key first (combined before the shuffle), so a hot key never gathers in one task."""
-    first = rows.groupBy(key).agg(F.min(order).alias("_first"))
-    return rows.join(first.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")) & (F.col(order) == F.col("_first"))).drop("_key", "_first")
+    """One row of each key: the first in the order; of rows that tie there, the least by all columns. A minimum per key, combined before
+    the shuffle, so a hot key never gathers in one task."""
+    first = rows.groupBy(key).agg(F.min(F.struct(order, *[c for c in rows.columns if c != order])).alias("_first"))
+    return first.select(*[F.col("_first")[c].alias(c) for c in rows.columns])
 
 
 def not_in_history(rows: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,10 +32,9 @@ def accepted_first(rows: DataFrame, key: str, order: str, accepted: Column, hist
 
 
 def failure_log(failures: DataFrame, order: str, history: DataFrame | None = None) -> DataFrame:
-    """The first row of each (url, reason) that history lacks; rows without a URL go."""
-    rows = failures.where("url <> ''")
-    w = rows.groupBy("url", "reason").agg(F.min(order).alias(order))
-    out = rows.join(w, ["url", "reason", order]).select(*failures.columns)
+    """The first row of each (url, reason) that history lacks, of ties the least by all columns; rows without a URL go."""
+    out = failures.where("url <> ''").groupBy("url", "reason").agg(F.min(F.struct(order, *[c for c in failures.columns if c != order])).alias("_first"))
+    out = out.select(*[F.col("_first")[c].alias(c) for c in failures.columns])
     return not_in_history(out, history, ["url", "reason"]) if history is not None else out
 
 

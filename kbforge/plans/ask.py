@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbforge.config import Config
-from kbforge.functions.text import query_prefix, rerank_doc_text
+from kbforge.functions.text import query_prefix, rerank_doc_text, strip
 from kbforge.operators import retrieval
 from kbforge.sources import connectors
 
@@ -33,9 +33,19 @@ def open_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/items")
 
 
-def ask(index: DataFrame, questions: DataFrame, embed: Callable, score: Callable, complete: connectors.Completer, config: Config = Config()) -> DataFrame:
-    """questions(query_id, question) to rows (query_id, reply)."""
-    asked = questions.where("trim(question) <> ''").withColumn("embedding", embed(query_prefix(config.query_task, F.col("question"))))
+#: Words that end a session (fixed values).
+EXIT_WORDS = ("exit", "quit", "q")
+
+
+def asking(questions: DataFrame) -> DataFrame:
+    """Questions that want an answer: neither blank nor an exit word."""
+    q = F.lower(strip(F.coalesce("question", F.lit(""))))
+    return questions.where((q != "") & ~q.isin(*EXIT_WORDS))
+
+
+def ask(index: DataFrame, questions: DataFrame, embed: Callable, score: Callable, complete: connectors.ChatCompleter, config: Config = Config()) -> DataFrame:
+    """questions(query_id, question) to rows (query_id, reply). Blank questions and the words that end a session have none."""
+    asked = asking(questions).withColumn("embedding", embed(query_prefix(config.query_task, F.col("question"))))
     hits = retrieval.knn_topk_batch(index, asked.select("query_id", "embedding"), config.top_k, "id")
     hits = hits.join(index.drop("embedding"), "id")
     null = F.lit(None).cast("string")
@@ -46,6 +56,6 @@ def ask(index: DataFrame, questions: DataFrame, embed: Callable, score: Callable
     else:
         best = retrieval.topn_no_rerank(hits, config.rerank_top_n).withColumns({"faiss_rank": F.col("rank"), "faiss_score": F.col("score"), "rerank_score": null.cast("double")})
     context = retrieval.build_context(best).join(asked.select("query_id", "question"), "query_id")
-    prompts = context.select(F.col("query_id").alias("id"), F.element_at(retrieval.chat_messages(F.col("question"), F.col("context")), 2)["content"].alias("prompt"))
-    answers = connectors.generate(prompts, complete).select(F.col("id").cast("long").alias("query_id"), "answer")
+    requests = context.select(F.col("query_id").alias("id"), retrieval.chat_messages(F.col("question"), F.col("context")).alias("messages"))
+    answers = connectors.generate(requests, complete).select(F.col("id").cast("long").alias("query_id"), "answer")
     return retrieval.answer_with_sources(best, answers)

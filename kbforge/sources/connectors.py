@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbforge.functions.text import json_clean
+from kbforge.functions.urls import domain_allowed
 
 
 class Fetcher(Protocol):
@@ -28,6 +29,12 @@ class Completer(Protocol):
     def __call__(self, prompt: str) -> str: ...
 
 
+class ChatCompleter(Protocol):
+    """Messages (role, content) and settings to a model's reply; may raise."""
+
+    def __call__(self, messages: list[dict[str, str]], **options) -> str: ...
+
+
 def fetch(urls: DataFrame, fetcher: Fetcher, url: str = "url") -> DataFrame:
     """Rows (url, final_url, content_type, body), nulls where the fetch failed."""
 
@@ -61,9 +68,10 @@ def ask_json(prompts: DataFrame, complete: Completer, retries: int = 2, wait: Ca
     return prompts.select(F.col("id").cast("string"), "prompt").mapInPandas(run, "id string, reply string")
 
 
-def search_web(keywords: DataFrame, hits: DataFrame, most: int) -> DataFrame:
-    """keywords(keyword) against a table hits(keyword, ord, url, title, snippet): the first `most` of each."""
-    return hits.join(keywords.select("keyword").distinct(), "keyword", "left_semi").where(F.col("ord") < most)
+def search_web(keywords: DataFrame, hits: DataFrame, most: int, domains: tuple[str, ...] = ()) -> DataFrame:
+    """keywords(keyword) against a table hits(keyword, ord, url, title, snippet): the first `most` of each, then those with a URL in the domains. A keyword whose search failed has no hits."""
+    first = hits.join(keywords.select("keyword").distinct(), "keyword", "left_semi").where(F.col("ord") < most)
+    return first.where((F.coalesce("url", F.lit("")) != "") & domain_allowed(F.col("url"), domains))
 
 
 def hashed_vector(text: str, dim: int = 64) -> np.ndarray:
@@ -77,12 +85,35 @@ def hashed_vector(text: str, dim: int = 64) -> np.ndarray:
     return (v / n if n else v).astype(np.float32)
 
 
-def embedder(dim: int = 64, model: Callable[[str], np.ndarray] | None = None):
-    """Pandas UDF text to unit vector."""
+_loaded: dict[str, Callable[[list[str]], list[np.ndarray]]] = {}
+
+
+def embedder(dim: int = 64, model: Callable[[str], np.ndarray] | None = None, load: Callable[[], Callable[[list[str]], list[np.ndarray]]] | None = None, name: str = "", batch: int = 8, max_tokens: int = 8192):
+    """Pandas UDF text to vector, `batch` texts a call, each cut to its first max_tokens words (a service counts its own tokens).
+
+    load gives the model (texts to vectors); it runs once per worker process and `name`, at its first batch, and is what is shipped
+    instead of the model. Without one, model maps a text at a time; without either, vectors are hashed from trigrams."""
+
+    def ready() -> Callable[[list[str]], list[np.ndarray]]:
+        if load is None:
+            one = model or (lambda x: hashed_vector(x, dim))
+            return lambda texts: [one(t) for t in texts]
+        if name not in _loaded:
+            _loaded[name] = load()
+        return _loaded[name]
+
+    def cut(text: str | None) -> str:
+        words = (text or "").split(None, max_tokens)
+        return text or "" if len(words) <= max_tokens else " ".join(words[:max_tokens])
 
     @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: (model or (lambda x: hashed_vector(x, dim)))(t or ""))
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = ready()
+        for part in texts:
+            vectors: list[np.ndarray] = []
+            for at in range(0, len(part), batch):
+                vectors += list(encode([cut(t) for t in part.iloc[at : at + batch]]))
+            yield pd.Series(vectors, index=part.index, dtype=object)
 
     return run
 
@@ -103,20 +134,32 @@ def cross_scorer(model: Callable[[str, str], float] = overlap_score):
     return run
 
 
-def generate(requests: DataFrame, complete: Completer) -> DataFrame:
-    """requests(id, prompt) to rows (id, answer); a failure becomes the answer's text."""
+#: Settings of a chat request, and the one that a service may not know (fixed values).
+CHAT_OPTIONS = {"temperature": 0.2, "top_p": 0.8, "max_tokens": 512, "chat_template_kwargs": {"enable_thinking": False}}
+OPTIONAL = "chat_template_kwargs"
 
-    def one(prompt: str) -> str:
+
+def generate(requests: DataFrame, complete: ChatCompleter, options: dict = CHAT_OPTIONS) -> DataFrame:
+    """requests(id, messages array<struct<role,content>>) to rows (id, answer). A failure that names the optional setting is tried once
+    more without it; any other one becomes the answer's text."""
+
+    def one(messages: list[dict[str, str]]) -> str:
         try:
-            return complete(prompt)
+            try:
+                return complete(messages, **options)
+            except Exception as e:
+                if OPTIONAL not in options or OPTIONAL not in str(e):
+                    raise
+                return complete(messages, **{k: v for k, v in options.items() if k != OPTIONAL})
         except Exception as e:
             return f"运行出错：{e!r}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "answer": [one(p) for p in batch["prompt"]]})
+            chats = [[{"role": m["role"], "content": m["content"]} for m in ms] for ms in batch["messages"]]
+            yield pd.DataFrame({"id": batch["id"], "answer": [one(c) for c in chats]})
 
-    return requests.select(F.col("id").cast("string"), "prompt").mapInPandas(run, "id string, answer string")
+    return requests.select(F.col("id").cast("string"), "messages").mapInPandas(run, "id string, answer string")
 
 
-__all__ = ["Fetcher", "Completer", "fetch", "ask_json", "search_web", "hashed_vector", "embedder", "overlap_score", "cross_scorer", "generate", "json_clean"]
+__all__ = ["Fetcher", "Completer", "ChatCompleter", "CHAT_OPTIONS", "fetch", "ask_json", "search_web", "hashed_vector", "embedder", "overlap_score", "cross_scorer", "generate", "json_clean"]

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from kbforge.operators import chunk, crawl, dedup, qa, retrieval
+from kbforge.functions import prompts
 from kbforge.plans import ask
+from kbforge.plans import crawl as plan
 from kbforge.sources import connectors, html, office
 from kbforge.streaming import dedup as stream
 
@@ -202,7 +204,97 @@ def test_ask(spark, tmp_path):
     meta = spark.read.json(f"{tmp_path}/ix/meta").first()
     assert (meta.num_items, meta.dimension) == (3, 64)
     index = ask.open_index(spark, f"{tmp_path}/ix")
-    replies = ask.ask(index, spark.createDataFrame([(1, "where is room beta"), (2, " ")], "query_id long, question string"), embed, connectors.cross_scorer(), lambda p: "answer").collect()
+    replies = ask.ask(index, spark.createDataFrame([(1, "where is room beta"), (2, " "), (3, "Quit"), (4, None)], "query_id long, question string"), embed, connectors.cross_scorer(), lambda messages, **options: "answer" if messages[0]["role"] == "system" else "no system rule").collect()
     assert len(replies) == 1 and replies[0].reply.startswith("answer\n\n---\n\n**参考资料 Top 3：**\n- [1] where is room beta\n")
     with pytest.raises(FileNotFoundError):
         ask.open_index(spark, f"{tmp_path}/none")
+
+
+def test_generate_settings(spark):
+    def chat(messages, **options):
+        if "chat_template_kwargs" in options:
+            raise ValueError("unknown field chat_template_kwargs")
+        if messages[-1]["content"] == "bad":
+            raise OSError("down")
+        return f"{messages[0]['content']} {options['max_tokens']}"
+
+    rows = spark.createDataFrame([("1", [("system", "rule"), ("user", "x")]), ("2", [("user", "bad")])], "id string, messages array<struct<role:string,content:string>>")
+    got = {r.id: r.answer for r in connectors.generate(rows, chat).collect()}
+    assert got["1"] == "rule 512" and "down" in got["2"]
+
+
+def test_embedder_loads_once_and_cuts(spark, tmp_path):
+    def load():
+        open(f"{tmp_path}/{__import__('os').getpid()}-{__import__('uuid').uuid4().hex}", "w").close()
+        return lambda texts: [[float(len(t.split())), float(len(texts))] for t in texts]
+
+    embed = connectors.embedder(load=load, name=str(tmp_path), batch=4, max_tokens=3)
+    got = spark.range(10).coalesce(1).selectExpr("'a b c d e' AS t").select(embed("t").alias("v")).collect()
+    assert all(r.v[0] == 3.0 for r in got) and [r.v[1] for r in got] == [4.0] * 8 + [2.0] * 2
+    import os
+
+    assert len({f.split("-")[0] for f in os.listdir(tmp_path)}) == len(os.listdir(tmp_path))
+
+
+def test_keep_first_breaks_ties(spark):
+    rows = spark.createDataFrame([("k", 1, "b"), ("k", 1, "a"), ("k", 2, "0"), (None, 3, "n")], "key string, ord long, x string")
+    assert sorted((r.key or "", r.ord, r.x) for r in dedup.keep_first(rows, "key", "ord").collect()) == [("", 3, "n"), ("k", 1, "a")]
+    log = spark.createDataFrame([("u", "r", 1, "b"), ("u", "r", 1, "a"), ("", "r", 0, "c")], "url string, reason string, ord long, x string")
+    assert [tuple(r) for r in dedup.failure_log(log, "ord").collect()] == [("u", "r", 1, "a")]
+
+
+def test_crawl_fetches_no_more_than_it_may_keep(spark):
+    asked = []
+
+    def fetch(level):
+        asked.extend(r.url for r in level.collect())
+        return level.select("url", (F.col("url") != "u1").alias("ok"), F.expr("CAST(array() AS array<string>)").alias("links"))
+
+    got = crawl.bfs_crawl(spark.createDataFrame([(f"u{i}", i) for i in range(9)], "url string, ord long"), fetch, 1, 3).orderBy("position").collect()
+    assert [r.url for r in got] == ["u0", "u1", "u2", "u3"] and sorted(asked) == ["u0", "u1", "u2", "u3"]
+
+
+def test_pages_to_records(spark):
+    long = "word " * 400
+    rows = [
+        (1, "HTTP://H.e/a/", " T ", "F", "short"), (2, "http://h.e/b", "", "Front", long), (3, "http://h.e/c", None, None, long), (4, "http://h.e/d", "D", None, "text " * 60), (5, "http://h.e/e", "E", None, None),
+    ]
+    pages = spark.createDataFrame(rows, "ord long, url string, title string, frontier_title string, content string")
+    reply = F.when(F.col("ord") < 4, '{"useful": true, "category": "rules", "reason": "r"}').otherwise("not json")
+    v = plan.verdict(reply)
+    got = plan.judged(pages, v["useful"], v["category"], v["reason"])
+    by = {r.ord: r for r in got.collect()}
+    assert {k: r.status for k, r in by.items()} == {1: "content_too_short", 2: "kept", 3: "duplicate_content", 4: "ai_content_irrelevant", 5: "content_too_short"}
+    assert (by[2].title, by[3].title, by[2].ai_category, by[4].ai_category) == ("Front", "http://h.e/c", "rules", "other")
+    log = {r.ord: r for r in plan.failures(got).collect()}
+    assert sorted(log) == [1, 3, 4, 5] and log[1].url == "http://h.e/a" and log[1].length == 5 and log[3].content_hash == by[2].content_hash
+    docs = plan.raw_documents(got)
+    pairs = '{"qa_pairs": [{"question": " How long? ", "answer": "Very long"}, {"question": "Why", "answer": "too short"}, "no object", {"question": "How  long?", "answer": "Second one", "category": "x"}]}'
+    replies = plan.chunked(docs).select("ord", "chunk_id", F.when(F.col("chunk_id") == 1, pairs).otherwise('{"qa_pairs": 5}').alias("reply"))
+    made = plan.synthesized(docs, replies).collect()
+    assert [(r.question, r.answer, r.category, r.source_title, r.source_url, r.chunk_id) for r in made] == [("How long?", "Very long", "rules", "Front - chunk 1", "http://h.e/b", 1)]
+    assert made[0].evidence == long.strip()[:250] and plan.synthesized(docs, replies, known=spark.createDataFrame([(made[0].id,)], "id string")).count() == 0
+    assert qa.crawl_summary(got, records=spark.createDataFrame(made), discovered=pages).first().asDict() == {"pages": 5, "useful": 1, "skipped": 4, "new_qa": 1, "discovered": 5}
+
+
+def test_routes_of_fetched_pages(spark):
+    rows = [("http://a/x", "http://a/y.pdf", "application/pdf", b"1"), ("http://a/z.doc", None, "", b"1"), ("http://a/q", None, None, None)]
+    got = {r.url: (r.route, r.failure) for r in plan.routed(spark.createDataFrame(rows, "url string, final_url string, content_type string, body binary")).collect()}
+    assert got == {"http://a/y.pdf": ("pdf", None), "http://a/z.doc": ("unsupported_doc", "unsupported_doc"), "http://a/q": ("fetch_failed", "fetch_failed")}
+
+
+def test_failure_keys(spark):
+    rows = spark.createDataFrame([("HTTP://H/a/", "r"), ("http://h/a", "r"), ("", "r"), ("http://h/a", None)], "url string, reason string")
+    assert [tuple(r) for r in qa.load_failures(rows).collect()] == [("http://h/a", "r")]
+
+
+def test_prompts(spark):
+    t = F.lit("t" * 5000)
+    row = spark.range(1).select(prompts.keywords(F.lit("need")).alias("k"), prompts.content_judge(F.lit("need"), F.lit(None).cast("string"), F.lit("u"), t).alias("c"), prompts.qa_pairs(F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d")).alias("q"), prompts.url_judge(F.lit("n"), F.lit("u"), F.lit("t"), F.lit("s")).alias("u")).first()
+    assert "at most 20" in row.k and row.c.count("t" * 3500) == 1 and "t" * 3501 not in row.c and '"qa_pairs"' in row.q and '"relevant"' in row.u
+
+
+def test_search_web(spark):
+    hits = spark.createDataFrame([("k", 0, "http://a.b/1"), ("k", 1, "http://z/2"), ("k", 2, ""), ("k", 3, "http://a.b/4"), ("other", 0, "http://a.b/5")], "keyword string, ord long, url string")
+    got = connectors.search_web(spark.createDataFrame([("k",), ("none",)], "keyword string"), hits, 3, ("a.b",))
+    assert [r.url for r in got.collect()] == ["http://a.b/1"]
