@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 
@@ -29,7 +30,7 @@ def _powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     have = _tables.get(kind)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, SLICE_BYTES + 1)
         out = []
         for base in (_BASE[kind], pow(_BASE[kind], -1, 1 << 64)):
             steps = np.full(size, base, np.uint64)
@@ -65,6 +66,18 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         at = to
 
 
+def pieces(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) of consecutive rows of at most `limit` bytes, one row at least, of strings or binaries."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield at, to
+        at = to
+
+
 class Words:
     """starts, ends: byte places of all words; first: index of each document's first word, and the count at the end."""
 

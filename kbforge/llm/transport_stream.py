@@ -7,7 +7,8 @@ PES reassembly, time stamps and random-access points.
 
 Null or empty text counts as empty: its payload is one block of padding. Equal texts give equal values, repeated rows and
 ties included; extra columns are ignored; an empty table gives an empty table. A document is muxed in one row, whatever
-its length. A stream that lacks packets is still read: gaps are counted, what follows is kept.
+its length. A stream that lacks packets is still read: gaps are counted, units that lack bytes are named, what follows is kept.
+A packet that is sent twice in a row, as the standard allows, counts once. Table sections may span packets. A null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from kbforge.llm import kernel
+
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, ES_PID, PROGRAM, STREAM_TYPE, STREAM_ID = 0, 0x100, 0x101, 1, 0x06, 0xBD
 #: Bytes of payload in an access unit, ticks of the 90 kHz clock between units, units between program tables.
@@ -111,14 +114,40 @@ class Stream:
     es_pid: int | None
     bad_tables: int
     gaps: int
+    repeated: int  # packets that came twice in a row
+    broken: list[int]  # units that lack bytes
     units: list[tuple[int | None, bool, bytes]]  # time stamp, random access, payload
 
 
-def _sections(rows: np.ndarray, begin: np.ndarray) -> Iterator[bytes]:
-    for row, at in zip(rows, begin):
+def _sections(rows: np.ndarray, begin: np.ndarray, start: np.ndarray) -> Iterator[bytes]:
+    """Sections of the packets of one PID, put together where they span packets. What is cut off by a start is given as it is."""
+    held = b""
+    for row, at, first in zip(rows, begin, start):
         data = row.tobytes()[at:]
-        data = data[1 + data[0] :] if data else b""
-        yield data[: 3 + ((data[1] & 15) << 8 | data[2])] if len(data) > 3 else b""
+        if first and data:
+            held += data[1 : 1 + data[0]]
+            yield from _cut(held)[0]
+            if _cut(held)[1]:
+                yield _cut(held)[1]
+            held = data[1 + data[0] :]
+        elif held:
+            held += data
+        done, held = _cut(held)
+        yield from done
+    if held:
+        yield held
+
+
+def _cut(data: bytes) -> tuple[list[bytes], bytes]:
+    """Whole sections and what is left of one; stuffing ends the data."""
+    out = []
+    while len(data) >= 3 and data[0] != 0xFF:
+        size = 3 + ((data[1] & 15) << 8 | data[2])
+        if len(data) < size:
+            return out, data
+        out.append(data[:size])
+        data = data[size:]
+    return out, b"" if data[:1] in (b"\xff", b"") else data
 
 
 def _aligned(media: bytes) -> tuple[np.ndarray, int]:
@@ -144,23 +173,32 @@ def demux(media: bytes) -> Stream:
     begin = np.where(kind & 1, np.minimum(begin, PACKET), PACKET)
     access = (kind & 2 > 0) & (rows[:, 4] > 0) & (rows[:, 5] & 64 > 0)
     gaps = 0
+    again = np.zeros(len(rows), bool)
     for p in np.unique(pid):
-        own = counter[(pid == p) & (kind & 1 > 0)].astype(np.int32)
-        gaps += int(((np.diff(own) - 1) % 16 != 0).sum())
+        at = np.flatnonzero((pid == p) & (kind & 1 > 0))
+        step = np.diff(counter[at].astype(np.int32)) % 16
+        still = np.flatnonzero(step == 0)
+        twice = still[(rows[at[still]] == rows[at[still + 1]]).all(1)]
+        again[at[twice + 1]] = True
+        gaps += int((step != 1).sum()) - len(twice)
+    if again.any():
+        stays = ~again
+        rows, pid, start, kind, counter, begin, access = rows[stays], pid[stays], start[stays], kind[stays], counter[stays], begin[stays], access[stays]
     bad, program, pmt_pid, es_pid = 0, None, None, None
-    for s in dict.fromkeys(_sections(rows[(pid == PAT_PID) & start], begin[(pid == PAT_PID) & start])):
+    for s in dict.fromkeys(_sections(*(x[pid == PAT_PID] for x in (rows, begin, start)))):
         if section_crc(s) or len(s) < 16:
             bad += 1
         else:
             program, pmt_pid = s[8] << 8 | s[9], (s[10] & 31) << 8 | s[11]
     if pmt_pid is not None:
-        for s in dict.fromkeys(_sections(rows[(pid == pmt_pid) & start], begin[(pid == pmt_pid) & start])):
+        for s in dict.fromkeys(_sections(*(x[pid == pmt_pid] for x in (rows, begin, start)))):
             if section_crc(s) or len(s) < 21:
                 bad += 1
             else:
                 at = 12 + ((s[10] & 15) << 8 | s[11])
                 es_pid = (s[at + 1] & 31) << 8 | s[at + 2]
     units: list[tuple[int | None, bool, bytes]] = []
+    broken: list[int] = []
     if es_pid is not None:
         own = pid == es_pid
         mine, begin, start, access = rows[own], begin[own], start[own], access[own]
@@ -177,8 +215,10 @@ def demux(media: bytes) -> Stream:
                 x = pes[9:14]
                 pts = (x[0] >> 1 & 7) << 30 | x[1] << 22 | (x[2] >> 1) << 15 | x[3] << 7 | x[4] >> 1
             long = pes[4] << 8 | pes[5]
+            if long and len(pes) < 6 + long:
+                broken.append(len(units))
             units.append((pts, bool(access[a]), pes[9 + pes[8] : 6 + long if long else None]))
-    return Stream(len(rows), lost, program, pmt_pid, es_pid, bad, gaps, units)
+    return Stream(len(rows) + int(again.sum()), lost, program, pmt_pid, es_pid, bad, gaps, int(again.sum()), broken, units)
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -198,10 +238,9 @@ def with_media(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", text).mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 64) -> Iterator[tuple[pa.Array, list[str | None]]]:
-    for at in range(0, batch.num_rows, rows):
-        part = batch.slice(at, rows)
-        yield part.column(0), part.column(1).to_pylist()
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    for a, b in kernel.pieces(batch.column(1)):
+        yield batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).to_pylist()
 
 
 def features(stored: DataFrame) -> DataFrame:
@@ -214,14 +253,14 @@ def features(stored: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part, rows = batch.slice(at, 64), []
+            for a, b in kernel.pieces(batch.column(2)):
+                part, rows = batch.slice(a, b - a), []
                 for doc, n, media in zip(*(part.column(i).to_pylist() for i in range(3))):
                     s = demux(media)
                     payload = b"".join(u for _, _, u in s.units)
                     stamps = [p for p, _, _ in s.units if p is not None]
                     points = [i for i, (_, r, _) in enumerate(s.units) if r]
-                    feature = f"program={s.program};pmt={s.pmt_pid};es={s.es_pid};packets={s.packets};units={len(s.units)};access={len(points)};first_pts={stamps[0] if stamps else -1};last_pts={stamps[-1] if stamps else -1};gaps={s.gaps};bad={s.bad_tables};lost={s.lost_sync}"
+                    feature = f"program={s.program};pmt={s.pmt_pid};es={s.es_pid};packets={s.packets};units={len(s.units)};access={len(points)};first_pts={stamps[0] if stamps else -1};last_pts={stamps[-1] if stamps else -1};gaps={s.gaps};repeated={s.repeated};broken={len(s.broken)};bad={s.bad_tables};lost={s.lost_sync}"
                     rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, stamps, points))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names)
 
@@ -232,4 +271,4 @@ _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    return features(with_media(docs)).drop("timestamps", "random_access")
+    return features(with_media(docs))

@@ -412,7 +412,7 @@ def test_transport_stream(docs, empty):
         payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         x = got[i]
         assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert "gaps=0;bad=0;lost=0" in x.feature and x.media_bytes % 188 == 0
+        assert "gaps=0;repeated=0;broken=0;bad=0;lost=0" in x.feature and x.timestamps == [i * 3600 for i in range(-(-len(payload) // 4608))] and x.random_access == list(range(len(x.timestamps))) and x.media_bytes % 188 == 0
     assert got[4].media_sha256 == got[5].media_sha256 and transport_stream.op5(empty).count() == 0
 
 
@@ -422,7 +422,15 @@ def test_transport_stream_damage():
     s = transport_stream.demux(media)
     assert b"".join(u for _, _, u in s.units) == payload and [p for p, _, _ in s.units] == [i * 3600 for i in range(len(s.units))] and all(a for _, a, _ in s.units)
     hurt = transport_stream.demux(media[: 188 * 10] + media[188 * 11 :])
-    assert hurt.gaps == 1
+    assert hurt.gaps == 1 and hurt.broken == [0] and b"".join(u for _, _, u in hurt.units[1:]) == payload[4608:]
+    twice = transport_stream.demux(media[: 188 * 10] + media[188 * 9 :])
+    assert (twice.gaps, twice.repeated, twice.broken) == (0, 1, []) and b"".join(u for _, _, u in twice.units) == payload
+    # a section that begins in one packet and ends in the next
+    pat = transport_stream._PAT
+    head = lambda start, c: transport_stream._head(0, start, 1, c)
+    split = head(True, 0) + (b"\0" + b"\xff" * 0 + transport_stream._section(0, 1, b"\0\1\xe1\0" + b"\0\2\xe1\5" * 50))[:184] + head(False, 1) + (b"\0" + transport_stream._section(0, 1, b"\0\1\xe1\0" + b"\0\2\xe1\5" * 50))[184:].ljust(184, b"\xff")
+    long = transport_stream.demux(split + media[188:])
+    assert long.bad_tables == 0 and long.program == 1 and len(pat) == 16 and b"".join(u for _, _, u in long.units) == payload
     shifted = transport_stream.demux(b"abc" + media)
     assert shifted.lost_sync == 3 and b"".join(u for _, _, u in shifted.units) == payload
     bad = bytearray(media)
