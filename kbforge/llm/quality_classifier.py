@@ -1,18 +1,20 @@
 """Operator 10, quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader (FTRL-proximal).
 
-Features are hashes of lower-cased words, of word pairs, and of word shapes (capitals, digits, symbol endings), folded
-into 2**BITS buckets; a document's value of a bucket is its count there over the square root of the sum of squares.
-Scoring is a sparse dot product, a vector operation per slice of bytes. Training takes labelled rows only; where there
-are more than MAX_LABELLED of them, those with the lowest hash of doc_id (a bounded sample, the same at every size).
+Features are hashes of lower-cased words and of word pairs, and of each word's shape (first and last characters' classes and length:
+a word's n-gram stripped of its letters, which tells junk of any vocabulary), folded into 2**BITS buckets; a document's value of
+a bucket is log(1 + its count there) over the Euclidean norm of these. Scoring is a sparse dot product, a vector operation per slice
+of bytes. Training takes labelled rows only; where there are more than MAX_LABELLED of them, those with the lowest hash of doc_id (a
+bounded sample, the same at every size). Their features are written and read in order, a partition at a time, once an epoch, so the
+driver holds the weights and one partition's features.
 
 Null or empty text: no features, the score is the bias alone. No labelled rows, or of one class only: the weights stay
 at what the updates give, scores stay in 0..1. Ties and repeated rows are scored alike; repeated labels of one doc_id
-each count. An empty table gives an empty table; other columns, doc_id included, never enter a score.
+each count. A null doc_id is scored, and not held out. An empty table gives an empty table; other columns, doc_id included, never enter a score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbforge.llm import kernel
+from kbforge.llm.scratch import written
 
 BITS = 18
 #: Bound on the labelled rows that training reads.
@@ -75,25 +78,28 @@ def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def train(rows: list[tuple[float, bytes, bytes]]) -> tuple[np.ndarray, float]:
-    """FTRL-proximal over (label, keys, values); returns weights and bias. The last coordinate is the bias."""
+def train(epoch: Callable[[], Iterable[tuple[float, bytes, bytes]]]) -> tuple[np.ndarray, float]:
+    """FTRL-proximal over (label, keys, values), gone through EPOCHS times; returns weights and bias. The last coordinate is the bias."""
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
-    for epoch in range(EPOCHS):
-        for y, keys, values in rows:
+    for _ in range(EPOCHS):
+        for y, keys, values in epoch():
             k = np.append(np.frombuffer(keys, np.uint32).astype(np.int64), size - 1)
             x = np.append(np.frombuffer(values, np.float32), 1.0)
             zk, nk = z[k], n[k]
-            w = np.where(np.abs(zk) <= L1, 0.0, -(zk - np.sign(zk) * L1) / ((BETA + np.sqrt(nk)) / ALPHA + L2))
-            p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -30, 30)))
+            p = 1.0 / (1.0 + np.exp(-np.clip(_weights(zk, nk) @ x, -30, 30)))
             g = (p - y) * x
             g2 = g * g
-            z[k] = zk + g - (np.sqrt(nk + g2) - np.sqrt(nk)) / ALPHA * w
+            z[k] = zk + g - (np.sqrt(nk + g2) - np.sqrt(nk)) / ALPHA * _weights(zk, nk)
             n[k] = nk + g2
-    w = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+    w = _weights(z, n)
     return w[:-1].astype(np.float32), float(w[-1])
 
 
+def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, float]:
     """Trains on the labelled rows of docs(doc_id, text), at most max_labelled of them."""
     chosen = (
@@ -101,10 +107,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int = MAX_
         .orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_labelled)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
-    found = rows.mapInArrow(featurize, "doc_id bigint, y double, keys binary, vals binary").toArrow()
-    order = np.lexsort((found.column("y").to_numpy(), kernel.mix(found.column("doc_id").to_numpy().view(np.uint64))))
-    ys, keys, values = found.column("y").to_pylist(), found.column("keys"), found.column("vals")
-    return train([(ys[i], keys[int(i)].as_buffer(), values[int(i)].as_buffer()) for i in order])
+    found = written(rows.mapInArrow(featurize, "doc_id bigint, y double, keys binary, vals binary"), "qc-features")
+    ordered = found.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "keys").select("y", "keys", "vals")
+    return train(ordered.toLocalIterator)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:

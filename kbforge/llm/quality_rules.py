@@ -19,6 +19,8 @@ BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript",
     "lorem ipsum", "click here", "sign up for our newsletter", "skip to content",
 )
+#: A phrase makes a line boilerplate if the line has at most so many words: a paragraph may mention one.
+BOILERPLATE_LINE = 30
 #: A line of fewer words must end as a sentence does.
 SHORT_LINE = 4
 #: Separators and their share of a line's words that make it navigation.
@@ -44,8 +46,8 @@ def judged_lines(text: Column) -> Column:
             x.alias("line"),
             F.lower(x).alias("low"),
             F.size(words(x)).alias("n"),
-            (F.length(x) - F.length(F.regexp_replace(x, "[|»›•]", ""))).alias("marks"),
-            (F.length(x) - F.length(F.regexp_replace(x, "[#*$%&<>]", ""))).alias("symbols"),
+            (F.length(x) - F.length(F.translate(x, "|»›•", ""))).alias("marks"),
+            (F.length(x) - F.length(F.translate(x, "#*$%&<>", ""))).alias("symbols"),
         ),
     )
     return F.transform(measured, lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), _fails(x).alias("fails")))
@@ -57,6 +59,7 @@ def _fails(x: Column) -> Column:
     boilerplate = F.lit(False)
     for phrase in BOILERPLATE:
         boilerplate = boilerplate | low.contains(phrase)
+    boilerplate = (n <= BOILERPLATE_LINE) & boilerplate
     navigation = (x["marks"] >= NAV_MARKS) & (x["marks"] >= NAV_SHARE * n)
     garbage = x["symbols"] >= F.greatest(F.lit(2.0), SYMBOLS_PER_WORD * n)
     shouting = (n >= SHOUT_WORDS) & (line != low) & (line == F.upper(line))
@@ -99,7 +102,7 @@ def line_first_quality(docs: DataFrame, text: str = "text", keep_share: float =
     quality = F.struct(
         n_words.alias("n_words"),
         F.length(F.array_join("_q_words", "")).cast("long").alias("word_chars"),
-        (F.length("_q_text") - F.length(F.regexp_replace("_q_text", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
+        (F.length("_q_text") - F.length(F.translate("_q_text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("_q_lines") - F.size(F.array_distinct("_q_lines.line"))).cast("long").alias("n_dup_lines"),
         F.col("_q.repeat").alias("n_repeat_words"),
         base.alias("base_failed"),
@@ -121,7 +124,7 @@ def op8(docs: DataFrame) -> DataFrame:
 _SQL_BAD = r"""((len(w) < 4 AND NOT regexp_matches(l, '[.!?:;"''»”)。！？][\x20\x09-\x0D]*$'))
  OR (m >= 2 AND m >= 0.2 * len(w)) OR (s >= greatest(2.0, 0.5 * len(w)))
  OR (len(w) >= 3 AND l = upper(l) AND l <> lower(l))
- OR """ + " OR ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE) + ")"
+ OR (len(w) <= 30 AND (""" + " OR ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE) + ")))"
 
 ORACLE_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

@@ -98,6 +98,9 @@ def test_quality_rules_lines(spark):
     good = "This sentence has quite enough words to stay here."
     text = f"{good}\nhome | news | about | contact\nCLICK NOW TO WIN\nall rights reserved by us forever.\n*** $$$ ### &&& %%%\nMenu\n{good} Again it is."
     x = quality_rules.line_first_quality(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().quality
+    told = "He asked us to click here and there and to say what we saw on the long way down to the river where our boats had been since the first days of May."
+    y = quality_rules.line_first_quality(spark.createDataFrame([(1, f"{told}\nPlease click here.")], "doc_id long, text string")).first().quality
+    assert len(told.split()) > 30 and y.cleaned == told
     assert x.cleaned == f"{good}\n{good} Again it is." and x.n_lines == 7 and x.n_good_lines == 2
 
 
@@ -517,6 +520,48 @@ def test_quality_classifier(spark, docs, empty):
     assert quality_classifier.op10(docs, labels.where("false")).count() == len(ROWS)
 
 
+def test_quality_classifier_against_brute_force(spark):
+    texts = [prose(30, i) + (" $$$ ##" if i % 3 == 0 else "") for i in range(40)]
+    rows = []
+    for _, _, data, offsets in kernel.slices(pa.array(texts)):
+        of, key, value = quality_classifier.features(data, offsets)
+        for d in range(len(texts)):
+            rows.append((float(d % 3 == 0), key[of == d], value[of == d]))
+    assert all(abs((v.astype(float) ** 2).sum() - 1) < 1e-5 for _, _, v in rows)
+    # a word, a pair and a shape a word: two words twice each
+    for _, _, data, offsets in kernel.slices(pa.array(["ab cd ab cd"])):
+        _, _, value = quality_classifier.features(data, offsets)
+    counts = np.array([2, 2, 2, 1, 4])  # ab, cd, ab cd, cd ab, one shape
+    assert np.allclose(np.sort(value), np.sort(np.log1p(counts) / np.sqrt((np.log1p(counts) ** 2).sum())), atol=1e-6)
+    w, bias = quality_classifier.train(lambda: [(y, k.astype(np.uint32).tobytes(), v.tobytes()) for y, k, v in rows])
+    q, last = quality_classifier, 1 << quality_classifier.BITS
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= q.L1 else -(z[i] - math.copysign(q.L1, z[i])) / ((q.BETA + math.sqrt(n[i])) / q.ALPHA + q.L2)
+
+    for _ in range(q.EPOCHS):
+        for y, key, value in rows:
+            x = {**{int(k): float(v) for k, v in zip(key, value)}, last: 1.0}
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+            for i, g in [(i, (p - y) * v) for i, v in x.items()]:
+                old = weight(i)
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / q.ALPHA * old
+                n[i] += g * g
+    assert math.isclose(bias, weight(last), rel_tol=1e-6) and all(math.isclose(float(w[i]), weight(i), rel_tol=1e-4, abs_tol=1e-6) for i in list(z) if i != last)
+    got = by_id(q.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), (w, bias)))
+    for i, (_, key, value) in enumerate(rows):
+        assert math.isclose(got[i].score, 1 / (1 + math.exp(-sum(float(w[k]) * float(v) for k, v in zip(key, value)) - bias)), rel_tol=1e-6)
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark, docs):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    twice = docs.where("doc_id IN (7, 9)").union(docs.where("doc_id IN (7, 9, 1)"))
+    kept = pipeline.near_duplicates(spark, twice, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 7, 9]
+    assert by_id(pipeline.repeated_passages(spark, kept, ""))[7].text == ROWS[6][1]
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     now = docs
