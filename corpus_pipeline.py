@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbforge.llm import near_dedup, packing, pii, quality_rules, substring_dedup
-from kbforge.llm.scratch import written
+from kbforge.llm.scratch import drop_written, mark, written
 
 
 def _with_text(rows: DataFrame, columns: list[str], text) -> DataFrame:
@@ -31,8 +31,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _with_text(judged, docs.columns, F.when(same, F.col("text")).otherwise(F.col("quality.cleaned")))
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """docs without repeated rows. Only rows whose doc_id comes again are compared."""
+    again = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    some = docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(again, same, "left_anti").unionByName(some)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays."""
+    """Of each group of near copies the smallest doc_id stays, and one row of those with the same doc_id and text."""
+    docs = once(docs)
     gone = near_dedup.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -68,6 +77,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    begin = mark()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_written(begin, keep=1)  # what the stage wrote on its way, and its input
     return STAGES[-1][1](spark, docs, sf_dir)
