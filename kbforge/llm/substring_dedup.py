@@ -1,16 +1,16 @@
 """Operator 4, substring dedup by relative Lempel-Ziv parsing against an index of the whole corpus.
 
 The reference is the corpus itself, indexed in blocks: a block is a range of fingerprints of k-word windows, so a
-document is factored against every block by sending its windows to the ranges that they fall into. Content-chosen
-anchors (the least A-word hash of each window) come first: a window can only occur twice if its anchor does, so windows
+document is factored against every block by sending its windows to the ranges that they fall into. Windows are equal where their
+64-bit fingerprints are; words are not compared again. Content-chosen anchors (the least A-word hash of each window) come first: a window can only occur twice if its anchor does, so windows
 without such an anchor never travel. Each window that occurs elsewhere learns a reference place. The parse then is greedy: a
 factor starts at the first window with a reference and grows while the next window's reference is the next place, or is cut
 and a new one starts there. Every window is checked, those across factor boundaries too, so factors of k words or more
 are exactly the duplicate spans.
 
 Null or empty text: no words, nothing removed, kept text ''. Repeated rows are copies of each other, so every window of
-theirs occurs elsewhere; rows that share a doc_id must share their text. Ties between references go to the smallest
-(doc_id, place) of a block. Other columns are ignored; an empty table gives an empty table.
+theirs occurs elsewhere. A null doc_id, and one that stands with several texts, gives way to a hash of itself and the text while rows are
+told apart (in ref_doc too). Ties between references go to the smallest (doc_id, place) of a block. Other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from kbforge.llm.scratch import written
 
 #: Words of a window; words of an anchor.
 WINDOW, ANCHOR = 35, 12
+#: Unclear doc_ids that are broadcast at most.
+BROADCAST_IDS = 1_000_000
 
 _LONG = pa.list_(pa.int64())
 _INT = pa.list_(pa.int32())
@@ -238,10 +240,23 @@ _FACTS = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("r
 _OUT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string, factors array<struct<start:bigint,n_words:bigint,ref_doc:bigint,ref_start:bigint>>"
 
 
+def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs(doc_id, text, ...) with `_key`: doc_id, or a hash of it and the text where it is null or stands with several texts."""
+    own = F.xxhash64("doc_id", F.coalesce(F.col(text), F.lit("")))
+    unclear = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi OR _id IS NULL").select("_id", F.lit(True).alias("_unclear"))
+    unclear = written(unclear, "ss-unclear")
+    n = unclear.count()
+    if not n:
+        return docs.withColumn("_key", F.col("doc_id"))
+    found = docs.join(F.broadcast(unclear) if n <= BROADCAST_IDS else unclear, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return found.withColumn("_key", F.when(F.col("_unclear"), own).otherwise(F.col("doc_id"))).drop("_id", "_unclear")
+
+
 def remove_repeats(docs: DataFrame, k: int = WINDOW, anchor: int = ANCHOR, text: str = "text") -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_sha256, kept_text, factors); kept_text is null where nothing was removed."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    named = keyed(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")))
+    base = named.select(F.col("_key").alias("doc_id"), "text")
     anchors = written(base.mapInArrow(_anchors(k, anchor), "doc_id bigint, anchors array<bigint>"), "ss-anchor")
     places = anchors.select(F.explode("anchors").alias("h"), "doc_id").repartitionByRange(parts, "h", "doc_id").sortWithinPartitions("h", "doc_id")
     seeds = places.mapInArrow(_repeated, "doc_id bigint, h bigint").groupBy("doc_id").agg(F.collect_set("h").alias("seeds"))
@@ -262,7 +277,12 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, anchor: int = ANCHOR, text:
     none = parsed.where("text IS NULL").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"), F.expr("CAST(array() AS array<struct<start:bigint,n_words:bigint,ref_doc:bigint,ref_start:bigint>>)").alias("factors")
     )
-    return some.unionByName(none)
+    # keys that aren't doc_ids go back; there are none but for unclear rows
+    other = named.where("NOT (doc_id <=> _key)").select("_key", F.col("doc_id").alias("_doc_id"), F.lit(True).alias("_other")).distinct()
+    out = some.unionByName(none)
+    if other.isEmpty():
+        return out
+    return out.join(other, out["doc_id"] == other["_key"], "left").withColumn("doc_id", F.when(F.col("_other"), F.col("_doc_id")).otherwise(F.col("doc_id"))).drop("_key", "_doc_id", "_other")
 
 
 def op4(docs: DataFrame) -> DataFrame:

@@ -118,6 +118,16 @@ def test_substring_dedup(docs, empty):
         for f in x.factors:
             assert words[f.ref_doc][f.ref_start : f.ref_start + f.n_words] == w[f.start : f.start + f.n_words] and (f.ref_doc, f.ref_start) != (i, f.start)
     assert substring_dedup.op4(empty).count() == 0
+    # the same doc_id with several texts, null doc_ids, repeated rows
+    mixed = [(5, prose(50, 70) + PASSAGE), (5, PASSAGE + prose(40, 71)), (None, prose(30, 72) + PASSAGE), (None, prose(80, 73)), (6, prose(60, 74)), (6, prose(60, 74))]
+    count = collections.Counter(tuple(w[j : j + 35]) for w in (t.split() for _, t in mixed) for j in range(len(w) - 34))
+    want = []
+    for i, t in mixed:
+        w = t.split()
+        gone = {j + k for j in range(len(w) - 34) if count[tuple(w[j : j + 35])] > 1 for k in range(35)}
+        want.append((str(i), len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
+    rows = substring_dedup.op4(docs.sparkSession.createDataFrame(mixed, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in rows) == sorted(want)
     twice = substring_dedup.op4(docs.where("doc_id = 11").union(docs.where("doc_id = 11"))).collect()
     assert [r.n_removed for r in twice] == [9000, 9000]
 
