@@ -48,8 +48,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur elsewhere are cut out of every document that holds them."""
-    cut = substring_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text", _whole(docs)).join(cut, "doc_id", "left")
+    rows = substring_dedup.keyed(docs.select("doc_id", "text", _whole(docs)))
+    cut = substring_dedup.remove_repeats(rows.select(F.col("_key").alias("doc_id"), "text")).where("n_removed > 0").select(F.col("doc_id").alias("_key"), "kept_text").dropDuplicates(["_key"])
+    rows = rows.join(cut, "_key", "left")
     return _with_text(rows, docs.columns, F.coalesce("kept_text", "text"))
 
 
