@@ -275,14 +275,20 @@ def _any(tests: list[str]) -> str:
     return "(" + " OR ".join(tests) + ")"
 
 
+#: Ends that are put to links, by their place in the page, so that every rule of useful_links meets some.
+_ENDS = (".pdf", "/login", "/student", ".jpg", "")
+_ENDED = "h || CASE i % 5 " + " ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(_ENDS)) + " END"
+
+
 @query(
-    f"WITH {_LINKS}, k AS (SELECT page_id, i, lower({_plain('h')}) AS u, lower({_plain('h')} || ' ' || {_strip(_plain('n'))} || ' ') AS t FROM l) SELECT page_id, i, CASE WHEN "
+    f"WITH {_LINKS}, k AS (SELECT page_id, i, lower({_plain(_ENDED)}) AS u, lower({_plain(_ENDED)} || ' ' || {_strip(_plain('n'))} || ' ') AS t FROM l) SELECT page_id, i, CASE WHEN "
     + _any([f"contains(u, '{x}')" for x in U.REJECTED_PARTS]) + " THEN false WHEN " + _any([f"ends_with(u, '{x}')" for x in U.MEDIA_ENDS]) + " THEN false WHEN "
     + _any([f"ends_with(u, '{x}')" for x in U.DOCUMENT_ENDS]) + " THEN true WHEN " + _any([f"contains(t, '{x.lower()}')" for x in U.IMPORTANT]) + " THEN true ELSE "
     + _any([f"contains(u, '{x}')" for x in U.MARKERS]) + " END AS useful FROM k"
 )
 def useful_links(s, d):
-    return links(s, d).select("page_id", "i", U.useful_link(F.col("href"), F.col("anchor"), F.lit("")).alias("useful"))
+    href = F.concat("href", F.element_at(F.array(*[F.lit(e) for e in _ENDS]), (F.col("i") % 5 + 1).cast("int")))
+    return links(s, d).select("page_id", "i", U.useful_link(href, F.col("anchor"), F.lit("")).alias("useful"))
 
 
 @query(f"WITH {_LINKS} SELECT DISTINCT split_part(p.url, '/', 3) || {_plain('h')} AS target FROM l JOIN pages p USING (page_id) WHERE split_part(p.url, '/', 3) || {_plain('h')} NOT IN (SELECT regexp_replace(split_part({_NORM_BASE}, '?', 1), '^[a-z]+://', '') FROM pages)")
@@ -297,16 +303,19 @@ def page_titles(s, d):
     return table(s, d, "pages").select("page_id", html.html_extract_base("html")["title"].alias("title"))
 
 
-@query()
+_TEXTS = f"list_transform(string_split(regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<!--.*?-->|<[^>]*>', chr(10), 'gs'), chr(10)), lambda x: {_strip('regexp_replace(' + _plain('x') + r", '\s+', ' ', 'g')")})"
+
+
+@query(f"SELECT page_id, {_strip(_plain(_TITLE))} AS title, array_to_string(list_filter({_TEXTS}, lambda x: length(x) >= 8), chr(10)) AS content FROM pages")
 def html_extract_base(s, d):
     rows = table(s, d, "pages").select("page_id", html.html_extract_base("html").alias("x"))
     return rows.select("page_id", "x.title", "x.content")
 
 
-@query()
+@query(f"WITH l AS (SELECT page_id, {_strip(_plain(_TITLE))} AS title, list_filter({_TEXTS}, lambda x: length(x) >= 3) AS a FROM pages) SELECT page_id, title, array_to_string(list_filter(a, lambda x, i: i = 1 OR a[i - 1] <> x), chr(10)) AS content FROM l")
 def html_extract(s, d):
     rows = table(s, d, "pages").select("page_id", html.html_extract()("html", "url").alias("x"))
-    return rows.select("page_id", "x.title", "x.content", _long(F.size("x.links")).alias("n_links"))
+    return rows.select("page_id", "x.title", "x.content")
 
 
 @query("SELECT page_id, left(url, 7) || ' | b' || chr(10) || 'row ' || page_id AS rows FROM pages")

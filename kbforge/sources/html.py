@@ -21,8 +21,9 @@ _PAGE = _strings("title", "content")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags that close an open element of these names first.
 CLOSES = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
-BASE_BOILERPLATE = frozenset("script style nav footer header aside form noscript".split())
-BOILERPLATE = BASE_BOILERPLATE | {"iframe"}
+# What is taken out of a page, and where its content stands.
+BASE_BOILERPLATE = frozenset(("script", "style", "nav", "footer", "header", "aside", "form", "noscript"))
+BOILERPLATE = frozenset(("script", "style", "nav", "footer", "header", "aside", "form", "noscript", "iframe"))
 BASE_MAIN_CLASS = re.compile("content|main|article", re.I)
 MAIN_CLASS = re.compile("content|main|article|entry|detail|wp_articlecontent", re.I)
 MAIN_ID = re.compile("content|main|article|detail", re.I)
