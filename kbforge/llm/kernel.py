@@ -78,6 +78,11 @@ def pieces(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         at = to
 
 
+def release() -> None:
+    """Gives memory that Arrow keeps for later back: a worker waits for its next task with as little as it can."""
+    pa.default_memory_pool().release_unused()
+
+
 class Words:
     """starts, ends: byte places of all words; first: index of each document's first word, and the count at the end."""
 

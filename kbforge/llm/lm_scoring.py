@@ -31,9 +31,9 @@ VOCABULARY, HEAD = 4094, 65_536
 ROUNDS, RATE = 3, 0.3
 #: Weights that travel in one row.
 CHUNK = 8192
-_MERGE_AT = 1 << 21
+_MERGE_AT = 1 << 20
 #: Words whose documents a task scores side by side.
-SIDE_BY_SIDE = 4_000_000
+SIDE_BY_SIDE = 2_000_000
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,6 +62,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c = merged()
         for at in range(0, len(h), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000].view(np.int64)), pa.array(c[at : at + 100_000])], ["h", "c"])
+    kernel.release()
 
 
 class Lexicon:
@@ -169,6 +170,7 @@ def score(docs: DataFrame, trained: Column, held: Column, rounds: int = ROUNDS,
                 )
                 uid += hi - begin
                 symbols, cols, tails, begin, words = [], {k: [] for k in ("n", "known", "base", "static")}, [], hi, 0
+        kernel.release()
 
     scored = rows.select("doc_id", "text", "held").mapInArrow(run, "uid bigint, doc_id bigint, held boolean, n_tokens bigint, known bigint, base double, value double, far array<bigint>")
     scored = written(scored, "lm-scored")
@@ -225,6 +227,7 @@ def _round(share: DataFrame, lexicon, model: gru.Gru, sc, rate: float) -> gru.Gr
             for _, _, w, _, _, sym in _symbols(lexicon.value, batch.column("text")):
                 learner.feed(_with_ends(sym, w.first))
         learner.finish()
+        kernel.release()
         if learner.seen:
             moved = learner.model.flat() - shared.value.flat()
             parts = [moved[at : at + CHUNK].tobytes() for at in range(0, len(moved), CHUNK)]
