@@ -95,3 +95,26 @@ def test_jsonl(spark, tmp_path):
     jsonl.append(spark.range(2), out)
     jsonl.append(spark.range(3), out)
     assert spark.read.json(out).count() == 5
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from kbforge import scratch
+
+    conf = {"spark.checkpoint.dir": "hdfs://x/y/"}
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=SimpleNamespace(master="spark://h:7077"))
+    assert scratch.shared_dir(spark) == "hdfs://x/y"
+    conf.clear()
+    with pytest.raises(ValueError):
+        scratch.shared_dir(spark)
+
+
+def test_only_absent_modules_are_passed_over(tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+
+    (tmp_path / "broken_one.py").write_text("import no_such_module_here")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert entry._present("no_such_package.queries") is None
+    with pytest.raises(ModuleNotFoundError):
+        entry._present("broken_one")
