@@ -15,7 +15,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from kbforge.llm import bpe_chunks, fast_ids, graph, gru, kernel, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, substring_dedup, token_files, transport_stream  # noqa: E402
+from kbforge.llm import bpe_chunks, fast_ids, graph, gru, kernel, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, skew, substring_dedup, token_files, transport_stream  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 rng = np.random.default_rng(0)
@@ -78,6 +78,19 @@ def test_kernel_words_and_windows():
         assert kernel.sliding_min(v, k).tolist() == [v[i : i + k].min() for i in range(50 - k + 1)]
 
 
+def test_spread_joins(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 3)
+    many = spark.createDataFrame([(1, i) for i in range(40)] + [(2, 1), (3, 5), (None, 2)], "k long, v long")
+    one = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (4, "d")], "k long, x string")
+    for how in ("inner", "left"):
+        rows = lambda df: sorted(map(str, df.select("k", "v", "x").collect()))
+        assert rows(skew.spread_join(many, one, ["k"], ["v"], how)) == rows(many.join(one, "k", how))
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(i, 30) for i in range(1, 30)], "a long, b long")
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(31)], "doc_id long, text string")
+    got = skew.with_both_ends(pairs, texts, "doc_id").collect()
+    assert len(got) == 58 and all((r.text_a, r.text_b) == (f"t{r.a}", f"t{r.b}") for r in got)
+
+
 def test_quality_rules(docs, empty):
     got = by_id(quality_rules.op8(docs))
     for i, t in ROWS:
