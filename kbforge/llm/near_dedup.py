@@ -12,7 +12,8 @@ document that shares the most keys with others in front (the original of a group
 by chunks, in which each document proposes the ones of other components that its registers put nearest, until a round confirms
 nothing new. These rounds only save work: documents of keys that are still mixed then are joined exactly. Each lists the rarest of its
 shingles, as many as two sets of the wanted similarity can't both miss (prefix filter), and under each such shingle every pair of
-different components is tested, block by block, that the registers don't rule out by MARGIN standard errors.
+different components is tested, block by block, that its places in the two lists (what comes before isn't shared) and the registers,
+by MARGIN standard errors, don't rule out.
 
 Null text or text without words: set size 0, a component of its own. Repeated rows of one doc_id count as one document in the
 links and each give a row. A null doc_id is linked with nothing; its component is null.
@@ -270,7 +271,8 @@ def _between(threshold: float, percent: int):
     """Rows of two blocks (i, j) of a key to all pairs (a, b) of different components that their registers leave plausible."""
 
     def run(rows: pa.Table) -> pa.Table:
-        rep, comp, n, block = (rows.column(c).to_numpy() for c in ("rep", "component", "n_shingles", "block"))
+        rep, comp, n, block, place = (rows.column(c).to_numpy() for c in ("rep", "component", "n_shingles", "block", "place"))
+        most = n - place  # of the first shared shingle: what the intersection can hold
         found = [np.zeros((2, 0), np.int64)]
         if (comp != comp[0]).any():
             sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, M)
@@ -283,6 +285,7 @@ def _between(threshold: float, percent: int):
                     y = right[to : to + CHUNK]
                     ok = comp[x][:, None] != comp[y][None, :]
                     ok &= 100 * np.minimum(n[x][:, None], n[y][None, :]) >= percent * np.maximum(n[x][:, None], n[y][None, :])
+                    ok &= (100 + percent) * np.minimum(most[x][:, None], most[y][None, :]) >= percent * (n[x][:, None] + n[y][None, :])
                     if not ok.any():
                         continue
                     same, used = _agreeing(sketch[x], sketch[y])
@@ -317,7 +320,7 @@ def _bucket_counts(k: int):
 
 
 def _prefixes(k: int, percent: int, counts):
-    """Rows (rep, n_shingles, component, text) to rows (key, rep, n_shingles, component): the rarest shingles of each, one more than a partner may lack."""
+    """Rows (rep, n_shingles, component, text) to rows (key, place, rep, n_shingles, component): the rarest shingles of each, one more than a partner may lack, and their places from the rarest on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,7 +333,8 @@ def _prefixes(k: int, percent: int, counts):
                     keys.append(s[first].view(np.int64))
                     many.append(len(first))
                 of = pa.array(np.repeat(np.arange(b - a), many))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(part.column(c).take(of) for c in ("rep", "n_shingles", "component"))], ["key", "rep", "n_shingles", "component"])
+                place = np.concatenate([np.arange(m) for m in many])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(place, pa.int64()), *(part.column(c).take(of) for c in ("rep", "n_shingles", "component"))], ["key", "place", "rep", "n_shingles", "component"])
 
     return run
 
@@ -345,12 +349,12 @@ def _all_across(rows: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, p
     for r in texts.select("text").mapInArrow(_bucket_counts(k), "bucket bigint, n bigint").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).alias("n")).toArrow().to_batches():
         counts[r.column(0).to_numpy()] = r.column(1).to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    keyed = written(texts.mapInArrow(_prefixes(k, percent, shared), "key bigint, rep bigint, n_shingles bigint, component bigint"), "nd-prefix")
+    keyed = written(texts.mapInArrow(_prefixes(k, percent, shared), "key bigint, place bigint, rep bigint, n_shingles bigint, component bigint"), "nd-prefix")
     blocks = keyed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "blocks")
     dealt = skew.spread_join(keyed, blocks, ["key"], ["rep"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = written(dealt, "nd-prefix")
     dealt = dealt.join(sketches.select(F.col("doc_id").alias("rep"), "sketch"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n_shingles", "sketch")
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "place", "rep", "component", "n_shingles", "sketch")
     return dealt.groupBy("key", "i", "j").applyInArrow(_between(percent / 100, percent), "a bigint, b bigint").distinct()
 
 
@@ -403,7 +407,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     # equal sets: one class, its smallest doc_id speaks for it
     classes = sketched.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     member = written(
-        sketched.where("n_shingles > 0").select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["n_shingles", "set_a", "set_b"]).select("doc_id", "n_shingles", "rep"), "nd-class"
+        skew.spread_join(sketched.where("n_shingles > 0").select("doc_id", "n_shingles", "set_a", "set_b"), classes, ["n_shingles", "set_a", "set_b"], ["doc_id"]).select("doc_id", "n_shingles", "rep"), "nd-class"
     )
     reps = sketched.where("n_shingles > 0").join(member.where("rep = doc_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = written(reps.select("doc_id", "n_shingles", "sketch", "keys"), "nd-rep")
