@@ -585,6 +585,26 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, docs):
     assert by_id(pipeline.repeated_passages(spark, kept, ""))[7].text == ROWS[6][1]
 
 
+def test_repeated_nameless_and_long_rows(spark, docs):
+    long = prose(60_000, 7)
+    extra = spark.createDataFrame([(4, BASE), (None, "a text whose row has no name but has ten words or more"), (99, long)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").union(extra).selectExpr("*", "9 AS quality", "0D AS y", "'x' AS seeds", "1 AS key", "2 AS component", "'z' AS hits")
+    labels = spark.createDataFrame([(i, i % 2, "clash") for i in (4, 5, 6, 7, 8, 11)], "doc_id long, quality int, text string")
+    for made in (transport_stream.op5(rows), near_dedup.op6(rows), pii.op7(rows), quality_rules.op8(rows), quality_classifier.op10(rows, labels)):
+        got = collections.defaultdict(list)
+        for r in made.collect():
+            got[r.doc_id].append(r)
+        assert sum(map(len, got.values())) == len(ROWS) + 3 and len(got[None]) == 1
+        assert len(got[4]) == 2 and got[4][0] == got[4][1]
+        x = got[99][0].asDict()
+        assert x.get("n_words", 60_000) == 60_000 and x.get("n_bytes", len(long.encode())) == len(long.encode())
+        if "component_id" in x:
+            assert got[None][0].component_id is None and got[4][0].component_id == 4 and got[99][0].n_shingles == len(shingles(long, 4))
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe_chunks.Codec(path, public_tokenizers.PATTERN).encode(long)
+    assert by_id(bpe_chunks.op9(rows.where("doc_id = 99")))[99].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     now = docs
