@@ -342,7 +342,9 @@ def _prefixes(k: int, percent: int, counts):
 def _all_across(rows: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Every plausible pair of different components among the documents of rows(rep, n_shingles, component): they share a shingle
     among the rarest of both, whatever order all agree on, here by counts in BUCKETS buckets. A key's rows are dealt into blocks, and each pair of blocks is one group."""
-    own = rows.select("rep", "n_shingles", "component").dropDuplicates(["rep"])
+    own = written(rows.select("rep", "n_shingles", "component").dropDuplicates(["rep"]), "nd-mixed-id")
+    if own.count() <= BROADCAST_IDS:
+        own = F.broadcast(own)  # all other texts stay where they are
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(own, "rep").dropDuplicates(["rep"])
     texts = written(texts, "nd-mixed-text")
     counts = np.zeros(BUCKETS, np.int32)
