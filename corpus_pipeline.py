@@ -34,6 +34,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def once(docs: DataFrame) -> DataFrame:
     """docs without repeated rows. Only rows whose doc_id comes again are compared."""
     again = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
+    again = written(again, "repeated-ids")
+    n = again.count()
+    if not n:
+        return docs
+    if n <= substring_dedup.BROADCAST_IDS:
+        again = F.broadcast(again)  # all other texts stay where they are
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
     some = docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return docs.join(again, same, "left_anti").unionByName(some)
