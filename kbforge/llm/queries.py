@@ -71,6 +71,24 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.op10(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kbforge.llm import decontamination
+
+    return decontamination.op11(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kbforge.llm import lexical_search
+
+    return lexical_search.op12(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kbforge.llm import merkle
+
+    return merkle.op13(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": _op1,
@@ -83,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": _op8,
         "op9_bpe_chunks": _op9,
         "op10_quality_classifier": _op10,
+        "op13_merkle_manifest": _op13,
     }
 
 
