@@ -84,11 +84,11 @@ def release() -> None:
 
 
 class Words:
-    """starts, ends: byte places of all words; first: index of each document's first word, and the count at the end."""
+    """starts, ends: byte places of all words (runs of bytes that `of` has); first: index of each document's first word, and the count at the end."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, of: np.ndarray = _IN_WORD):
         self.data, self.offsets = data, offsets
-        inside = _IN_WORD[data]
+        inside = of[data]
         if len(data):
             before = np.empty_like(inside)
             before[0], before[1:] = False, inside[:-1]

@@ -101,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": _op8,
         "op9_bpe_chunks": _op9,
         "op10_quality_classifier": _op10,
+        "op11_decontamination": _op11,
         "op13_merkle_manifest": _op13,
     }
 
