@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kbforge.llm import decontamination, merkle, near_dedup, quality_rules, substring_dedup
+from kbforge.llm import decontamination, lexical_search, merkle, near_dedup, quality_rules, substring_dedup
 
 
 def oracle_sql() -> dict[str, str]:
@@ -11,5 +11,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_near_dedup": near_dedup.ORACLE_SQL,
         "op8_quality_rules": quality_rules.ORACLE_SQL,
         "op11_decontamination": decontamination.ORACLE_SQL,
+        "op12_lexical_search": lexical_search.ORACLE_SQL,
         "op13_merkle_manifest": merkle.ORACLE_SQL,
     }

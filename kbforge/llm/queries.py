@@ -102,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe_chunks": _op9,
         "op10_quality_classifier": _op10,
         "op11_decontamination": _op11,
+        "op12_lexical_search": _op12,
         "op13_merkle_manifest": _op13,
     }
 
