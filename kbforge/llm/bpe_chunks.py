@@ -1,9 +1,12 @@
 """Operator 9, byte-level BPE encoding and decoding by overlapping chunks.
 
 Long texts are cut into overlapping chunks that are pre-tokenised in parallel. The pre-tokeniser looks ahead but never
-back, so two chunks agree from the first boundary that both have in their overlap: there they are stitched. The stitched
-pieces are encoded in parallel and joined again. Where no boundary is common (a run longer than the overlap), the
-piece before is carried on through the next chunk. Decoding concatenates the raw bytes of the ids.
+back, so two chunks agree from the first boundary that both have in their overlap. They are stitched there, or at the first one
+after it at which a piece can end: the pattern asks what follows white space, so a piece that ended in some would be split
+otherwise than within its text. Pieces end behind a character that is no white space, where white space or the end of a run
+of letters makes a boundary in any version of Unicode. The stitched pieces are encoded in parallel and joined again. Where no such
+boundary is common (a run longer than the overlap), the piece before is carried on through the next chunk. Decoding
+concatenates the raw bytes of the ids.
 
 Null or empty text: no ids, the digests are those of the empty string. Repeated rows each give a row, texts that share
 a doc_id are kept apart by their hash; other columns are ignored; an empty table gives an empty table.
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +59,16 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return _codecs[key]
 
 
+def may_end(text: str, at: int) -> bool:
+    """Whether a piece can end at the boundary `at` within text: both sides, encoded alone, give the ids that they have together."""
+    before, after = text[at - 1 : at], text[at : at + 1]
+    if not before or not after or before.isspace():
+        return False
+    if after.isspace():
+        return not "\x1c" <= after <= "\x1f"  # white space to some, symbols to others
+    return before.isalpha() and after != "'" and not after.isalnum() and unicodedata.category(after)[0] in "PS"
+
+
 def stitch(chunks: list[tuple[int, str]], bounds: list[np.ndarray], step: int, pre) -> list[tuple[int, str]]:
     """Pieces (start, text) between true pre-token boundaries. chunks: (start, text) in order; bounds: their boundaries, from pre(text)."""
     pieces: list[tuple[int, str]] = []
@@ -65,14 +79,14 @@ def stitch(chunks: list[tuple[int, str]], bounds: list[np.ndarray], step: int, p
         sure = known[known <= start + len(text) - LOOKAHEAD]
         other = np.concatenate([[0], ends]) + at
         common = np.intersect1d(sure[sure >= at], other)
-        if len(common):
-            cut = int(common[0])
+        cut = next((x for x in common.tolist() if may_end(text, x - start)), None)
+        if cut is not None:
             if cut > begin:
                 pieces.append((begin, text[begin - start : cut - start]))
             begin, start, text, known = cut, at, more, other[other >= cut]
         else:
             # go on from the last trusted boundary, which may lie on either side of the next chunk's start
-            last = max(int(sure[-1]) if len(sure) else begin, begin)
+            last = next((x for x in sure[sure > begin][::-1].tolist() if may_end(text, x - start)), begin)
             if last > begin:
                 pieces.append((begin, text[begin - start : last - start]))
             text = more[last - at :] if last >= at else text[last - start : at - start] + more

@@ -103,7 +103,7 @@ def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_byt
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
         for batch in batches:
-            for a, b in kernel.pieces(batch.column(1), 1 << 16):
+            for a, b in kernel.pieces(batch.column(1), min(1 << 16, shard_bytes)):
                 part = batch.slice(a, b - a)
                 nbytes = part.column(1).nbytes
                 if texts and size + nbytes > shard_bytes:

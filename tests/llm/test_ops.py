@@ -285,6 +285,31 @@ def test_stitching_random_texts():
             assert "".join(t for _, t in pieces) == text and all(a in true for a, _ in pieces), (text, step, overlap)
 
 
+def test_stitched_pieces_have_the_ids_of_the_whole():
+    """Ids, not boundaries: white space that no letter can follow within a token, symbols of unsure class, contractions at the cuts."""
+    c = bpe_chunks.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    r = random.Random(7)
+    bits = [" ", "  ", "\u00a0", "\u2003", "\u3000", "\n", "\t", "\x1c", "\x1f", "\x85", "\u200b", "a", "the", "Ab", "ß", "日本", "कि", "\u0301", "1", "22", "Ⅷ", "'", "'s", "'ll", "'re", ".", "...", "😀", "$", "\ua7cb"]
+    parts = {}
+    ids = lambda t: parts[t] if t in parts else parts.setdefault(t, c.encode(t))
+    for step, overlap, n in ((12, 6, 15_000), (24, 9, 15_000), (40, 30, 10_000)):
+        for _ in range(n):
+            text = "".join(r.choice(bits) for _ in range(r.randint(8, 60)))
+            pieces = _stitched(c, text, step, overlap)
+            assert "".join(t for _, t in pieces) == text and sum((ids(t) for _, t in pieces), []) == c.encode(text), (text, step, overlap)
+
+
+_PROSE = prose(8000, 44)
+
+
+@pytest.mark.parametrize("gap", [" \u00a0", " \u2003", " \u3000", "\n\n", "\u2003\u2003", " \x1c", "'s", "\u00a0"])
+@pytest.mark.parametrize("at", [32_766, 32_767, 32_768, 33_270, 33_279])
+def test_cuts_at_production_sizes(gap, at):
+    c = bpe_chunks.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    text = (_PROSE * 2)[:at] + gap + "Next" + _PROSE
+    assert sum((c.encode(t) for _, t in _stitched(c, text, bpe_chunks.STEP, bpe_chunks.OVERLAP)), []) == c.encode(text)
+
+
 @pytest.mark.parametrize("text", ["x " * 16_382 + "wo'sall", "x " * 16_383 + "y's" + "b" * 700 + " end", "x " * 16_000 + "'" * 2000 + "s"])
 def test_stitching_at_production_sizes(text):
     c = bpe_chunks.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
