@@ -5,16 +5,21 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from kbforge.config import Config
 from kbforge.functions import text as X
 from kbforge.functions import urls as U
-from kbforge.operators import chunk, crawl, dedup, qa, retrieval
+from kbforge.operators import chunk, crawl, dedup, keywords, qa, retrieval
 from kbforge.plans import crawl as plan
-from kbforge.scratch import shared_dir
+from kbforge.scratch import forget_later, shared_dir
 from kbforge.sources import html, jsonl
+from kbforge.sources.keystore import KeyStore
 from kbforge.streaming import dedup as stream
+from kbforge.streaming import judged as judged_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -192,6 +197,7 @@ def load_state(s, d):
 @query(f"SELECT DISTINCT {_hash('text', 12000)} AS content_hash FROM documents")
 def stream_dedup(s, d):
     base = f"{shared_dir(s)}/kbforge-stream-{uuid.uuid4().hex}"
+    forget_later(s, base)
     source = f"{d}/documents.parquet"
     schema = s.read.parquet(source).schema
     # a stream reads a folder or a pattern
@@ -199,6 +205,38 @@ def stream_dedup(s, d):
     return s.read.schema("content_hash string").parquet(f"{base}/out")
 
 
+_RUNS = 3
+
+
+@query(f"SELECT h AS content_hash, 'run-' || min(doc_id % {_RUNS}) AS run FROM (SELECT doc_id, {_hash('text', 12000)} AS h FROM documents WHERE doc_id IS NOT NULL) GROUP BY h")
+def history_runs(s, d):
+    """Documents come in three runs; of each hash the run that brought it first. The last run is repeated, as after a failure."""
+    path = f"{shared_dir(s)}/kbforge-keys-{uuid.uuid4().hex}"
+    forget_later(s, path)
+    store = KeyStore(s, path, "content_hash", buckets=8)
+    rows = table(s, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+    for k in (*range(_RUNS), _RUNS - 1):
+        store.add(rows.where(F.col("doc_id") % _RUNS == k), f"run-{k}")
+    return s.table(store.table).select("content_hash", "run")
+
+
+@query(f"WITH {_STATUS} SELECT doc_id, status FROM st")
+def stream_judged(s, d):
+    """dedup_content as a stream: documents arrive in the order of their ids, a file at a time."""
+    base = f"{shared_dir(s)}/kbforge-judged-{uuid.uuid4().hex}"
+    forget_later(s, base)
+    labels = table(s, d, "labels").select("doc_id", (F.col("quality") == 1).alias("useful"))
+    docs = table(s, d, "documents").where(F.length("text") >= 120).select("doc_id", X.content_hash(F.col("text")).alias("content_hash")).join(labels, "doc_id", "left")
+    docs.repartitionByRange(_RUNS, "doc_id").withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{base}/parts")
+    for k in range(_RUNS):  # files are read in the order in which they were written
+        part = s.read.parquet(f"{base}/parts").where(F.col("part") == k).drop("part")
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    store = KeyStore(s, f"{base}/keys", "content_hash", buckets=8)
+    pages = s.readStream.schema("doc_id bigint, content_hash string, useful boolean").option("maxFilesPerTrigger", "1").parquet(f"{base}/in")
+    judged_stream.run_available(pages, store, f"{base}/out", f"{base}/state", "doc_id")
+    return s.read.schema("doc_id bigint, status string").parquet(f"{base}/out").select("doc_id", "status")
+
+
 def _is_dir(s: SparkSession, path: str) -> bool:
     p = s._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
@@ -265,6 +303,34 @@ def extract_links(s, d):
     return links(s, d).drop("url")
 
 
+_SHIFTED = ("student", "login", "guide")
+
+
+@query(
+    "WITH x AS (SELECT page_id, url, replace(html, '<a href=\"/', '<a href=\"/' || CASE page_id % 3 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_SHIFTED)) + f" END || '/') AS html FROM pages), {_LINKS.replace('FROM pages', 'FROM x')}, "
+    f"c AS (SELECT page_id, i, split_part(url, '/', 1) || '//' || split_part(url, '/', 3) || regexp_replace({_plain('h')}, '/$', '') AS child, {_strip(_plain('n'))} AS anchor FROM l JOIN x USING (page_id) WHERE page_id % 3 <> 1), "
+    "f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY page_id, child ORDER BY i) = 1) "
+    "SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS place, child AS url, anchor FROM f QUALIFY place < 3"
+)
+def page_links(s, d):
+    """The links of pages that are followed: normalized, useful, each once, at most so many a page."""
+    folder = F.element_at(F.array(*[F.lit(v) for v in _SHIFTED]), (F.col("page_id") % 3 + 1).cast("int"))
+    rows = table(s, d, "pages").withColumn("html", F.replace("html", F.lit('<a href="/'), F.concat(F.lit('<a href="/'), folder, F.lit("/"))))
+    found = rows.select("page_id", F.posexplode(html.html_extract(cap=3)("html", "url")["links"]).alias("place", "l"))
+    return found.select("page_id", _long("place").alias("place"), "l.url", "l.anchor")
+
+
+_WORDS = "(SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) > 2)"
+
+
+@query(f"WITH {_LINKS}, k AS (SELECT page_id, i, lower({_plain('h')} || ' ' || {_strip(_plain('n'))}) AS t FROM l) SELECT page_id, i, count(w) AS n, coalesce(string_agg(w, ' ' ORDER BY w), '') AS words FROM k LEFT JOIN {_WORDS} ON contains(t, w) GROUP BY page_id, i")
+def keyword_hits(s, d):
+    """Words of the benchmark within the pages' links."""
+    words = table(s, d, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).where(F.length("word") > 2)
+    rows = links(s, d).withColumn("w", keywords.contained(words, "word", F.concat_ws(" ", "href", "anchor")))
+    return rows.select("page_id", "i", _long(F.size("w")).alias("n"), F.array_join("w", " ").alias("words"))
+
+
 @query(f"WITH {_LINKS} SELECT page_id, i, {_plain('h')} AS href FROM l WHERE i < 5")
 def link_cap(s, d):
     first = table(s, d, "pages").select("page_id", F.posexplode(F.slice(html.all_links("html"), 1, 5)).alias("i", "l"))
@@ -344,6 +410,104 @@ def bfs_crawl(s, d):
     return got.select("url", _long("depth").alias("depth"), _long("position").alias("position"), "ok")
 
 
+# Bodies in several character sets, and a crawl over them.
+
+#: Text that is put into the pages, and the character set of their bodies, by page_id modulo 4.
+_PASSAGES = ("Größe, 校园卡, 12 € ", "校园卡丢失后请尽快到学生服务中心挂失并补办新卡，办理时需携带身份证。", "校園卡遺失後請盡快到學生服務中心掛失並補辦新卡，辦理時需攜帶身份證。", "Größe und élève, señor ")
+_CHARSETS = ("utf-8", "gb18030", "big5hkscs", "cp1252")
+
+
+def _case(values: tuple[str, ...]) -> str:
+    return "CASE page_id % 4 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
+
+
+_WEB_SQL = (
+    "b AS (SELECT page_id, replace(replace(html, '<meta charset=\"utf-8\">', ''), '<a href', '<a name') AS h FROM pages), "
+    f"web AS (SELECT page_id, replace(CASE WHEN page_id % 4 IN (1, 2) THEN regexp_replace(h, '[^\\x00-\\x7F]', '', 'g') ELSE h END, '</article>', '<p>' || {_case(_PASSAGES)} || page_id || "
+    f"'</p><a href=\"/student/' || (2 * page_id + 1) || '\">FAQ</a><a href=\"/student/' || (2 * page_id + 2) || '\">FAQ</a></article>') AS html, {_case(_CHARSETS)} AS charset FROM b)"
+)
+
+
+@F.pandas_udf(T.BinaryType())
+def _encoded(text: pd.Series, name: pd.Series) -> pd.Series:
+    return pd.Series([t.encode(n) for t, n in zip(text, name)], dtype=object)
+
+
+def _web(s: SparkSession, d: str) -> DataFrame:
+    """Rows (page_id, body, charset): the pages with a passage and two links of their own, in four character sets that they don't declare."""
+    n = F.col("page_id")
+    by = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % 4 + 1).cast("int"))
+    h = F.replace(F.replace("html", F.lit('<meta charset="utf-8">'), F.lit("")), F.lit("<a href"), F.lit("<a name"))
+    h = F.when((n % 4).isin(1, 2), F.regexp_replace(h, "[^\\x00-\\x7F]", "")).otherwise(h)
+    link = lambda k: F.concat(F.lit('<a href="/student/'), (2 * n + k).cast("string"), F.lit('">FAQ</a>'))
+    more = F.concat(F.lit("<p>"), by(_PASSAGES), n.cast("string"), F.lit("</p>"), link(1), link(2), F.lit("</article>"))
+    return table(s, d, "pages").select("page_id", _encoded(F.replace(h, F.lit("</article>"), more), by(_CHARSETS)).alias("body"), by(_CHARSETS).alias("charset"))
+
+
+@query(f"WITH {_WEB_SQL} SELECT page_id, charset, md5(html) AS digest, length(html) AS n FROM web")
+def decode_bodies(s, d):
+    rows = _web(s, d).select("page_id", "body", F.lit("html").alias("route"), F.lit("text/html").alias("content_type"))
+    return plan.decoded(rows).select("page_id", "charset", X.make_id(F.col("text")).alias("digest"), _long(F.length("text")).alias("n"))
+
+
+_CRAWL_SQL = (
+    f"WITH RECURSIVE {_WEB_SQL}, u AS (SELECT page_id FROM pages WHERE page_id % 7 <> 6 AND page_id % 11 <> 5), "
+    "t AS (SELECT page_id::BIGINT AS n, 0 AS depth, [(page_id % 3)::BIGINT, page_id::BIGINT] AS way, NULL::BIGINT AS up FROM pages WHERE page_id % 3 < 2 UNION ALL "
+    "SELECT 2 * t.n + i, depth + 1, list_append(way, i::BIGINT), t.n FROM t JOIN u ON u.page_id = t.n, (SELECT unnest([1, 2]) AS i) WHERE depth < 2), "
+    "o AS (SELECT *, row_number() OVER (ORDER BY depth, way) AS ord FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY n ORDER BY depth, way) = 1)), "
+    "p AS (SELECT o.*, w.html, n % 7 = 6 OR w.html IS NULL AS lost, n % 11 = 5 AS odd, 'http://h.example/student/' || n AS url, CASE WHEN depth > 0 THEN 'site_discovery' WHEN n % 3 = 0 THEN 'seed' ELSE 'search' END AS source FROM o LEFT JOIN web w ON w.page_id = n), "
+    f"e AS (SELECT *, {_strip(_plain(_TITLE))} AS title, list_filter({_TEXTS}, lambda x: length(x) >= 3) AS a FROM p WHERE NOT lost AND NOT odd), "
+    "c AS (SELECT *, array_to_string(list_filter(a, lambda x, i: i = 1 OR a[i - 1] <> x), chr(10)) AS content FROM e), "
+    f"g AS (SELECT *, {_hash('content', 12000)} AS h, n % 5 <> 0 AS ok FROM c), f AS (SELECT h, min(ord) AS f FROM g WHERE ok AND length(content) >= 120 GROUP BY h), "
+    "j AS (SELECT g.*, CASE WHEN length(content) < 120 THEN 'content_too_short' WHEN ord > f THEN 'duplicate_content' WHEN ok THEN 'kept' ELSE 'ai_content_irrelevant' END AS status FROM g LEFT JOIN f USING (h))"
+)
+
+
+@query(
+    f"{_CRAWL_SQL} SELECT 'document' AS kind, url, title, source, depth::BIGINT AS depth, 'text/html' AS content_type, h AS content_hash FROM j WHERE status = 'kept' "
+    "UNION ALL SELECT status, url, title, NULL, -1, NULL, CASE WHEN status = 'duplicate_content' THEN h END FROM j WHERE status <> 'kept' "
+    "UNION ALL SELECT 'fetch_failed', url, NULL, NULL, -1, NULL, NULL FROM p WHERE lost UNION ALL SELECT 'unsupported_content_type', url || '.zip', NULL, NULL, -1, 'application/zip', NULL FROM p WHERE odd AND NOT lost"
+)
+def crawl_records(s, d):
+    """From seeds and search hits over fetched bodies to documents and the log. A third of the pages are seeds, a third are hits, the others are
+    found by links; some fetches fail, some bodies are of no type that can be read; labels are the judge's."""
+    got = _crawl(s, d)
+    docs = got.documents.select(F.lit("document").alias("kind"), "url", "title", F.col("crawl_source").alias("source"), _long("crawl_depth").alias("depth"), "content_type", "content_hash")
+    log = got.failures.select(F.col("reason").alias("kind"), "url", "title", F.lit(None).cast("string").alias("source"), F.lit(-1).cast("bigint").alias("depth"), "content_type", "content_hash")
+    return docs.unionByName(log)
+
+
+def _crawl(s: SparkSession, d: str) -> plan.Crawl:
+    web = _web(s, d).drop("charset")
+    url = lambda n: F.concat(F.lit("http://h.example/student/"), n.cast("string"))
+    page = F.col("page_id")
+    seeds = web.where(page % 3 == 0).select(page.alias("ord"), F.concat(F.lit("HTTP://H.example/student/"), page.cast("string"), F.lit("?utm_source=x#top")).alias("url"))
+    hits = web.where(page % 3 == 1).select(page.alias("ord"), url(page).alias("url"), F.lit("hit").alias("title"), F.lit("").alias("snippet"))
+
+    def fetch(urls: DataFrame) -> DataFrame:
+        rows = urls.withColumn("page_id", F.regexp_extract("url", "/student/([0-9]+)$", 1).cast("bigint")).join(web, "page_id", "left")
+        odd = page % 11 == 5
+        body = F.when(page % 7 != 6, F.col("body"))
+        final = F.when(body.isNotNull(), F.when(odd, F.concat("url", F.lit(".zip"))).otherwise(F.col("url")))
+        return rows.select("url", final.alias("final_url"), F.when(odd, "application/ZIP").otherwise("").alias("content_type"), body.alias("body"))
+
+    def replies(rows: DataFrame) -> DataFrame:
+        n = F.regexp_extract("asked", "([0-9]+)$", 1).cast("bigint")
+        return rows.select("ord", F.to_json(F.struct((n % 5 != 0).alias("useful"), F.lit("guide").alias("category"))).alias("reply"))
+
+    def pairs_of(chunks: DataFrame) -> DataFrame:
+        pair = F.struct(F.concat(F.lit("What is on "), "url", F.lit("?")).alias("question"), X.strip(F.substring("chunk", 1, 60)).alias("answer"))
+        return chunks.select("ord", "chunk_id", F.to_json(F.struct(F.array(pair).alias("qa_pairs"))).alias("reply"))
+
+    return plan.run(plan.frontier(seeds, hits, ("h.example",)), fetch, replies, pairs_of, ("h.example",), Config(max_depth=2, max_pages=1_000_000))
+
+
+@query(f"{_CRAWL_SQL} SELECT md5('Whatison' || url || '?') AS id, 'What is on ' || url || '?' AS question, {_strip('substring(chunk, 1, 60)')} AS answer, url AS source_url, title || ' - chunk 1' AS source_title FROM (SELECT *, {_strip('substring(' + _strip('content') + ', 1, 2200)')} AS chunk FROM j WHERE status = 'kept') WHERE length(chunk) >= 250")
+def crawl_questions(s, d):
+    """The records of the same run: one question a page, from its first chunk."""
+    return _crawl(s, d).records.select("id", "question", "answer", "source_url", "source_title")
+
+
 # From pages to records.
 
 _PAGES_SQL = f"g AS (SELECT d.doc_id AS ord, 'http://h.example/' || source || '/' || d.doc_id AS url, coalesce(nullif(lang, 'en'), source) AS title, text AS content, {_hash('text', 12000)} AS h, l.quality = 1 AS ok FROM documents d LEFT JOIN labels l USING (doc_id))"
@@ -458,6 +622,20 @@ def json_clean_braces(s, d):
     return table(s, d, "events").select("event_id", X.json_clean(F.concat(F.lit("Here it is: "), "props", F.lit(" - done")), True).alias("cleaned"))
 
 
+@query(
+    "SELECT row_number() OVER (ORDER BY event_id) - 1 AS ord, CASE WHEN l = '' THEN 'blank' WHEN json_valid(l) THEN 'ok' ELSE 'bad' END AS status "
+    "FROM (SELECT event_id, CASE event_id % 10 WHEN 0 THEN '' WHEN 1 THEN substring(props, 2) ELSE props END AS l FROM events)"
+)
+def jsonl_lines(s, d):
+    """Events written as a file of lines, read back by split, each line under its number."""
+    m = F.col("event_id") % 10
+    rows = table(s, d, "events").orderBy("event_id").select(F.when(m == 0, "").when(m == 1, F.expr("substring(props, 2)")).otherwise(F.col("props")).alias("value"))
+    path = f"{shared_dir(s)}/kbforge-lines-{uuid.uuid4().hex}"
+    rows.write.text(path)
+    forget_later(s, path)
+    return jsonl.with_status(jsonl.lines(s, path)).select("ord", "status")
+
+
 @query("SELECT CASE WHEN l = '' THEN 'blank' WHEN json_valid(l) THEN 'ok' ELSE 'bad' END AS status, count(*) AS n FROM (SELECT CASE event_id % 10 WHEN 0 THEN '' WHEN 1 THEN substring(props, 2) ELSE props END AS l FROM events) GROUP BY 1")
 def scan_jsonl(s, d):
     m = F.col("event_id") % 10
@@ -540,6 +718,17 @@ def knn_topk_batch(s, d):
     return hits(s, d)
 
 
+@query(f"WITH {_HITS} SELECT query_id, rank, vec_id, score FROM hits")
+def knn_cells(s, d):
+    """knn_topk_batch over an index by cells."""
+    items = table(s, d, "embeddings")
+    path = f"{shared_dir(s)}/kbforge-cells-{uuid.uuid4().hex}"
+    forget_later(s, path)
+    retrieval.build_cells(items, path)
+    asked = items.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.knn_cells(s, path, asked).withColumn("rank", _long("rank"))
+
+
 @query(f"WITH {_HITS} SELECT query_id, rank, vec_id, label FROM hits")
 def hit_lookup(s, d):
     return retrieval.hit_lookup(hits(s, d), table(s, d, "embeddings").select("vec_id", "label"), "vec_id").select("query_id", "rank", "vec_id", "label")
@@ -615,6 +804,18 @@ def cosine_sim(s, d):
     return a.join(b, "vec_id").select("vec_id", F.round(retrieval.dot(F.col("embedding"), F.col("other")), 6).alias("score"))
 
 
+@query(
+    "WITH m AS (SELECT *, CASE WHEN vec_id // 8 % 3 = 0 THEN 64 ELSE label + 1 END AS ones FROM embeddings), b AS (SELECT *, min((ones = 64)::INT) OVER (PARTITION BY vec_id // 8) AS lefts FROM m) "
+    "SELECT vec_id, round(CASE WHEN lefts = 1 THEN embedding[-1] ELSE embedding[ones] END::DOUBLE, 6) AS pooled FROM b"
+)
+def pooled_batches(s, d):
+    """Batches of eight rows by id; the padding side of each is found from its masks."""
+    ones = F.when(F.floor(F.col("vec_id") / 8) % 3 == 0, 64).otherwise(F.col("label") + 1)
+    rows = table(s, d, "embeddings").withColumn("mask", F.transform("embedding", lambda x, i: F.when(i < ones, 1).otherwise(0)))
+    left = retrieval.padded_left(F.col("mask"), [F.floor(F.col("vec_id") / 8)])
+    return rows.withColumn("left", left).select("vec_id", F.round(retrieval.last_token_pool(F.col("embedding"), F.col("mask"), F.col("left")).cast("double"), 6).alias("pooled"))
+
+
 @query("SELECT vec_id, round(CASE WHEN label = 0 THEN embedding[-1] ELSE embedding[label + 1] END::DOUBLE, 6) AS pooled FROM embeddings")
 def last_token_pool(s, d):
     mask = F.transform("embedding", lambda x, i: F.when(i <= F.col("label"), 1).otherwise(0))

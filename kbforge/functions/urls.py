@@ -90,14 +90,19 @@ def domain_allowed(url: Column, domains: Sequence[str], strict: bool = False) ->
 
 
 def useful_link(url: Column, anchor: Column, title: Column, domains: Sequence[str] = (), keywords: Sequence[str] = IMPORTANT) -> Column:
-    u = F.lower(url)
     text = F.lower(F.concat_ws(" ", url, F.coalesce(anchor, F.lit("")), F.coalesce(title, F.lit(""))))
+    return classified(url, domains, any_of([text.contains(k.lower()) for k in keywords]))
+
+
+def classified(url: Column, domains: Sequence[str], keyword: Column) -> Column:
+    """The link rules in their order; keyword: whether link, anchor or title hold one."""
+    u = F.lower(url)
     return (
         F.when(~domain_allowed(url, domains), False)
         .when(any_of([u.contains(x) for x in REJECTED_PARTS]), False)
         .when(any_of([u.endswith(x) for x in MEDIA_ENDS]), False)
         .when(any_of([u.endswith(x) for x in DOCUMENT_ENDS]), True)
-        .when(any_of([text.contains(k.lower()) for k in keywords]), True)
+        .when(keyword, True)
         .otherwise(any_of([u.contains(m) for m in MARKERS]))
     )
 
@@ -109,7 +114,7 @@ def content_route(url: Column, content_type: Column, enhanced: bool = True) -> C
     bare = ~F.element_at(F.split(path, "/", -1), -1).contains(".")
     ends = (".html", ".htm", ".psp") if enhanced else (".html", ".htm")
     out = F.when(kind.contains("text/html") | any_of([u.endswith(e) for e in ends]) | bare, "html")
-    out = out.when(kind.contains("application/pdf") | u.endswith(".pdf"), "pdf")
+    out = out.when(kind.contains("pdf" if enhanced else "application/pdf") | u.endswith(".pdf"), "pdf")
     out = out.when(kind.contains("wordprocessingml") | u.endswith(".docx"), "docx")
     if not enhanced:
         return out

@@ -6,12 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kbforge.functions.text import labelled, strip
+from kbforge.scratch import written
 
 TOP_K, TOP_N = 30, 5
+#: Decimal places at which scores are compared, so that equal vectors tie.
+PLACES = 6
+#: Cells of an index, items that their centres are found by, and files of a large cell.
+MAX_CELLS, CELL_SAMPLE, CELL_FILES = 4096, 50_000, 8
 #: Bytes of query vectors that one pass broadcasts; more queries take more passes.
 QUERY_BYTES = 64 << 20
 CUT_NOTICE, CUT_NOTICE_SEARCH = "\n\n[提示：后续参考资料因长度限制已截断]", "\n\n[提示：后续资料因长度限制已截断]"
@@ -41,46 +46,138 @@ def last_token_pool(states: Column, mask: Column, left_padded: Column) -> Column
     return F.when(left_padded, F.element_at(states, -1)).otherwise(F.get(states, count - 1))
 
 
+def padded_left(mask: Column, batch: list[Column]) -> Column:
+    """Whether the rows of a batch are padded on the left: the mask's last place is set in every one of them."""
+    return F.min(F.coalesce(F.element_at(mask, -1), F.lit(0)).cast("int")).over(Window.partitionBy(*batch)) == 1
+
+
 def knn_topk(items: DataFrame, query: list[float], k: int = TOP_K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Rows (rank, key, score) of the k best items for one query: a partial top-k in every task, merged."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    best = items.select(key, F.round(dot(F.col(vector), q), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    best = items.select(key, F.round(dot(F.col(vector), q), PLACES).alias("score")).orderBy(F.desc("score"), key).limit(k)
     return best.select(F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("rank"), key, "score")
 
 
-def knn_topk_batch(items: DataFrame, queries: DataFrame, k: int = TOP_K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Rows (query_id, rank, key, score). queries(query_id, embedding) go out in blocks of bounded size; every task multiplies its
-    items by a block and keeps k for each query, so a query's candidates are k times the tasks, never the table."""
-    sc = items.sparkSession.sparkContext
+def _best(items: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, key: str, vector: str) -> DataFrame:
+    """Rows (query_id, key, score): of each task the k best items for each query."""
+    shared = items.sparkSession.sparkContext.broadcast((ids, vectors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        best_s, best_k = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            if not len(ids) or not batch.num_rows:
+                continue
+            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            keys = batch.column(0).to_numpy()
+            for at in range(0, len(keys), 4096):
+                s = np.round(q @ vectors[at : at + 4096].T, PLACES)
+                best_s = np.concatenate([best_s, s], axis=1)
+                best_k = np.concatenate([best_k, np.broadcast_to(keys[at : at + 4096], s.shape)], axis=1)
+                order = np.lexsort((best_k, -best_s), axis=1)[:, :k]
+                best_s, best_k = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_k, order, 1)
+        if best_s.size:
+            m = best_s.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(best_k.ravel()), pa.array(best_s.ravel())], ["query_id", key, "score"])
+
+    return items.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"query_id bigint, {key} bigint, score double")
+
+
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of queries(query_id, embedding) in blocks of bounded size."""
     n, dim = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
     blocks = max(1, -(-(n * (dim or 1) * 4) // QUERY_BYTES))
-    out = None
     for b in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").collect()
-        shared = sc.broadcast((np.array([r.query_id for r in part], np.int64), np.array([r.embedding for r in part], np.float64).reshape(len(part), -1)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best_s, best_k = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                if not len(ids) or not batch.num_rows:
-                    continue
-                vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                keys = batch.column(0).to_numpy()
-                for at in range(0, len(keys), 4096):
-                    s = np.round(q @ vectors[at : at + 4096].T, 6)
-                    best_s = np.concatenate([best_s, s], axis=1)
-                    best_k = np.concatenate([best_k, np.broadcast_to(keys[at : at + 4096], s.shape)], axis=1)
-                    order = np.lexsort((best_k, -best_s), axis=1)[:, :k]
-                    best_s, best_k = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_k, order, 1)
-            if best_s.size:
-                m = best_s.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(best_k.ravel()), pa.array(best_s.ravel())], ["query_id", key, "score"])
-
-        found = items.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"query_id bigint, {key} bigint, score double")
-        out = found if out is None else out.unionByName(found)
+        yield np.array([r.query_id for r in part], np.int64), np.array([r.embedding for r in part], np.float64).reshape(len(part), dim or 0)
+
+
+def _ranked(found: DataFrame, k: int, key: str) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+
+
+def knn_topk_batch(items: DataFrame, queries: DataFrame, k: int = TOP_K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Rows (query_id, rank, key, score). queries(query_id, embedding) go out in blocks of bounded size; every task multiplies its
+    items by a block and keeps k for each query, so a query's candidates are k times the tasks, never the table."""
+    out = None
+    for ids, vectors in _query_blocks(queries):
+        found = _best(items, ids, vectors, k, key, vector)
+        out = found if out is None else out.unionByName(found)
+    return _ranked(out, k, key)
+
+
+def _centroids(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
+    """Centres of at most `cells` groups of the sample rows."""
+    rng = np.random.default_rng(0)
+    centres = sample[np.sort(rng.choice(len(sample), min(cells, len(sample)), replace=False))].copy()
+    for _ in range(rounds):
+        near = np.argmin((centres**2).sum(1)[None, :] - 2 * sample @ centres.T, axis=1)
+        for c in range(len(centres)):
+            own = sample[near == c]
+            if len(own):
+                centres[c] = own.mean(0)
+    return centres
+
+
+def build_cells(items: DataFrame, path: str, cells: int | None = None, key: str = "vec_id", vector: str = "embedding") -> None:
+    """An index for exact search that reads part of its files: items dealt to the nearest of some centres, a folder for each cell under
+    path/items; path/cells has each cell's centre, radius and number of items. The centres come from at most CELL_SAMPLE items by hash; every
+    item is indexed, items without a vector aren't. By default there are about as many cells as their items' square root, MAX_CELLS at most."""
+    rows = items.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias(key), F.col(vector).cast("array<float>").alias(vector))
+    n = rows.count()
+    if not n:
+        raise ValueError("no items to index")
+    share = max(1, n // CELL_SAMPLE)
+    sample = rows.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0).orderBy(F.xxhash64(key)).limit(CELL_SAMPLE).collect() or rows.limit(1).collect()
+    centres = _centroids(np.array([r[vector] for r in sample], np.float64), cells or min(MAX_CELLS, max(1, round(n**0.5))))
+    shared = items.sparkSession.sparkContext.broadcast(centres)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for batch in batches:
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, c.shape[1])
+            near = np.argmin((c**2).sum(1)[None, :] - 2 * v @ c.T, axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(np.linalg.norm(v - c[near], axis=1))], [key, vector, "cell", "_far"])
+
+    placed = rows.mapInArrow(place, f"{key} bigint, {vector} array<float>, cell int, _far double")
+    # a cell may hold any share of the items: several tasks write a large one
+    placed.repartition("cell", F.pmod(F.xxhash64(key), F.lit(CELL_FILES))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/items")
+    facts = items.sparkSession.read.parquet(f"{path}/items").groupBy("cell").agg(F.max("_far").alias("radius"), F.count("*").alias("n"))
+    centre = items.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
+    facts.join(centre, "cell").coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
+
+
+def knn_cells(spark: SparkSession, path: str, queries: DataFrame, k: int = TOP_K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """knn_topk_batch over an index of build_cells, with the same rows. A first pass reads the cells that look best for each query until they hold
+    k items, which bounds the k-th score from below; the second reads those others in which some query's bound (its product with the
+    centre, and the radius times its length) reaches that far. All other cells are never opened."""
+    cells = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()
+    number = np.array([r.cell for r in cells])
+    centre, radius, sizes = np.array([r.centre for r in cells]), np.array([r.radius for r in cells]), np.array([r.n for r in cells])
+    items = spark.read.parquet(f"{path}/items")
+    out = None
+    for ids, q in _query_blocks(queries):
+        if not len(ids):
+            continue
+        near = q @ centre.T
+        order = np.argsort(-near, axis=1)
+        held = np.cumsum(sizes[order], axis=1)
+        first = order[held - sizes[order] < k]
+        read = number[np.unique(first)]
+        found = written(_best(items.where(F.col("cell").isin(read.tolist())), ids, q, k, key, vector), "knn-cells")
+        least = np.full(len(ids), -np.inf)
+        at = {int(x): i for i, x in enumerate(ids)}
+        for row in _ranked(found, k, key).where(F.col("rank") == k).collect():  # one a query of the block
+            least[at[row.query_id]] = row.score
+        reach = near + np.linalg.norm(q, axis=1)[:, None] * radius[None, :] + 2 * 10.0**-PLACES
+        more = np.setdiff1d(number[(reach >= least[:, None]).any(axis=0)], read)
+        if len(more):
+            found = found.unionByName(_best(items.where(F.col("cell").isin(more.tolist())), ids, q, k, key, vector))
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], f"query_id bigint, rank int, {key} bigint, score double")
+    return _ranked(out, k, key)
 
 
 def hit_lookup(hits: DataFrame, items: DataFrame, key: str) -> DataFrame:

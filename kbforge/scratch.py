@@ -27,10 +27,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kbforge-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    forget_later(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget_later(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted with the written tables."""
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def mark() -> int:

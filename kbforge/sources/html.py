@@ -18,6 +18,8 @@ def _strings(*names: str) -> T.StructType:
 
 
 _PAGE = _strings("title", "content")
+#: Links of a page that are followed.
+LINKS = 80
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags that close an open element of these names first.
 CLOSES = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
@@ -151,7 +153,7 @@ def extract_base(html: str | None) -> tuple[str, str]:
     return title, "\n".join(lines_of(main_part(without(root, BASE_BOILERPLATE), False), 8))
 
 
-def extract(html: str | None, url: str, domains: tuple[str, ...] = (), cap: int = 80) -> tuple[str, str, list[tuple[str, str, str]]]:
+def extract(html: str | None, url: str, domains: tuple[str, ...] = (), cap: int = LINKS) -> tuple[str, str, list[tuple[str, str, str]]]:
     """Title and links come from the whole page, content from what is left without boilerplate."""
     root = parse(html)
     title = title_of(root)
@@ -175,7 +177,7 @@ def html_extract_base(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([extract_base(h) for h in html], columns=["title", "content"])
 
 
-def html_extract(domains: tuple[str, ...] = (), cap: int = 80):
+def html_extract(domains: tuple[str, ...] = (), cap: int = LINKS):
     """UDF (html, url) to struct(title, content, links)."""
 
     @F.pandas_udf(T.StructType([*_PAGE.fields, T.StructField("links", T.ArrayType(_strings("url", "anchor", "from_url")))]))

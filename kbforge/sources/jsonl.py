@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,13 +10,19 @@ from kbforge.functions.text import ANSWER_KEYS, QUESTION_KEYS, index_text, pick_
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (ord, value) of a file's lines, numbered from 0 in file order; no rows if it is missing."""
+    """Rows (ord, value) of the lines of a file (or of a folder's files in the order of their names), numbered from 0; no rows if it is missing.
+
+    Files are read in splits. A line's place is its place in its split and the lines of all splits before it: one row a split is summed
+    and joined back, the lines themselves aren't moved."""
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], "ord bigint, value string")
-    numbered = spark.read.text(path).rdd.map(lambda r: r.value).zipWithIndex().map(lambda x: (x[1], x[0]))
-    return spark.createDataFrame(numbered, "ord bigint, value string")
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    splits = rows.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_start")) - F.col("_n")
+    shift = splits.select("_file", "_start", (before - F.col("_first")).alias("_shift"))
+    return rows.join(F.broadcast(shift), ["_file", "_start"]).select((F.col("_at") + F.col("_shift")).alias("ord"), "value")
 
 
 def with_status(rows: DataFrame, value: str = "value") -> DataFrame:
