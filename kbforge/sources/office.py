@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kbforge.sources import pdf
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -62,11 +64,8 @@ def _cell(c: ElementTree.Element, shared: list[str]) -> str:
 
 
 def pdf_text(body: bytes) -> str:
-    """Pages that aren't blank, each under its number. Needs the optional package pypdf."""
-    from pypdf import PdfReader
-
-    pages = ((i, (p.extract_text() or "").strip()) for i, p in enumerate(PdfReader(io.BytesIO(body)).pages, 1))
-    return "\n\n".join(f"第 {i} 页\n{t}" for i, t in pages if t)
+    """Pages that aren't blank, each under its number."""
+    return "\n\n".join(f"第 {i} 页\n{t}" for i, t in enumerate(pdf.pages(bytes(body)), 1) if t)
 
 
 READERS = {"docx": (docx_text, "DOCX"), "xlsx": (xlsx_text, "XLSX"), "pdf": (pdf_text, "PDF")}
