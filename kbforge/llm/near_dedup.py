@@ -16,7 +16,8 @@ different components is tested, block by block, that its places in the two lists
 by MARGIN standard errors, don't rule out.
 
 Null text or text without words: set size 0, a component of its own. Repeated rows of one doc_id count as one document in the
-links and each give a row. A null doc_id is linked with nothing; its component is null.
+links and each give a row. A doc_id that stands with several texts is as many documents in the search, whose components are one. A null
+doc_id is linked with nothing; its component is null.
 Ties: the smallest doc_id is kept. Other columns are ignored; an empty table gives an empty table.
 """
 
@@ -386,7 +387,7 @@ def _confirmed(k: int, percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, sketches: DataFrame | None, docs: DataFrame, text: str, k: int, percent: int, label: str) -> DataFrame:
+def _verify(pairs: DataFrame, sketches: DataFrame | None, docs: DataFrame, k: int, percent: int, label: str) -> DataFrame:
     """Pairs, written before, that the registers make plausible (sketches given) and the full sets confirm."""
     near = pairs
     if sketches is not None:
@@ -395,17 +396,61 @@ def _verify(pairs: DataFrame, sketches: DataFrame | None, docs: DataFrame, text:
     ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
     if 2 * near.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = written(docs.select("doc_id", F.col(text).alias("text")).join(ids, "doc_id", "left_semi"), label)
+    texts = written(docs.join(ids, "doc_id", "left_semi"), label)
     both = skew.with_both_ends(near, texts, "doc_id").select("a", "b", "text_a", "text_b")
     return written(both.mapInArrow(_confirmed(k, percent), "a bigint, b bigint"), label)
 
 
+def _several(base: DataFrame, sketched: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """base with each (doc_id, text) once, sketches of all rows, and names(doc_id, real). A doc_id with several sets gets a name for each
+    text, by a hash of both, and names has them; it is None where there is no such doc_id."""
+    differs = [F.min(c) != F.max(c) for c in ("n_shingles", "set_a", "set_b")]
+    again = sketched.groupBy("doc_id").agg(F.count("*").alias("_n"), (differs[0] | differs[1] | differs[2]).alias("_differ")).where("_n > 1").select("doc_id", "_differ")
+    again = written(again, "nd-again")
+    n, unlike = again.agg(F.count("*"), F.count_if("_differ")).first()
+    if not n:
+        return base, sketched, None
+    again = F.broadcast(again) if n <= BROADCAST_IDS else again  # all other texts stay where they are
+    named = base.join(again, "doc_id", "left")
+    name = F.when(F.col("_differ"), F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + (1 << 62)).otherwise(F.col("doc_id"))
+    named = named.select(name.alias("doc_id"), "text", F.col("doc_id").alias("real"), "_differ")
+    once = named.where("_differ IS NULL").select("doc_id", "text").unionByName(named.where("_differ IS NOT NULL").select("doc_id", "text").dropDuplicates(["doc_id"]))
+    if not unlike:
+        return once, sketched, None
+    own = written(named.where("_differ").select("doc_id", "text", "real"), "nd-several")
+    rest = sketched.join(again.where("_differ"), "doc_id", "left_anti")
+    sketched = written(rest.unionByName(own.select("doc_id", "text").mapInArrow(_sketch(k), _SKETCH)), "nd-sketch")
+    return once, sketched, own.select("doc_id", "real").distinct()
+
+
+def _folded(found: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, n_links) with names back to the doc_ids they stand for: the components of a doc_id's texts are one, named by its least doc_id."""
+    found = written(found.join(F.broadcast(names) if names.count() <= BROADCAST_IDS else names, "doc_id", "left"), "nd-found")
+    tied = found.where("real IS NOT NULL").select("real", F.col("component_id").alias("b")).distinct()
+    edges = written(tied.join(tied.groupBy("real").agg(F.min("b").alias("a")), "real").select("a", "b"), "nd-tied")
+    whole = graph.components(edges, "nd-tied").withColumnRenamed("node", "component_id").withColumnRenamed("component", "whole")
+    rows = written(found.join(whole, "component_id", "left").withColumn("whole", F.coalesce("whole", "component_id")).withColumn("doc_id", F.coalesce("real", "doc_id")), "nd-found")
+    # only components with such a doc_id may be named otherwise than by their least one
+    touched = rows.where("real IS NOT NULL").select("whole").distinct()
+    least = rows.join(touched, "whole", "left_semi").groupBy("whole").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "whole", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"), "n_links")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, n_links). n_links counts the links between the document's class and other classes that the
     search has confirmed; links within a component that were not needed to find it aren't all looked at."""
     every = docs.select("doc_id", F.col(text).alias("text"))
     base = every.where("doc_id IS NOT NULL")
-    sketched = written(base.mapInArrow(_sketch(k), _SKETCH), "nd-sketch")
+    base, sketched, names = _several(base, written(base.mapInArrow(_sketch(k), _SKETCH), "nd-sketch"), k)
+    out = _grouped(base, sketched, k, percent)
+    if names is not None:
+        out = _folded(out, names)
+    nameless = every.where("doc_id IS NULL").mapInArrow(_sketch(k), _SKETCH).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(nameless)
+
+
+def _grouped(base: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFrame:
+    """near_duplicates of documents that have one text each: base(doc_id, text) has each once, sketched may repeat them."""
     # equal sets: one class, its smallest doc_id speaks for it
     classes = sketched.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     member = written(
@@ -416,7 +461,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     keyed = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"), "n_shingles")
     pairs, open_rows = _candidates(keyed.withColumn("component", F.col("rep")), "nd-pair", F.col("rep"), False)
     tested = written(pairs, "nd-tested")
-    links = _verify(tested, reps, base, "text", k, percent, "nd-link")
+    links = _verify(tested, reps, base, k, percent, "nd-link")
     # how often a document of a large group meets others under a key: originals of edited copies come first
     weight = open_rows.groupBy("rep").agg(F.sum("beside").alias("weight"))
     open_rows = written(open_rows.drop("beside").join(weight, "rep"), "nd-open")
@@ -439,7 +484,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
         else:
             more = _all_across(left, reps, base, k, percent)
         more = written(more.join(tested, ["a", "b"], "left_anti"), "nd-tested")
-        new = _verify(more, None if round_ else reps, base, "text", k, percent, "nd-link")
+        new = _verify(more, None if round_ else reps, base, k, percent, "nd-link")
         tested = tested.unionByName(more)
         nothing = new.isEmpty()
         if not nothing:
@@ -452,8 +497,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     named = member.where("rep = doc_id").select("rep").distinct().join(labels.withColumnRenamed("node", "rep"), "rep").join(degree, "rep", "left")
     out = member.join(named, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     empty = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    nameless = every.where("doc_id IS NULL").mapInArrow(_sketch(k), _SKETCH).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(empty).unionByName(nameless)
+    return out.unionByName(empty)
 
 
 def op6(docs: DataFrame) -> DataFrame:

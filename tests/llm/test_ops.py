@@ -178,6 +178,43 @@ def test_near_dedup(spark, docs, empty):
     assert near_dedup.op6(empty).count() == 0 and near_dedup.op6(docs.where("doc_id = 1")).first().component_id == 1
 
 
+def test_near_dedup_of_ids_with_several_texts_and_many_copies(spark):
+    """One doc_id under two texts links both; copies of a row are one document in links and their numbers."""
+    def edited(text, n, tag):
+        w = text.split()
+        for j in range(n):
+            w[7 * j + 3] = f"{tag}{j}"
+        return " ".join(w)
+
+    a, c, d = (" ".join(f"{w}{i % 7}" for i, w in enumerate(prose(120, s).split())) for s in (61, 62, 63))
+    rows = [(1, a), (5, edited(a, 1, "x")), (5, c), (9, edited(c, 1, "y")), (9, edited(c, 2, "z")), (4, d), (4, "another thing entirely of six words"), (30, None), (30, "".join(c.upper() if c.isascii() else c for c in a)), (2, prose(50, 64))]
+    rows += [(12, edited(d, 1, "v"))] * 100 + [(11, edited(d, 2, "u"))] * 40 + [(None, a)] * 2
+    r = random.Random(0)
+    r.shuffle(rows)
+    nodes = sorted({x for x in rows if x[0] is not None}, key=str)
+    sets = [shingles(t, 4) for _, t in nodes]
+    up = list(range(len(nodes)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(nodes)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if nodes[i][0] == nodes[j][0] or (both and 100 * both >= 80 * len(sets[i] | sets[j])):
+                up[top(i)] = top(j)
+    least = collections.defaultdict(list)
+    for i, (doc, _) in enumerate(nodes):
+        least[top(i)].append(doc)
+    want = sorted((doc, len(sets[i]), min(least[top(i)])) for i, (doc, t) in enumerate(nodes) for _ in range(rows.count((doc, t))))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got if x.doc_id is not None) == want and sum(x.doc_id is None for x in got) == 2
+    assert {x.component_id for x in got if x.doc_id in (1, 5, 9, 30)} == {1} and {x.component_id for x in got if x.doc_id in (4, 11, 12)} == {4}
+    assert {x.n_links for x in got if x.doc_id == 11} <= {1, 2} and {x.n_links for x in got if x.doc_id == 12} == {2}
+
+
 def test_near_dedup_settles_large_groups(spark, monkeypatch):
     words = prose(100, 51).split()
     words = [f"{w}{i}" for i, w in enumerate(words)]
