@@ -145,6 +145,53 @@ def test_substring_dedup(docs, empty):
     assert [r.n_removed for r in twice] == [9000, 9000]
 
 
+def test_substring_references_over_batches():
+    """Each row of a window that comes again gets the first rows of its group but itself, however the rows fall into batches."""
+    r = random.Random(4)
+    for most in (1, 3):
+        for trial in range(150):
+            rows = sorted((g, r.choice([0, 0, 1]), r.randrange(50), i, r.random() < 0.2) for g in range(r.randint(1, 4)) for i in range(r.choice([1, 2, 3, 5, 30])))
+            cols = [pa.array([x[c] for x in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()))]
+            whole = pa.RecordBatch.from_arrays(cols, ["print", "check", "doc_id", "place", "many"])
+            cuts = sorted({0, len(rows), *(r.randrange(len(rows)) for _ in range(r.randint(0, 6)))})
+            out = [x for b in substring_dedup._references(most)(iter([whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:])])) for x in b.to_pylist()]
+            groups = collections.defaultdict(list)
+            for x in rows:
+                groups[x[:2]].append(x)
+            want = sorted((x[2], x[3], y[2], y[3]) for g in groups.values() for i, x in enumerate(g) if not x[4] for y in [y for j, y in enumerate(g) if j != i][:most])
+            assert sorted((x["doc_id"], x["place"], x["ref_doc"], x["ref_place"]) for x in out if x["n"] is None) == want
+            ends = {(g[0][0], g[0][1], g[0][2], g[0][3], len(g), g[0][4]) for g in (groups[rows[0][:2]], groups[rows[-1][:2]])}
+            assert {(x["print"], x["check"], x["doc_id"], x["place"], x["n"], x["many"]) for x in out if x["n"] is not None} == ends
+
+
+def test_substring_factors_are_the_longest(spark):
+    """A passage that several documents hold in parts is one factor where one of them holds it all; factors tell where their words stand."""
+    passage = [f"p{i}" for i in range(150)]
+    pad = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    rows = [(1, passage[:80] + pad("a", 20)), (2, pad("b", 9) + passage[50:] + pad("c", 9)), (3, pad("d", 30) + passage + pad("e", 4)), (4, pad("f", 3) + passage + pad("g", 8)), (5, pad("h", 40))]
+    rows += [(6, pad("x", 200)), (7, pad("x", 200)[:120] + pad("k", 5) + pad("x", 200)[90:])]
+    words = dict(rows)
+    got = by_id(substring_dedup.remove_repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")))
+    spans = {i: [(f.start, f.n_words) for f in x.factors] for i, x in got.items()}
+    assert spans[3] == [(30, 150)] and spans[4] == [(3, 150)] and spans[1] == [(0, 80)] and spans[2] == [(9, 100)] and not spans[5]
+    assert spans[7] == [(0, 120), (125, 110)]
+    for i, x in got.items():
+        for f in x.factors:
+            assert words[f.ref_doc][f.ref_start : f.ref_start + f.n_words] == words[i][f.start : f.start + f.n_words] and f.ref_doc != i
+    one = substring_dedup.factors_of(np.array([5, 5, 6, 6, 7, 8, 20]), np.array([1, 2, 1, 2, 2, 9, 1]), np.array([50, 80, 51, 81, 82, 0, 0]), 35)
+    assert one.tolist() == [[5, 37, 2, 80], [8, 35, 9, 0], [20, 35, 1, 0]]
+
+
+def test_substring_dedup_of_very_many_copies(spark):
+    text, short, near = prose(400, 81), "too short for a window", prose(300, 81) + " its own end " + prose(50, 82)
+    rows = [(i, text) for i in range(3000)] + [(7, text)] * 2000 + [(None, text)] * 5 + [(5000 + i, short) for i in range(50)] + [(9000, near), (9001, prose(90, 83))]
+    got = collections.Counter((r.doc_id if r.doc_id is None or r.doc_id >= 9000 else -1, r.n_words, r.n_removed) for r in substring_dedup.op4(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    count = collections.Counter(tuple(w[j : j + 35]) for w in (t.split() for t in (text, text, near, prose(90, 83))) for j in range(len(w) - 34))
+    w = near.split()
+    gone = {j + k for j in range(len(w) - 34) if count[tuple(w[j : j + 35])] > 1 for k in range(35)}
+    assert got == {(-1, 400, 400): 5000, (None, 400, 400): 5, (-1, 5, 0): 50, (9000, len(w), len(gone)): 1, (9001, 90, 0): 1} and len(gone) > 250
+
+
 def shingles(t, k):
     w = WORD.findall(low(t))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
