@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept; all but the last return the
 columns of documents, with n_chars as the length of the text they leave. Null texts are rejected by the first stage; rows
-with a null doc_id pass near-dedup untouched. Empty tables pass every stage.
+with a null doc_id, and texts that share one, are documents of their own throughout. Empty tables pass every stage.
 """
 
 from __future__ import annotations
@@ -46,10 +46,11 @@ def once(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays, and one row of those with the same doc_id and text."""
-    docs = once(docs)
-    gone = near_dedup.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies the smallest doc_id stays, and one row of those with the same doc_id and text. Texts that share a doc_id, or have none, are documents of their own."""
+    rows = substring_dedup.keyed(once(docs).select("doc_id", "text", _whole(docs)))
+    found = near_dedup.near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_key")).distinct()
+    return rows.join(gone, "_key", "left_anti").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
