@@ -694,6 +694,20 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, docs):
     assert by_id(pipeline.repeated_passages(spark, kept, ""))[7].text == ROWS[6][1]
 
 
+def test_pipeline_tells_rows_apart(spark):
+    """Null doc_ids, several texts under one doc_id, a very long text: near-dedup and substring dedup judge texts, not names."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    long = prose(70_000, 91)
+    a, b = prose(150, 92), prose(150, 93)
+    rows = [(1, a), (None, a), (None, b), (5, a + " one more"), (5, prose(140, 94)), (6, long), (7, PASSAGE + b[:200]), (None, PASSAGE + long[:900])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.near_duplicates(spark, docs, "")
+    texts = sorted((r.text for r in kept.collect()), key=len)
+    assert kept.columns == docs.columns and len(texts) == 6 and {b, long, rows[4][1]} <= set(texts) and sum(t in (a, a + " one more") for t in texts) == 1
+    cut = pipeline.repeated_passages(spark, kept, "").collect()
+    assert len(cut) == 6 and all(PASSAGE.strip() not in r.text for r in cut) and all(r.n_chars == len(r.text) for r in cut)
+
+
 def test_repeated_nameless_and_long_rows(spark, docs):
     long = prose(60_000, 7)
     extra = spark.createDataFrame([(4, BASE), (None, "a text whose row has no name but has ten words or more"), (99, long)], "doc_id long, text string")
