@@ -366,7 +366,7 @@ def anti_visited(s, d):
 
 @query(f"SELECT page_id, {_strip(_plain(_TITLE))} AS title FROM pages")
 def page_titles(s, d):
-    return table(s, d, "pages").select("page_id", html.html_extract_base("html")["title"].alias("title"))
+    return table(s, d, "pages").select("page_id", html.titles("html").alias("title"))
 
 
 _TEXTS = f"list_transform(string_split(regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<!--.*?-->|<[^>]*>', chr(10), 'gs'), chr(10)), lambda x: {_strip('regexp_replace(' + _plain('x') + r", '\s+', ' ', 'g')")})"

@@ -54,10 +54,28 @@ def normal_url(url: str | None) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def url_norm(urls: pd.Series) -> pd.Series:
+def _normal_urls(urls: pd.Series) -> pd.Series:
     return urls.map(normal_url)
 
 
+#: URLs that nothing has to be decoded in: scheme, host, path, and a query of plain pairs.
+_PAIR = "[A-Za-z0-9_.~-]+=[A-Za-z0-9_.~-]*"
+_PLAIN = rf"^([A-Za-z][A-Za-z0-9+.-]*)://([A-Za-z0-9._:@-]+)((?:/[A-Za-z0-9._~!$&'()*+,=:@%/-]*)?)(?:\?((?:{_PAIR}(?:&{_PAIR})*)?))?$"
+
+
+def url_norm(url: Column) -> Column:
+    """normal_url as a column: plain URLs by SQL, the others by Python's parser."""
+    head = F.element_at(F.split(url, "#", 2), 1)
+    part = lambda i: F.regexp_extract(head, _PLAIN, i)
+    name = lambda pair: F.lower(F.element_at(F.split(pair, "="), 1))
+    pairs = F.filter(F.split(part(4), "&"), lambda x: (x != "") & ~name(x).startswith("utm_") & ~name(x).isin(*TRACKING))
+    query = F.array_join(pairs, "&")
+    whole = F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), part(3), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    whole = F.when(whole.endswith("/") & (part(3) != "/"), F.regexp_replace(whole, "/$", "")).otherwise(whole)
+    plain = F.coalesce(head.rlike(_PLAIN), F.lit(False))
+    return F.when(plain, whole).otherwise(F.coalesce(_normal_urls(F.when(~plain, url)), F.lit("")))
+
+
 @F.pandas_udf(T.StringType())
 def url_join(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([urljoin(b or "", x or "") for b, x in zip(base, link)], index=base.index, dtype=object)

@@ -172,6 +172,12 @@ def extract(html: str | None, url: str, domains: tuple[str, ...] = (), cap: int
     return title, content, links[:cap]
 
 
+@F.pandas_udf(T.StringType())
+def titles(html: pd.Series) -> pd.Series:
+    """The titles alone."""
+    return html.map(lambda h: title_of(parse(h)))
+
+
 @F.pandas_udf(_PAGE)
 def html_extract_base(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([extract_base(h) for h in html], columns=["title", "content"])

@@ -14,7 +14,7 @@ from kbforge.config import Config
 from kbforge.functions import urls
 from kbforge.operators import dedup, keywords, retrieval
 from kbforge.plans import crawl as plan
-from kbforge.sources import charset, jsonl
+from kbforge.sources import charset, connectors, jsonl
 from kbforge.sources.keystore import KeyStore
 from kbforge.streaming import judged
 
@@ -238,3 +238,107 @@ def test_pruned_search_equals_the_scan(spark, tmp_path):
     assert retrieval.knn_cells(spark, path, asked.where("false")).count() == 0
     with pytest.raises(ValueError):
         retrieval.build_cells(items.where("false"), path)
+
+
+def _counter(folder):
+    """Writes down each call, in workers too."""
+
+    def count(text):
+        with open(f"{folder}/{os.getpid()}-{random.random()}", "w") as f:
+            f.write(text)
+
+    return count
+
+
+def _asked(folder):
+    return collections.Counter((folder / x).read_text() for x in os.listdir(folder))
+
+
+def test_replies_are_asked_for_once(spark, tmp_path):
+    calls, flag, store = tmp_path / "calls", tmp_path / "lost", f"file://{tmp_path}/store"
+    calls.mkdir()
+    flag.touch()
+    count = _counter(calls)
+
+    def complete(prompt):
+        if prompt == "p7" and os.path.exists(flag):
+            raise SystemExit("lost")  # takes the worker with it
+        count(prompt)
+        if prompt == "bad":
+            raise ValueError("service")
+        return f'{{"of": "{prompt}"}}'
+
+    prompts = spark.createDataFrame([(str(i), f"p{i % 12}") for i in range(40)] + [("x", "bad")], "id string, prompt string")
+    run = lambda: {r.id: r.reply for r in connectors.ask_once(prompts, complete, store, 0, lambda _: None, 1).collect()}
+    with pytest.raises(Exception):
+        run()
+    first = _asked(calls)
+    assert "p7" not in first and max(first.values(), default=1) == 1
+    wave = {r.prompt: r.w for r in prompts.select("prompt", F.pmod(F.xxhash64(F.sha2("prompt", 256)), F.lit(13)).alias("w")).distinct().collect()}
+    flag.unlink()
+    got = run()
+    assert got == {**{str(i): f'{{"of": "p{i % 12}"}}' for i in range(40)}, "x": "{}"}
+    again = _asked(calls)
+    # only the wave that broke off is asked again
+    assert set(again) - {"bad"} == {f"p{i}" for i in range(12)} and all(n == 1 or wave[p] == wave["p7"] and n == 2 for p, n in again.items() if p != "bad")
+    assert run() == got and _asked(calls) - again == collections.Counter({"bad": 1})
+    assert connectors.ask_once(prompts.where("false"), complete, store).count() == 0
+
+
+def test_batches_of_services(spark, tmp_path):
+    """Batches are of the settings' size and of like lengths; results keep their rows."""
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    count = _counter(seen)
+
+    def load():
+        def encode(texts):
+            count("e" + ",".join(str(len(t)) for t in texts))
+            return [np.array([len(t), 1.0], np.float32) for t in texts]
+
+        return encode
+
+    def many(pairs):
+        count(f"s{len(pairs)}")
+        return [len(t) for _, t in pairs]
+
+    config = Config(embed_batch=3, rerank_batch=4, max_tokens=2)
+    embed, score = connectors.services(config, load, "test-batches", many)
+    rows = spark.createDataFrame([(i, "word " * n) for i, n in enumerate((1, 9, 2, 1, 0, 7, 2))] + [(7, None)], "k long, t string").coalesce(1)
+    got = {r.k: r for r in rows.select("k", "t", embed("t").alias("v"), score(F.lit("q"), F.col("t")).alias("s")).collect()}
+    assert all(r.v[0] == (len("word word") if (r.t or "").count("word") > 2 else len(r.t or "")) and r.s == len(r.t or "") for r in got.values())
+    calls = _asked(seen)
+    assert calls["s4"] == 2 and sum(n for c, n in calls.items() if c[0] == "e") == 3
+    for c in calls:
+        if c[0] == "e":
+            sizes = [int(x) for x in c[1:].split(",")]
+            assert len(sizes) <= 3 and sizes == sorted(sizes, reverse=True)
+    with pytest.raises(ValueError):
+        connectors.by_length(lambda x: x[:-1], [1, 2], 2, lambda _: 0)
+
+
+def test_settings(spark, monkeypatch):
+    monkeypatch.setenv("TOP_K", "7")
+    monkeypatch.setenv("USE_RERANKER", "0")
+    assert (Config.load().top_k, Config.load().use_reranker, Config.load().rerank_top_n) == (7, False, 5)
+    spark.conf.set("kbforge.top_k", "9")
+    try:
+        assert Config.load(spark).top_k == 9 and Config.load(spark).query_task == Config().query_task
+    finally:
+        spark.conf.unset("kbforge.top_k")
+
+
+def test_url_norm_equals_the_parser(spark):
+    r = random.Random(6)
+    bits = ["http://", "HTTPS://", "ftp:", "//", "A.com", "b.example:80", "u@h", "/", "/x", "/Y/", "//", ";p=1", "?", "a=1", "&", "utm_source=z", "From=1", "spm=", "q=a%20b", "q=校", "=", "#f/", "#", " ", "\\", "b", "%41", "[::1]", ".", "+", "é", "\t"]
+    seen = ["", "http://a.com", "http://a.com/", "http://A.com/x/?UTM_x=1&b=2#t", "http://a.com/?", "http://a.com/?a", "http://a.com/x//", "http://a.com//", "mailto:a@b", "http://a.com/?a=b&&c=d", "x/y/", "http://a.com/a;b/c;d?x=1"]
+    while len(seen) < 6000:
+        url = "".join(r.choice(bits) for _ in range(r.randint(1, 9)))
+        try:
+            urls.normal_url(url)
+        except ValueError:  # what the parser refuses
+            continue
+        seen.append(url)
+    rows = spark.createDataFrame([(u,) for u in seen] + [(None,)], "u string")
+    for u, n in rows.select("u", urls.url_norm(F.col("u"))).collect():
+        assert n == urls.normal_url(u), u
