@@ -14,7 +14,7 @@ payload length and CRC-32. Files come in ascending doc_id order and hold up to F
 across files. Ids may have up to 32 bits.
 
 Null or empty text: the end id alone. Rows that share a doc_id follow one another, each with its own entry; ties between
-them go by text. A null doc_id comes first. Other columns are ignored; an empty table gives no file and an empty table.
+them go by its hash. A null doc_id comes first. Other columns are ignored; an empty table gives no file and an empty table.
 """
 
 from __future__ import annotations
@@ -367,7 +367,10 @@ def token_files(docs: DataFrame, tokenizer_path: str, pattern: str, text: str =
             yield done()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", F.col(text).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # one doc_id, or one row, may stand there very often: its copies are dealt on by the text's hash, then as they come
+    order = ["doc_id", "_h", "_tie"]
+    rows = docs.select("doc_id", F.col(text).alias("text")).withColumns({"_h": F.xxhash64("text"), "_tie": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return ordered.mapInArrow(run, "part int, file int, before bigint, n_ids bigint, content binary")
 
 
