@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
@@ -506,6 +507,11 @@ def test_token_files(docs, empty):
         start += len(ids)
     assert token_files.op3(empty).count() == 0
     assert token_files.op3(docs.where("doc_id = 9").union(docs.where("doc_id = 9"))).count() == 2
+    # one row that stands there very often is dealt over the tasks
+    many = token_files.token_files(docs.where("doc_id = 9").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(400)))), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    assert many.where("n_ids > 0").select("part").distinct().count() > 1
+    starts = sorted((r.start, r.n_tokens) for r in token_files.read_back(token_files.written(many, "test-files")).collect())
+    assert len(starts) == 400 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
 
 
 def test_range_coder():
@@ -611,6 +617,50 @@ def test_lm_scoring(docs, empty):
     assert lm_scoring.op1(empty).count() == 0
 
 
+def test_lm_score_by_brute_force(docs, monkeypatch):
+    """The score from the network's weights, the static shares and the counts, a token at a time: words within the vocabulary, within the head, beyond it, unknown."""
+    models, real = [], lm_scoring._round
+    monkeypatch.setattr(lm_scoring, "_round", lambda *a: models.append(real(*a)) or models[-1])
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 50)
+    monkeypatch.setattr(lm_scoring, "HEAD", 120)
+    got = by_id(lm_scoring.op1(docs))
+    p = {k: v.astype(np.float64) for k, v in models[-1].p.items()}
+    words = {i: WORD.findall(low(t)) for i, t in ROWS}
+    trained = [i for i in words if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = collections.Counter(w for i in trained for w in words[i])
+    hashed = {}
+    for w in {w for ws in words.values() for w in ws}:
+        raw = np.frombuffer(w.encode(), np.uint8)
+        hashed[w] = int(kernel.Words(raw, np.array([0, len(raw)])).hashes(fold=True).view(np.int64)[0])
+    rank = {w: n for n, w in enumerate(sorted(c, key=lambda w: (-c[w], hashed[w])))}
+    symbol = {w: n + 2 for w, n in rank.items() if n < 50}
+    ones, twos = (sum(n == k for n in c.values()) for k in (1, 2))
+    discount = min(0.95, max(0.05, ones / (ones + 2 * twos)))
+    tail = {w: n for w, n in c.items() if w not in symbol}
+    total = sum(tail.values())
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    gate = lambda x: 1 / (1 + np.exp(-x))
+    size = p["U"].shape[0]
+    assert len(tail) > 70 and any(w not in c for ws in words.values() for w in ws)
+    for i, ws in words.items():
+        if len(ws) > 500:
+            continue
+        h, x, score = np.zeros(size), gru.END, 0.0
+        for w in [*ws, None]:
+            a, g = p["Wx"][x], h @ p["U"]
+            z, r = gate(a[:size] + g[:size]), gate(a[size : 2 * size] + g[size : 2 * size])
+            new = np.tanh(a[2 * size :] + r * g[2 * size :])
+            h = (1 - z) * new + z * h
+            x = gru.END if w is None else symbol.get(w, gru.TAIL)
+            of = 0 if x == gru.TAIL else 1 + (x - 1) // gru.CLASS
+            score += math.log10(softmax(h @ p["Wc"] + p["bc"])[of])
+            if of:
+                score += math.log10(softmax(h @ p["Wo"][of - 1] + p["bo"][of - 1])[(x - 1) % gru.CLASS])
+            elif w is not None:
+                score += math.log10((c[w] - discount if c[w] else discount * len(tail)) / total)
+        assert math.isclose(got[i].score, score, rel_tol=2e-4, abs_tol=1e-3), (i, got[i].score, score)
+
+
 def test_lm_trains_once_on_every_training_document(docs, monkeypatch):
     seen, real = [], lm_scoring._round
     monkeypatch.setattr(lm_scoring, "_round", lambda share, *rest: seen.append([r.text for r in share.collect()]) or real(share, *rest))
