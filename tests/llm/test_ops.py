@@ -74,6 +74,13 @@ def test_kernel_words_and_windows():
             for w, h in zip(ws, hs):
                 of[low(w)].add(h)
         assert all(len(v) == 1 for v in of.values()) and len({next(iter(v)) for v in of.values()}) == len(of)
+    # words whose polynomial sums are alike for every base
+    for n in (9, 10, 11, 12):
+        turn = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << n))
+        both = [turn, turn.translate(str.maketrans("ab", "ba")), turn.upper()]
+        _, _, data, offsets = next(kernel.slices(pa.array(both)))
+        plain, folded = (kernel.Words(data, offsets).hashes(fold).tolist() for fold in (False, True))
+        assert len(set(plain)) == 3 and folded[0] == folded[2] != folded[1]
     v = rng.integers(0, 2**63, 50).astype(np.uint64)
     for k in (1, 2, 5, 7, 24):
         assert kernel.sliding_min(v, k).tolist() == [v[i : i + k].min() for i in range(50 - k + 1)]
