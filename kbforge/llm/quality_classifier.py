@@ -108,7 +108,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int = MAX_
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
     found = written(rows.mapInArrow(featurize, "doc_id bigint, y double, keys binary, vals binary"), "qc-features")
-    ordered = found.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "keys").select("y", "keys", "vals")
+    order = [F.xxhash64("doc_id"), "doc_id", "y", "keys"]
+    if found.count() > max_labelled:  # labelled documents that stand there more than once
+        found = written(found.orderBy(*order).limit(max_labelled), "qc-features")
+    ordered = found.orderBy(*order).select("y", "keys", "vals")
     return train(ordered.toLocalIterator)
 
 

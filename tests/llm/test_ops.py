@@ -709,6 +709,18 @@ def test_quality_classifier(spark, docs, empty):
     assert quality_classifier.op10(docs, labels.where("false")).count() == len(ROWS)
 
 
+def test_quality_classifier_bounds_repeated_documents(spark, monkeypatch):
+    """Copies of labelled documents don't carry training past its bound; the rows with the lowest hashes stay."""
+    rows = [(i, prose(20, i)) for i in range(30) for _ in range(1 + 9 * (i % 3 == 0))]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_classifier, "train", lambda epoch: seen.append([len(r.keys) for r in epoch()]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (25, 1000):
+        quality_classifier.fit(docs, labels, "quality", most)
+    assert [len(x) for x in seen] == [25, len(rows)]
+
+
 def test_quality_classifier_against_brute_force(spark):
     texts = [prose(30, i) + (" $$$ ##" if i % 3 == 0 else "") for i in range(40)]
     rows = []
