@@ -138,6 +138,7 @@ def _sketch(k: int):
                     [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2)), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "keys"],
                 )
+        kernel.release()
 
     return run
 
@@ -199,6 +200,7 @@ def _neighbours(across: bool):
             mark.append(last)
             ends = np.array(mark, np.int64)
             yield from made(ends[:, 1], ends[:, 1], ends[:, 0], 1)
+        kernel.release()
 
     return run
 
@@ -336,6 +338,7 @@ def _prefixes(k: int, percent: int, counts):
                 of = pa.array(np.repeat(np.arange(b - a), many))
                 place = np.concatenate([np.arange(m) for m in many])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(place, pa.int64()), *(part.column(c).take(of) for c in ("rep", "n_shingles", "component"))], ["key", "place", "rep", "n_shingles", "component"])
+        kernel.release()
 
     return run
 
@@ -370,6 +373,7 @@ def _plausible(threshold: float):
             n = [batch.column(c).to_numpy().astype(np.float64) for c in ("n_a", "n_b")]
             j, error = estimate(*sk, *n)
             yield batch.select(["a", "b"]).filter(pa.array(j + MARGIN * error >= threshold))
+        kernel.release()
 
     return run
 
@@ -383,6 +387,7 @@ def _confirmed(k: int, percent: int):
                 both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets)], np.int64)
                 total = np.array([len(x) + len(y) for x, y in zip(*sets)], np.int64) - both
                 yield part.select(["a", "b"]).filter(pa.array(100 * both >= percent * total))
+        kernel.release()
 
     return run
 
