@@ -26,7 +26,7 @@ from kbforge.llm import gru, kernel
 from kbforge.llm.scratch import written
 
 #: Words of the recurrent model; words whose counts travel to every task (bounds on what is broadcast).
-VOCABULARY, HEAD = 4094, 65_536
+VOCABULARY, HEAD = 8190, 65_536
 #: Rounds of training and averaging, and the step of the first one.
 ROUNDS, RATE = 3, 0.3
 #: Weights that travel in one row.
