@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kbforge.config import Config
+from kbforge.functions import prompts
 from kbforge.functions import text as X
 from kbforge.functions import urls as U
 from kbforge.operators import chunk, crawl, dedup, keywords, qa, retrieval
+from kbforge.plans import ask
 from kbforge.plans import crawl as plan
 from kbforge.scratch import forget_later, shared_dir
 from kbforge.sources import html, jsonl
@@ -788,6 +790,104 @@ def chat_messages(s, d):
     return rows.select("conv_id", "turn", F.col("m")[0]["content"].alias("system_text"), F.col("m")[1]["content"].alias("user_text"))
 
 
+# Whole flows with stand-ins that SQL can follow.
+
+#: Unit vectors that stand in for a model's, by the length of the text.
+_UNITS = ((1.0, 0.0), (0.0, 1.0), (0.6, 0.8), (0.8, 0.6))
+_TASK = Config().query_task
+_EXIT = "('', " + ", ".join(f"'{w}'" for w in ask.EXIT_WORDS) + ")"
+_N = "chr(10)"
+
+
+def _turns(x: str) -> str:
+    return "'" + x.replace("\n", "' || chr(10) || '") + "'"
+
+
+_ASK_SQL = (
+    f"{_VALID}, it AS (SELECT conv_id * 100000 + turn AS id, question AS iq, answer, turn, {_strip(chr(39) + '问题：' + chr(39) + ' || question || chr(10) || ' + chr(39) + '答案：' + chr(39) + ' || answer')} AS t FROM v), "
+    f"units AS (SELECT {[list(u) for u in _UNITS]} AS u), "
+    "qs AS (SELECT item_id AS query_id, CASE item_id % 7 WHEN 0 THEN ' ' WHEN 1 THEN ' Exit ' ELSE text END AS question FROM benchmark), "
+    f"aq AS (SELECT * FROM qs WHERE lower({_strip('question')}) NOT IN {_EXIT}), "
+    f"sc AS (SELECT query_id, question, id, iq, answer, t, turn, round(list_dot_product(u[length(t) % 4 + 1], u[length('Instruct: {_TASK}' || chr(10) || 'Query:' || question) % 4 + 1]), 6) AS score FROM aq, it, units), "
+    "hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS faiss_rank FROM sc QUALIFY faiss_rank <= 30), "
+    "re AS (SELECT *, ((length(question) + length(t || chr(10) || '类别：c' || turn)) % 10)::DOUBLE AS rerank FROM hits), "
+    "best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, faiss_rank) AS rank FROM re QUALIFY rank <= 5), "
+    "ctx AS (SELECT query_id, question, string_agg('[资料' || rank || ' | FAISS相似度 ' || printf('%.4f', score) || ' | Rerank分数 ' || printf('%.4f', rerank) || ']' || chr(10) || '问题：' || iq || chr(10) || '答案：' || answer, chr(10) || chr(10) ORDER BY rank) AS c, "
+    "string_agg('- [' || rank || '] ' || CASE WHEN length(iq) > 80 THEN left(iq, 80) || '...' ELSE iq END || chr(10) || '  - FAISS: ' || printf('%.4f', score) || ', Rerank: ' || printf('%.4f', rerank), chr(10) ORDER BY rank) AS list, count(*) AS n FROM best GROUP BY query_id, question)"
+)
+
+
+def _stand_in(text: Column) -> Column:
+    units = F.array(*[F.array(*[F.lit(x).cast("float") for x in u]) for u in _UNITS])
+    return F.element_at(units, F.length(text) % len(_UNITS) + 1)
+
+
+def _index(s: SparkSession, d: str) -> str:
+    """An index of the conversations' pairs, built and written."""
+    rows = qa.qa_valid(pairs(s, d)).select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "question", "answer", F.to_json(F.struct(F.concat(F.lit("c"), F.col("turn").cast("string")).alias("category"))).alias("raw"))
+    path = f"{shared_dir(s)}/kbforge-index-{uuid.uuid4().hex}"
+    forget_later(s, path)
+    ask.build_index(rows.withColumn("index_text", X.index_text(F.col("question"), F.col("answer"))), path, _stand_in, "units")
+    return path
+
+
+@query(
+    f"WITH {_ASK_SQL} SELECT query_id, length({_turns(retrieval.USER_HEAD)} || CASE WHEN length(c) > 6000 THEN left(c, 6000) || {_turns(retrieval.CUT_NOTICE)} ELSE c END || {_turns(retrieval.USER_MIDDLE)} || question || {_turns(retrieval.USER_TAIL)}) || ' 512' "
+    "|| chr(10) || chr(10) || '---' || chr(10) || chr(10) || '**参考资料 Top ' || n || '：**' || chr(10) || list AS reply FROM ctx"
+)
+def ask_questions(s, d):
+    """Index, retrieval, rerank, context, generation, sources: questions are the benchmark's, some of them blank or a word that ends a session. The
+    generator answers with the length of what it was told, and a setting."""
+    blank = F.when(F.col("item_id") % 7 == 0, " ").when(F.col("item_id") % 7 == 1, " Exit ").otherwise(F.col("text"))
+    asked = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), blank.alias("question"))
+
+    def score(question: Column, text: Column) -> Column:
+        return ((F.length(question) + F.length(text)) % 10).cast("double")
+
+    def complete(messages: list[dict[str, str]], **options) -> str:
+        return f"{len(messages[1]['content'])} {options['max_tokens']}"
+
+    return ask.ask(ask.open_index(s, _index(s, d)), asked, _stand_in, score, complete)
+
+
+@query(f"WITH {_VALID} SELECT 'units' AS embedding_model, 'exact inner product' AS index_type, count(*) AS num_items, 2::BIGINT AS dimension FROM v")
+def index_meta(s, d):
+    """What an index says of itself."""
+    return s.read.json(f"{_index(s, d)}/meta")
+
+
+@query(
+    f"SELECT doc_id, 'Requirement: find guides' || chr(10) || 'Title: ' || source || chr(10) || 'URL: http://h.example/' || doc_id || chr(10) || 'Text:' || chr(10) || left(text, {prompts.JUDGED}) || chr(10) || "
+    "'Can question-answer pairs be made from it?' || chr(10) || 'JSON only: {\"useful\": true, \"category\": \"...\", \"reason\": \"...\"}' AS prompt FROM documents"
+)
+def judge_prompts(s, d):
+    url = F.concat(F.lit("http://h.example/"), F.col("doc_id").cast("string"))
+    return table(s, d, "documents").select("doc_id", prompts.content_judge(F.lit("find guides"), F.col("source"), url, F.col("text")).alias("prompt"))
+
+
+@query(f"WITH {_LINKS} SELECT page_id, i, split_part(url, '/', 1) || '//' || split_part(url, '/', 3) || {_plain('h')} AS target FROM l JOIN pages USING (page_id)")
+def joined_urls(s, d):
+    return links(s, d).select("page_id", "i", U.url_join(F.col("url"), F.col("href")).alias("target"))
+
+
+@query(_context_sql(_HEAD.format(a="FAISS相似度 "), "chr(10) || chr(10)").replace("SELECT query_id, string_agg", "SELECT query_id, left(c, 150) || chr(10) || chr(10) || '" + retrieval.CUT_NOTICE.strip() + "' AS context FROM (SELECT query_id, string_agg").replace(" AS context FROM top", " AS c FROM top") + ") WHERE length(c) > 150")
+def cut_contexts(s, d):
+    """Contexts that are longer than they may be."""
+    return retrieval.build_context(top(s, d), 150)
+
+
+@query("SELECT event_id % 3 AS batch, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+def append_batches(s, d):
+    """Events appended in three batches of which each is written twice, as after a failure."""
+    path = f"{shared_dir(s)}/kbforge-append-{uuid.uuid4().hex}"
+    forget_later(s, path)
+    rows = table(s, d, "events").select("event_id", "event_type")
+    for k in (0, 1, 1, 2, 0, 2):
+        judged_stream.append(rows.where(F.col("event_id") % 3 == k), k, path)
+    out = s.read.schema("event_id bigint, event_type string, batch string").json(path)
+    return out.groupBy(F.regexp_extract("batch", "([0-9]+)$", 1).cast("bigint").alias("batch")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 _SQUARES = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
 
 
