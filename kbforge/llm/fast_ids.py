@@ -197,3 +197,10 @@ def reader(tokenizer_path: str, pattern: str) -> Reader:
     if key not in _readers:
         _readers[key] = Reader(*key)
     return _readers[key]
+
+
+def forget() -> None:
+    """Drops what the readers of this process remember: a worker that goes on to other work keeps no more than it needs."""
+    for r in _readers.values():
+        r._forget()
+    kernel.release()

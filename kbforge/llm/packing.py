@@ -231,6 +231,7 @@ def _pack(idf_shared, mean_length: float, dtype: np.dtype, window: int, shard: i
                     base, held, size = base + shard, [], 0
         if held:
             yield one(pa.Table.from_batches(held), base)
+        fast_ids.forget()  # no ids are made from here on
 
     return run
 
