@@ -31,7 +31,7 @@ from kbforge.llm.scratch import written
 #: Words of a window; words of an anchor.
 WINDOW, ANCHOR = 35, 12
 #: Places of a window that its copies are told.
-REFERENCES = 3
+REFERENCES = 2
 #: Unclear doc_ids, and classes of equal texts, that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 
