@@ -41,6 +41,15 @@ def test_charset_by_bytes(name, page):
         assert charset.decode(whole.encode(name)) == (whole, name)
 
 
+def test_charset_words_count_once_and_words_of_two_scripts_count_against():
+    """Short words of accented letters alone look like another script's: neither their number nor letters next to each other decide."""
+    for text in ("Éé " * 39 + "éonsggs " * 18 + "anré Größe und élève, señor", "die üß " * 29 + "für die Größe und élève, señor", "éé. ççè èé è èêè Èou ciónes Vireè queauxè èçonan ééen éanou Größe und élève, señor"):
+        assert charset.decode(text.encode("cp1252")) == (text, "cp1252")
+    for name in ("cp1251", "koi8_r"):
+        text = "Студенты " * 30 + "и IT-отдел должны зарегистрироваться в Moodle до начала экзамена"
+        assert charset.decode(text.encode(name)) == (text, name)
+
+
 def test_charset_marks_declarations_and_damage():
     for mark, name in (("utf-8-sig", "utf-8-sig"), ("utf-16", "utf-16"), ("utf-32", "utf-32")):
         assert charset.decode("Größe".encode(mark)) == ("Größe", name)
