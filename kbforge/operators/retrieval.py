@@ -17,8 +17,10 @@ TOP_K, TOP_N = 30, 5
 PLACES = 6
 #: Cells of an index, items that their centres are found by, and files of a large cell.
 MAX_CELLS, CELL_SAMPLE, CELL_FILES = 4096, 50_000, 8
-#: Bytes of query vectors that one pass broadcasts; more queries take more passes.
-QUERY_BYTES = 64 << 20
+#: Bytes of query vectors and of their best items that a task holds in one pass; more queries take more passes.
+QUERY_BYTES = 32 << 20
+#: Products that are held at a time, and items of a step: a worker's memory follows neither the queries nor the items.
+SCORES, STEP = 1 << 20, 4096
 CUT_NOTICE, CUT_NOTICE_SEARCH = "\n\n[提示：后续参考资料因长度限制已截断]", "\n\n[提示：后续资料因长度限制已截断]"
 
 #: What a generator is told.
@@ -58,35 +60,65 @@ def knn_topk(items: DataFrame, query: list[float], k: int = TOP_K, key: str = "v
     return best.select(F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("rank"), key, "score")
 
 
+def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
+
+
+def _merged(best_s: np.ndarray, best_k: np.ndarray, s: np.ndarray, keys: np.ndarray, k: int, finite: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A row's best scores and keys (k, or all so far) with those of more items; s isn't rounded yet. What can't be among the k best is left
+    out by a bound that is lower than theirs by more than rounding makes up; equal scores go by key."""
+    n, m = best_s.shape
+    slack = 10.0**-PLACES
+    passed = np.ones(s.shape, bool) if m < k else ~(s < best_s[:, -1:] - slack)
+    if finite and s.shape[1] > k and np.count_nonzero(passed) > 4 * k * n:
+        passed &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None] - slack
+    row, col = np.nonzero(passed)
+    if not len(row):
+        return best_s, best_k
+    rows = np.unique(row)
+    of = np.concatenate([np.repeat(rows, m), row])
+    scores, ids = np.concatenate([best_s[rows].ravel(), np.round(s[row, col], PLACES)]), np.concatenate([best_k[rows].ravel(), keys[col]])
+    order = np.lexsort((ids, -scores, of))
+    of = of[order]
+    order = order[np.arange(len(of)) - np.searchsorted(of, of) < k].reshape(len(rows), -1)
+    if m < k:  # every row has met every item
+        return scores[order], ids[order]
+    best_s[rows], best_k[rows] = scores[order], ids[order]
+    return best_s, best_k
+
+
+def _scan(batches: Iterator[pa.RecordBatch], q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Batches (key, vector) to the best scores and keys of the queries in groups: (place of the first query, scores, keys)."""
+    share = SCORES // STEP
+    best = [(np.zeros((len(q[at : at + share]), 0)), np.zeros((len(q[at : at + share]), 0), np.int64)) for at in range(0, len(q), share)]
+    finite = bool(np.isfinite(q).all())
+    for batch in batches if len(q) else ():
+        for at in range(0, batch.num_rows, STEP):
+            part = batch.slice(at, STEP)
+            keys, v = part.column(0).to_numpy(), _vectors(part.column(1), q.shape[1])
+            sure = finite and bool(np.isfinite(v).all())
+            for g, (s, ids) in enumerate(best):
+                best[g] = _merged(s, ids, q[g * share : (g + 1) * share] @ v.T, keys, k, sure)
+    for g, (s, ids) in enumerate(best):
+        yield g * share, s, ids
+
+
 def _best(items: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, key: str, vector: str) -> DataFrame:
     """Rows (query_id, key, score): of each task the k best items for each query."""
     shared = items.sparkSession.sparkContext.broadcast((ids, vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
-        best_s, best_k = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-        for batch in batches:
-            if not len(ids) or not batch.num_rows:
-                continue
-            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            keys = batch.column(0).to_numpy()
-            for at in range(0, len(keys), 4096):
-                s = np.round(q @ vectors[at : at + 4096].T, PLACES)
-                best_s = np.concatenate([best_s, s], axis=1)
-                best_k = np.concatenate([best_k, np.broadcast_to(keys[at : at + 4096], s.shape)], axis=1)
-                order = np.lexsort((best_k, -best_s), axis=1)[:, :k]
-                best_s, best_k = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_k, order, 1)
-        if best_s.size:
-            m = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(best_k.ravel()), pa.array(best_s.ravel())], ["query_id", key, "score"])
+        for at, s, found in _scan(batches, q, k):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + len(s)], s.shape[1])), pa.array(found.ravel()), pa.array(s.ravel())], ["query_id", key, "score"])
 
     return items.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"query_id bigint, {key} bigint, score double")
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _query_blocks(queries: DataFrame, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and vectors of queries(query_id, embedding) in blocks of bounded size."""
     n, dim = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    blocks = max(1, -(-(n * (dim or 1) * 4) // QUERY_BYTES))
+    blocks = max(1, -(-(n * 8 * ((dim or 1) + 2 * k)) // QUERY_BYTES))
     for b in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").collect()
         yield np.array([r.query_id for r in part], np.int64), np.array([r.embedding for r in part], np.float64).reshape(len(part), dim or 0)
@@ -101,18 +133,24 @@ def knn_topk_batch(items: DataFrame, queries: DataFrame, k: int = TOP_K, key: st
     """Rows (query_id, rank, key, score). queries(query_id, embedding) go out in blocks of bounded size; every task multiplies its
     items by a block and keeps k for each query, so a query's candidates are k times the tasks, never the table."""
     out = None
-    for ids, vectors in _query_blocks(queries):
+    for ids, vectors in _query_blocks(queries, k):
         found = _best(items, ids, vectors, k, key, vector)
         out = found if out is None else out.unionByName(found)
     return _ranked(out, k, key)
 
 
+def _nearest(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, a bounded number of products at a time."""
+    size, step = (centres**2).sum(1)[None, :], max(1, SCORES // len(centres))
+    return np.concatenate([np.argmin(size - 2 * v[at : at + step] @ centres.T, axis=1) for at in range(0, len(v), step)] or [np.zeros(0, np.int64)])
+
+
 def _centroids(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
     """Centres of at most `cells` groups of the sample rows."""
     rng = np.random.default_rng(0)
     centres = sample[np.sort(rng.choice(len(sample), min(cells, len(sample)), replace=False))].copy()
     for _ in range(rounds):
-        near = np.argmin((centres**2).sum(1)[None, :] - 2 * sample @ centres.T, axis=1)
+        near = _nearest(sample, centres)
         for c in range(len(centres)):
             own = sample[near == c]
             if len(own):
@@ -136,8 +174,8 @@ def build_cells(items: DataFrame, path: str, cells: int | None = None, key: str
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         for batch in batches:
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, c.shape[1])
-            near = np.argmin((c**2).sum(1)[None, :] - 2 * v @ c.T, axis=1)
+            v = _vectors(batch.column(1), c.shape[1])
+            near = _nearest(v, c)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(np.linalg.norm(v - c[near], axis=1))], [key, vector, "cell", "_far"])
 
     placed = rows.mapInArrow(place, f"{key} bigint, {vector} array<float>, cell int, _far double")
@@ -157,21 +195,27 @@ def knn_cells(spark: SparkSession, path: str, queries: DataFrame, k: int = TOP_K
     centre, radius, sizes = np.array([r.centre for r in cells]), np.array([r.radius for r in cells]), np.array([r.n for r in cells])
     items = spark.read.parquet(f"{path}/items")
     out = None
-    for ids, q in _query_blocks(queries):
+    for ids, q in _query_blocks(queries, k):
         if not len(ids):
             continue
-        near = q @ centre.T
-        order = np.argsort(-near, axis=1)
-        held = np.cumsum(sizes[order], axis=1)
-        first = order[held - sizes[order] < k]
-        read = number[np.unique(first)]
+        parts = range(0, len(ids), max(1, SCORES // len(number)))  # queries by cells, a bounded number of products at a time
+        looked = np.zeros(len(number), bool)
+        for p in parts:
+            order = np.argsort(-(q[p : p + parts.step] @ centre.T), axis=1)
+            held = np.cumsum(sizes[order], axis=1)
+            looked[order[held - sizes[order] < k]] = True
+        read = number[looked]
         found = written(_best(items.where(F.col("cell").isin(read.tolist())), ids, q, k, key, vector), "knn-cells")
         least = np.full(len(ids), -np.inf)
         at = {int(x): i for i, x in enumerate(ids)}
         for row in _ranked(found, k, key).where(F.col("rank") == k).collect():  # one a query of the block
             least[at[row.query_id]] = row.score
-        reach = near + np.linalg.norm(q, axis=1)[:, None] * radius[None, :] + 2 * 10.0**-PLACES
-        more = np.setdiff1d(number[(reach >= least[:, None]).any(axis=0)], read)
+        reached = np.zeros(len(number), bool)
+        for p in parts:
+            part = q[p : p + parts.step]
+            reach = part @ centre.T + np.linalg.norm(part, axis=1)[:, None] * radius[None, :] + 2 * 10.0**-PLACES
+            reached |= (reach >= least[p : p + parts.step, None]).any(axis=0)
+        more = number[reached & ~looked]
         if len(more):
             found = found.unionByName(_best(items.where(F.col("cell").isin(more.tolist())), ids, q, k, key, vector))
         out = found if out is None else out.unionByName(found)

@@ -2,9 +2,11 @@
 
 import io
 import itertools
+import tracemalloc
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +113,36 @@ def test_vectors(spark):
     assert [x.vec_id for x in retrieval.knn_topk(items, v[0].tolist(), 3).orderBy("rank").collect()] == np.lexsort((np.arange(60), -exact[0]))[:3].tolist()
 
 
+def _peak(f) -> int:
+    tracemalloc.start()
+    f()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_vector_search_holds_few_products():
+    """Memory of a task follows neither the number of queries times a batch's items, nor that of items times cells."""
+    rng = np.random.default_rng(3)
+    v, q = rng.integers(-2, 3, (9000, 8)).astype(np.float64), rng.integers(-2, 3, (3000, 8)).astype(np.float64)
+    v[5000:5400] = v[0]  # many ties
+    keys = rng.permutation(len(v))
+    batches = lambda: [pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(list(v[a:b]))], ["k", "v"]) for a, b in ((0, 7), (7, 20), (20, 20), (20, 9000))]
+    found = []
+    given = batches()
+    assert _peak(lambda: found.extend(retrieval._scan(iter(given), q, 30))) < 100_000_000  # 3,000 x 4,096 products alone are 98 MB
+    scores, ids = np.concatenate([s for _, s, _ in found]), np.concatenate([k for _, _, k in found])
+    assert [at for at, _, _ in found] == list(range(0, 3000, 256))
+    for i in range(0, 3000, 61):
+        s = np.round(q[i] @ v.T, 6)
+        best = np.lexsort((keys, -s))[:30]
+        assert (ids[i] == keys[best]).all() and (scores[i] == s[best]).all()
+    centres = rng.normal(size=(2000, 8))
+    near = []
+    assert _peak(lambda: near.append(retrieval._nearest(v, centres))) < 60_000_000  # 9,000 x 2,000 products alone are 144 MB
+    assert (near[0][::97] == [np.argmin(((x - centres) ** 2).sum(1)) for x in v[::97]]).all()
+
+
 def test_pooling(spark):
     rows = spark.createDataFrame([([[1.0], [2.0], [3.0]], [1, 1, 0], False), ([[1.0], [2.0], [3.0]], [0, 1, 1], True)], "s array<array<double>>, m array<int>, left boolean")
     assert [r[0] for r in rows.select(retrieval.last_token_pool(F.col("s"), F.col("m"), F.col("left"))).collect()] == [[2.0], [3.0]]
