@@ -152,13 +152,18 @@ class Reader:
         first = split.offsets.to_numpy()[:-1]
         pieces = split.values
         coded = pieces.dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
         if len(self.pieces) + len(self.openings) + len(names) > PIECES:
             self._forget()
         slots = list(map(self.pieces.get, names))
+        known, add, code, tokenize, space = self.pieces, self.store.add, self.code, self.model.tokenize, _ALPHABET[32]
         for i, x in enumerate(slots):
             if x is None:
-                slots[i] = self._piece(names[i])
+                piece = names[i]
+                if piece.isascii() and piece.isalpha():
+                    slots[i] = known[piece] = add(array(code, [t.id for t in tokenize(space + piece)]).tobytes())
+                else:
+                    slots[i] = self._piece(piece)
         of = np.array(slots, np.int64)[coded.indices.to_numpy()]
         of[first] = [self._opening(p) for p in pieces.take(pa.array(first)).to_pylist()]
         ids, n = self.store.gather(of)

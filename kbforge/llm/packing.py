@@ -46,7 +46,7 @@ def _cut(tokenizer_path: str, pattern: str, window: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = fast_ids.reader(tokenizer_path, pattern)
         frequency = np.zeros(reader.tokenizer.get_vocab_size() + 1, np.int64)
-        held = np.zeros(len(frequency), bool)
+        place = np.zeros(len(frequency), np.int64)
         n_docs = n_tokens = 0
         base, n_whole = -(TaskContext.get().partitionId() + 1) << 32, 0
         end = np.array([END_ID], reader.dtype)
@@ -55,10 +55,9 @@ def _cut(tokenizer_path: str, pattern: str, window: int, with_ids: bool):
                 out: list[tuple] = []
                 for doc, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
                     ids = np.concatenate([flat[a:b], end])
-                    held[ids] = True
-                    own = np.flatnonzero(held)
-                    frequency[own] += 1
-                    held[own] = False
+                    order = np.arange(len(ids))
+                    place[ids] = order
+                    frequency[ids[place[ids] == order]] += 1  # each token once
                     n_docs, n_tokens = n_docs + 1, n_tokens + len(ids)
                     whole = len(ids) // window * window
                     for at in range(0, whole, window):
