@@ -14,6 +14,8 @@ LANES, WINDOW, PORTION = 512, 16, 8
 #: Lanes of the first portion; each further one has twice as many, up to LANES.
 FIRST_LANES = 32
 TAIL, END = 0, 1
+#: Rows whose class logits are held at a time: they stay in a core's cache.
+BLOCK = 2048
 
 
 class Gru:
@@ -56,16 +58,23 @@ class Gru:
             at += n
         return Gru(out)
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-        n = h.shape[1]
-        a, g = self.p["Wx"].take(x, axis=0), h @ self.p["U"]
-        zr = a[:, : 2 * n] + g[:, : 2 * n]
+    def step(self, a: np.ndarray, h: np.ndarray, ut: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """a: what the inputs bring to each gate, h: the states; a column a lane, so that every gate is one piece of memory. ut: U transposed."""
+        n = len(h)
+        g = ut @ h
+        zr = a[: 2 * n] + g[: 2 * n]
         np.tanh(np.multiply(zr, 0.5, out=zr), out=zr)
         np.add(np.multiply(zr, 0.5, out=zr), 0.5, out=zr)
-        z, r, gn = zr[:, :n], zr[:, n:], g[:, 2 * n :]
+        z, r, gn = zr[:n], zr[n:], g[2 * n :]
         new = r * gn
-        np.tanh(np.add(new, a[:, 2 * n :], out=new), out=new)
-        return new + z * (h - new), (x, h, z, r, new, gn)
+        np.tanh(np.add(new, a[2 * n :], out=new), out=new)
+        out = h - new
+        np.add(np.multiply(out, z, out=out), new, out=out)
+        return out, (h, z, r, new, gn)
+
+    def inputs(self, xs: np.ndarray) -> np.ndarray:
+        """[T, gates, B] of symbols [T, B]."""
+        return np.ascontiguousarray(self.p["Wx"].take(xs, axis=0).transpose(0, 2, 1))
 
     def _by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]], np.ndarray]:
         """Class of each symbol, the order that sorts by it, (class, from, to) of the runs but class 0, and places within classes in that order."""
@@ -77,11 +86,16 @@ class Gru:
     def log_probs(self, hs: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log P(y | state) for rows of states."""
         c, order, runs, place = self._by_class(y)
-        logits = hs @ self.p["Wc"] + self.p["bc"]
-        out = logits[np.arange(len(y)), c] - _lse(logits)
-        own, inside = hs[order], np.zeros(len(y), out.dtype)
+        out, inside = np.empty(len(y), hs.dtype), np.zeros(len(y), hs.dtype)
+        wc = np.vstack([self.p["Wc"], self.p["bc"]])
+        hs = _with_one(hs)
+        for a in range(0, len(y), BLOCK):
+            logits = hs[a : a + BLOCK] @ wc
+            out[a : a + BLOCK] = logits[np.arange(len(logits)), c[a : a + BLOCK]] - _lse(logits)
+        own = hs[order]
+        wo = np.concatenate([self.p["Wo"], self.p["bo"][:, None]], axis=1)
         for k, a, b in runs:
-            inner = own[a:b] @ self.p["Wo"][k - 1] + self.p["bo"][k - 1]
+            inner = own[a:b] @ wo[k - 1]
             inside[a:b] = inner[np.arange(b - a), place[a:b]] - _lse(inner)
         out[order] += inside
         return out
@@ -89,28 +103,28 @@ class Gru:
     def score(self, docs: list[np.ndarray], window: int = 32, lanes: int = 2048) -> np.ndarray:
         """Natural log probability of whole documents, each an array of symbols with END last. State is carried from window to window."""
         total = np.zeros(len(docs))
+        ut = np.ascontiguousarray(self.p["U"].T)
         order = np.argsort([-len(d) for d in docs], kind="stable")
         for at in range(0, len(order), lanes):
             own = order[at : at + lanes]
             lens = np.array([len(docs[i]) for i in own])
-            h = np.zeros((len(own), self.p["U"].shape[0]), np.float32)
+            h = np.zeros((self.p["U"].shape[0], len(own)), np.float32)
             last = np.full(len(own), END, np.int64)
             for t0 in range(0, int(lens[0]) if len(lens) else 0, window):
                 live = int(np.searchsorted(-lens, -t0, "left"))  # lens > t0: a prefix, for lens fall
-                own, lens, h, last = own[:live], lens[:live], h[:live], last[:live]
+                own, lens, h, last = own[:live], lens[:live], h[:, :live], last[:live]
                 ys = np.zeros((live, window), np.int64)
                 for k, i in enumerate(own):
                     part = docs[i][t0 : t0 + window]
                     ys[k, : len(part)] = part
-                states = np.empty((window, live, h.shape[1]), np.float32)
-                x = last
+                states = np.empty((window, *h.shape), np.float32)
+                inputs = self.inputs(np.vstack([last, ys.T[:-1]]))
                 for t in range(window):
-                    h, _ = self.step(x, h)
+                    h, _ = self.step(inputs[t], h, ut)
                     states[t] = h
-                    x = ys[:, t]
-                last = x
+                last = ys[:, -1]
                 valid = np.arange(window)[None, :] < (lens - t0)[:, None]
-                lp = self.log_probs(states.transpose(1, 0, 2)[valid], ys[valid])
+                lp = self.log_probs(np.ascontiguousarray(states.transpose(2, 0, 1))[valid], ys[valid])
                 total[own] += np.bincount(np.repeat(np.arange(live), valid.sum(1)), lp, live)
         return total
 
@@ -118,58 +132,62 @@ class Gru:
         """Loss per symbol, gradients and last state over a window of lanes [T, B]; fresh marks the steps at which a document begins (state 0).
         Of Wx come the rows that occur, "rows" naming them; of Wo and bo the classes that occur, "own" naming them."""
         p, steps, size = self.p, len(xs), h.shape[1]
-        stays = (~fresh[..., None]).astype(h.dtype)
-        caches, hs = [], np.empty((steps, *h.shape), h.dtype)
+        ut = np.ascontiguousarray(p["U"].T)
+        stays = (~fresh).astype(h.dtype)
+        h = np.ascontiguousarray(h.T)
+        caches, hs, inputs = [], np.empty((steps, *h.shape), h.dtype), self.inputs(xs)
         for t in range(steps):
-            h, cache = self.step(xs[t], h * stays[t])
+            h, cache = self.step(inputs[t], h * stays[t], ut)
             caches.append(cache)
             hs[t] = h
-        states, y = hs.reshape(-1, size), ys.ravel()
+        states, y = np.ascontiguousarray(hs.transpose(0, 2, 1)).reshape(-1, size), ys.ravel()
         n = len(y)
         c, order, runs, place = self._by_class(y)
-        prob = states @ p["Wc"] + p["bc"]
-        np.exp(prob, out=prob)
-        prob /= _rows_sum(prob)[:, None]
-        pick = (np.arange(n), c)
-        loss = -np.log(prob[pick] + 1e-30).sum(dtype=np.float64)
-        prob[pick] -= 1
-        g = {"Wc": states.T @ prob / n, "bc": prob.sum(0) / n, "own": np.array([k - 1 for k, _, _ in runs], np.int64)}
-        own = states[order]
-        down = np.zeros_like(own)
-        wo, bo = np.empty((len(runs), *p["Wo"].shape[1:]), h.dtype), np.empty((len(runs), CLASS), h.dtype)
+        # exponentials aren't divided by their sums one by one: what they are multiplied with is, and a last row of weights stands for the biases
+        ones = _with_one(states)
+        wc = np.vstack([p["Wc"], p["bc"]])
+        gc, dhs, loss = np.zeros_like(wc), np.empty_like(states), 0.0
+        for a in range(0, n, BLOCK):
+            s = ones[a : a + BLOCK]
+            q, part = s @ wc, dhs[a : a + BLOCK]
+            loss += _softmax_gradient(q, s, c[a : a + BLOCK], p["Wc"], gc, part)
+        gc /= n
+        g = {"Wc": gc[:-1], "bc": gc[-1], "own": np.array([k - 1 for k, _, _ in runs], np.int64)}
+        own = ones[order]
+        down = np.zeros_like(states)
+        wo = np.concatenate([p["Wo"], p["bo"][:, None]], axis=1)
+        go = np.zeros((len(runs), *wo.shape[1:]), h.dtype)
         for i, (k, a, b) in enumerate(runs):
-            q = own[a:b] @ p["Wo"][k - 1] + p["bo"][k - 1]
-            np.exp(q, out=q)
-            q /= _rows_sum(q)[:, None]
-            at = (np.arange(b - a), place[a:b])
-            loss -= np.log(q[at] + 1e-30).sum(dtype=np.float64)
-            q[at] -= 1
-            wo[i], bo[i] = own[a:b].T @ q / n, q.sum(0) / n
-            down[a:b] = q @ p["Wo"][k - 1].T
-        g["Wo"], g["bo"] = wo, bo
-        dhs = prob @ p["Wc"].T
+            s = own[a:b]
+            loss += _softmax_gradient(s @ wo[k - 1], s, place[a:b], p["Wo"][k - 1], go[i], down[a:b])
+        go /= n
+        g["Wo"], g["bo"] = go[:, :-1], go[:, -1]
         dhs[order] += down
-        dhs = (dhs / n).reshape(hs.shape)
+        dhs = np.ascontiguousarray((dhs / n).reshape(steps, -1, size).transpose(0, 2, 1))
         dh, g["U"] = np.zeros_like(h), np.zeros_like(p["U"])
-        das = np.empty((steps, len(h), 3 * size), h.dtype)
+        das = np.empty((steps, 3 * size, h.shape[1]), h.dtype)
         for t in range(steps - 1, -1, -1):
-            _, prev, z, r, new, gn = caches[t]
+            prev, z, r, new, gn = caches[t]
             dh += dhs[t]
             da = das[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            da[:, :size] = dh * (prev - new) * z * (1 - z)
-            da[:, size : 2 * size] = dnew * gn * r * (1 - r)
-            da[:, 2 * size :] = dnew
-            dg = da.copy()
-            dg[:, 2 * size :] *= r
-            g["U"] += prev.T @ dg
-            dh = (dh * z + dg @ p["U"].T) * stays[t]
+            less = 1 - z
+            dnew = np.multiply(dh, less, out=da[2 * size :])
+            dnew *= 1 - new * new
+            np.multiply(dh * (prev - new), z * less, out=da[:size])
+            dgn = dnew * r
+            np.multiply(dgn * (1 - r), gn, out=da[size : 2 * size])
+            dg = np.concatenate([da[: 2 * size], dgn])
+            g["U"] += prev @ dg.T
+            dh *= z
+            dh += p["U"] @ dg
+            dh *= stays[t]
+        das = np.ascontiguousarray(das.transpose(0, 2, 1)).reshape(n, -1)
         x = xs.ravel()
         order = np.argsort(x.astype(np.uint16) if len(p["Wx"]) <= 1 << 16 else x, kind="stable")
         x = x[order]
         at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        g["rows"], g["Wx"] = x[at], np.add.reduceat(das.reshape(n, -1)[order], at, axis=0)
-        return float(loss / n), g, h
+        g["rows"], g["Wx"] = x[at], np.add.reduceat(das[order], at, axis=0)
+        return float(loss / n), g, h.T
 
     def trainer(self, rate: float, lanes: int = LANES, window: int = WINDOW) -> "Trainer":
         return Trainer(self, rate, lanes, window)
@@ -236,10 +254,30 @@ class Trainer:
                 self.model.p[k][at] -= self.rate * d / np.sqrt(q)
 
 
+def _with_one(x: np.ndarray) -> np.ndarray:
+    """Rows with a 1 behind them."""
+    out = np.empty((len(x), x.shape[1] + 1), x.dtype)
+    out[:, :-1], out[:, -1] = x, 1
+    return out
+
+
+def _softmax_gradient(q: np.ndarray, states: np.ndarray, y: np.ndarray, weights: np.ndarray, g: np.ndarray, down: np.ndarray) -> float:
+    """Loss of a softmax over logits q, which are used up, for places y. Adds the gradient of the weights (the biases' last) to g; down gets that of the states."""
+    np.exp(q, out=q)
+    total = _rows_sum(q)
+    at = (np.arange(len(y)), y)
+    own = q[at]
+    q[at] = own - total
+    share = 1 / total
+    g += (states * share[:, None]).T @ q
+    np.multiply(q @ weights.T, share[:, None], out=down)
+    return -float(np.log(own * share + 1e-30).sum(dtype=np.float64))
+
+
 def _rows_sum(x: np.ndarray) -> np.ndarray:
     return x @ np.ones(x.shape[1], x.dtype)
 
 
 def _lse(x: np.ndarray) -> np.ndarray:
-    """Log of the sum of exponentials of each row; logits are moderate, so no maximum is taken out."""
-    return np.log(_rows_sum(np.exp(x)))
+    """Log of the sum of exponentials of each row, which are left in x; logits are moderate, so no maximum is taken out."""
+    return np.log(_rows_sum(np.exp(x, out=x)))

@@ -141,6 +141,7 @@ def score(docs: DataFrame, trained: Column, held: Column, rounds: int = ROUNDS,
     shared = sc.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel.keep_freed()
         lx, net = lexicon.value, shared.value
         uid = TaskContext.get().partitionId() << 40  # and the number of the row in its partition
         for batch in batches:
@@ -222,6 +223,7 @@ def _round(share: DataFrame, lexicon, model: gru.Gru, sc, rate: float) -> gru.Gr
     shared = sc.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel.keep_freed()
         learner = shared.value.trainer(rate)
         for batch in batches:
             for _, _, w, _, _, sym in _symbols(lexicon.value, batch.column("text")):

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import tracemalloc
 import random
 import re
 import zlib
@@ -610,6 +611,25 @@ def test_gru_gradients():
     assert np.allclose(m.score([np.array([3, 1]), np.array([5] * 70 + [1])], window=32), m.score([np.array([3, 1]), np.array([5] * 70 + [1])], window=7))
 
 
+def test_gru_holds_few_class_logits():
+    m = gru.Gru.fresh(np.arange(1, 8190.0)[::-1].copy())
+    r = np.random.default_rng(4)
+    states, y = r.normal(size=(40_000, 16)).astype(np.float32), r.integers(0, 8189, 40_000)
+    tracemalloc.start()
+    got = m.log_probs(states, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16_000_000  # all logits of the classes and their exponentials alone are 21 MB
+    for i in range(0, 40_000, 997):
+        logits = states[i].astype(np.float64) @ m.p["Wc"] + m.p["bc"]
+        c = (y[i] + gru.CLASS - 1) // gru.CLASS
+        want = logits[c] - np.log(np.exp(logits).sum())
+        if c:
+            inner = states[i].astype(np.float64) @ m.p["Wo"][c - 1] + m.p["bo"][c - 1]
+            want += inner[(y[i] - 1) % gru.CLASS] - np.log(np.exp(inner).sum())
+        assert abs(got[i] - want) < 1e-3
+
+
 def test_lm_scoring(docs, empty):
     got = by_id(lm_scoring.op1(docs.union(docs.where('doc_id = 4'))))
     words = {i: WORD.findall(low(t)) + [None] for i, t in ROWS}
