@@ -10,6 +10,7 @@ Pieces are encoded by the library's own BPE model, behind its byte alphabet, eac
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -48,7 +49,7 @@ def _byte_alphabet() -> list[str]:
     return out
 
 
-_ALPHABET = dict(enumerate(_byte_alphabet()))
+_ALPHABET = "".join(_byte_alphabet())
 _readers: dict[tuple[str, str], "Reader"] = {}
 
 
@@ -113,7 +114,7 @@ class Reader:
 
     def _bpe(self, word: str) -> bytes:
         """Ids of one pre-token."""
-        shown = word.translate(_ALPHABET) if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET)
+        shown = codecs.charmap_decode(word.encode(), "strict", _ALPHABET)[0]
         return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _token(self, word: str) -> bytes:
@@ -131,15 +132,11 @@ class Reader:
             return self.store.raw(at)
         return array(self.code, [t.id for t in self.model.tokenize(_ALPHABET[32] + word)]).tobytes() if word.isascii() else self._bpe(" " + word)
 
-    def _piece(self, piece: str) -> int:
-        if piece.isalpha():
-            found = self._word(piece)
-        elif piece[-1:] in _CLOSING and piece[:-1].isalpha():
-            found = self._word(piece[:-1]) + self._token(piece[-1])
-        else:
-            found = b"".join(map(self._token, self.pattern.findall(" " + piece)))
-        self.pieces[piece] = at = self.store.add(found)
-        return at
+    def _encoded(self, piece: str) -> bytes:
+        """Ids of a piece behind a space that isn't a run of letters."""
+        if piece[-1:] in _CLOSING and piece[:-1].isalpha():
+            return self._word(piece[:-1]) + self._token(piece[-1])
+        return b"".join(map(self._token, self.pattern.findall(" " + piece)))
 
     def _opening(self, piece: str) -> int:
         at = self.openings.get(piece)
@@ -156,14 +153,20 @@ class Reader:
         if len(self.pieces) + len(self.openings) + len(names) > PIECES:
             self._forget()
         slots = list(map(self.pieces.get, names))
-        known, add, code, tokenize, space = self.pieces, self.store.add, self.code, self.model.tokenize, _ALPHABET[32]
+        known, code, tokenize, space = self.pieces, self.code, self.model.tokenize, _ALPHABET[32]
+        shown = codecs.charmap_decode
+        new, settled = self.store.new, self.store.slots
         for i, x in enumerate(slots):
             if x is None:
                 piece = names[i]
-                if piece.isascii() and piece.isalpha():
-                    slots[i] = known[piece] = add(array(code, [t.id for t in tokenize(space + piece)]).tobytes())
+                if piece.isalpha():
+                    # such a run of letters is a pre-token with the space before it
+                    word = space + (piece if piece.isascii() else shown(piece.encode(), "strict", _ALPHABET)[0])
+                    found = array(code, [t.id for t in tokenize(word)]).tobytes()
                 else:
-                    slots[i] = self._piece(piece)
+                    found = self._encoded(piece)
+                slots[i] = known[piece] = settled + len(new)
+                new.append(found)
         of = np.array(slots, np.int64)[coded.indices.to_numpy()]
         of[first] = [self._opening(p) for p in pieces.take(pa.array(first)).to_pylist()]
         ids, n = self.store.gather(of)

@@ -30,6 +30,8 @@ from kbforge.llm.scratch import written
 WINDOW, END_ID = 1024, 0
 #: Left-overs of a shard; tokens that each draws as its key; BM25 parameters.
 SHARD, SKETCH, K1, B = 2048, 4, 1.2, 0.75
+#: Neighbours of a seed that are sorted at first.
+BEST = 32
 
 _CUT = "kind int, doc_id bigint, start bigint, length bigint, doc_tokens bigint, crc bigint, ids binary, sequence_id bigint"
 _NAMES = ["kind", "doc_id", "start", "length", "doc_tokens", "crc", "ids", "sequence_id"]
@@ -44,6 +46,7 @@ def _cut(tokenizer_path: str, pattern: str, window: int, with_ids: bool):
     """Rows (doc_id, text) to rows of kind 0: a whole window; 1: a left-over with its ids; 2: the partition's document frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel.keep_freed()
         reader = fast_ids.reader(tokenizer_path, pattern)
         frequency = np.zeros(reader.tokenizer.get_vocab_size() + 1, np.int64)
         place = np.zeros(len(frequency), np.int64)
@@ -69,6 +72,7 @@ def _cut(tokenizer_path: str, pattern: str, window: int, with_ids: bool):
                 yield _rows(out)
         if n_docs:
             yield _rows([(2, None, None, n_docs, n_tokens, None, frequency.astype("<i8").tobytes(), None)])
+        kernel.release()
 
     return run
 
@@ -156,6 +160,18 @@ class Index:
         self.matrix, self.live = self.matrix[:, stays], self.live[stays]
 
 
+def _ranking(s: np.ndarray) -> Iterator[int]:
+    """Places of scores above 0, highest first, equal ones in order. Few are asked for as a rule: BEST, with those that tie, are sorted first."""
+    best = np.flatnonzero(s > 0)
+    if len(best) > 4 * BEST:
+        own = s[best]
+        least = np.partition(own, len(best) - BEST)[len(best) - BEST]
+        first = best[own >= least]
+        yield from first[np.argsort(-s[first], kind="stable")].tolist()
+        best = best[own < least]
+    yield from best[np.argsort(-s[best], kind="stable")].tolist()
+
+
 def fill(lengths: list[int], index: Index, window: int) -> list[list[tuple[int, int, int]]]:
     """Windows as lists of (left-over, from, length). Every id is placed once; all windows but the last are full."""
     start = [0] * len(lengths)
@@ -183,11 +199,10 @@ def fill(lengths: list[int], index: Index, window: int) -> list[list[tuple[int,
                 index.keep(free)
             s = index.scores(seed)
             s[~free[index.live]] = 0
-            best = np.flatnonzero(s > 0)
-            for i in index.live[best[np.argsort(-s[best], kind="stable")]].tolist():
+            for i in _ranking(s):
                 if not room:
                     break
-                take(i)
+                take(int(index.live[i]))
         after = cursor
         while room and after < len(left):
             if left[after]:
@@ -216,6 +231,7 @@ def _pack(idf_shared, mean_length: float, dtype: np.dtype, window: int, shard: i
         return pa.RecordBatch.from_pydict(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel.keep_freed()
         base = TaskContext.get().partitionId() << 32
         held: list[pa.RecordBatch] = []
         size = 0

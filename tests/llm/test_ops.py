@@ -3,9 +3,9 @@
 import collections
 import hashlib
 import math
-import tracemalloc
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -587,6 +587,18 @@ def test_transport_stream_damage():
     assert transport_stream.demux(bytes(bad)).bad_tables == 1
 
 
+def test_ranking_sorts_few_first(monkeypatch):
+    """The ranking is that of a stable sort of all, ties included; the first ones come without it."""
+    r = np.random.default_rng(6)
+    for n, most in ((0, 1), (5, 3), (200, 2), (2000, 4), (2000, 10_000)):
+        s = r.integers(0, most, n).astype(np.float64)
+        assert list(packing._ranking(s)) == [i for i in np.argsort(-s, kind="stable").tolist() if s[i] > 0]
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(packing.np, "argsort", lambda x, **k: sizes.append(len(x)) or sort(x, **k))
+    next(packing._ranking(r.random(2000)))
+    assert sizes == [packing.BEST]
+
+
 def test_gru_gradients():
     r = np.random.default_rng(0)
     m = gru.Gru.fresh(np.arange(1, 290.0)[::-1].copy(), hidden=5)
