@@ -15,7 +15,7 @@ LANES, WINDOW, PORTION = 512, 16, 8
 FIRST_LANES = 32
 TAIL, END = 0, 1
 #: Rows whose class logits are held at a time: they stay in a core's cache.
-BLOCK = 2048
+BLOCK = 1024
 
 
 class Gru:
@@ -94,9 +94,11 @@ class Gru:
             out[a : a + BLOCK] = logits[np.arange(len(logits)), c[a : a + BLOCK]] - _lse(logits)
         own = hs[order]
         wo = np.concatenate([self.p["Wo"], self.p["bo"][:, None]], axis=1)
-        for k, a, b in runs:
-            inner = own[a:b] @ wo[k - 1]
-            inside[a:b] = inner[np.arange(b - a), place[a:b]] - _lse(inner)
+        for k, first, last in runs:
+            for a in range(first, last, BLOCK):
+                b = min(a + BLOCK, last)
+                inner = own[a:b] @ wo[k - 1]
+                inside[a:b] = inner[np.arange(b - a), place[a:b]] - _lse(inner)
         out[order] += inside
         return out
 
@@ -118,9 +120,9 @@ class Gru:
                     part = docs[i][t0 : t0 + window]
                     ys[k, : len(part)] = part
                 states = np.empty((window, *h.shape), np.float32)
-                inputs = self.inputs(np.vstack([last, ys.T[:-1]]))
+                xs = np.vstack([last, ys.T[:-1]])
                 for t in range(window):
-                    h, _ = self.step(inputs[t], h, ut)
+                    h, _ = self.step(self.inputs(xs[t : t + 1])[0], h, ut)
                     states[t] = h
                 last = ys[:, -1]
                 valid = np.arange(window)[None, :] < (lens - t0)[:, None]
@@ -157,9 +159,11 @@ class Gru:
         down = np.zeros_like(states)
         wo = np.concatenate([p["Wo"], p["bo"][:, None]], axis=1)
         go = np.zeros((len(runs), *wo.shape[1:]), h.dtype)
-        for i, (k, a, b) in enumerate(runs):
-            s = own[a:b]
-            loss += _softmax_gradient(s @ wo[k - 1], s, place[a:b], p["Wo"][k - 1], go[i], down[a:b])
+        for i, (k, first, last) in enumerate(runs):
+            for a in range(first, last, BLOCK):
+                b = min(a + BLOCK, last)
+                s = own[a:b]
+                loss += _softmax_gradient(s @ wo[k - 1], s, place[a:b], p["Wo"][k - 1], go[i], down[a:b])
         go /= n
         g["Wo"], g["bo"] = go[:, :-1], go[:, -1]
         dhs[order] += down
@@ -181,12 +185,13 @@ class Gru:
             dh *= z
             dh += p["U"] @ dg
             dh *= stays[t]
-        das = np.ascontiguousarray(das.transpose(0, 2, 1)).reshape(n, -1)
         x = xs.ravel()
         order = np.argsort(x.astype(np.uint16) if len(p["Wx"]) <= 1 << 16 else x, kind="stable")
         x = x[order]
         at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        g["rows"], g["Wx"] = x[at], np.add.reduceat(das[order], at, axis=0)
+        # a gate is one piece of memory, in which what comes to a symbol is added up
+        das = np.ascontiguousarray(das.transpose(1, 0, 2)).reshape(3 * size, n)
+        g["rows"], g["Wx"] = x[at], np.ascontiguousarray(np.add.reduceat(das.take(order, axis=1, mode="clip"), at, axis=1).T)
         return float(loss / n), g, h.T
 
     def trainer(self, rate: float, lanes: int = LANES, window: int = WINDOW) -> "Trainer":
@@ -249,9 +254,12 @@ class Trainer:
             for k in Gru.NAMES:
                 at = g["rows"] if k == "Wx" else g["own"] if k in ("Wo", "bo") else slice(None)
                 d = np.clip(g[k], -1, 1)
-                q = self.squares[k][at] + d * d
+                q = d * d
+                q += self.squares[k][at]
                 self.squares[k][at] = q
-                self.model.p[k][at] -= self.rate * d / np.sqrt(q)
+                d *= self.rate
+                d /= np.sqrt(q, out=q)
+                self.model.p[k][at] -= d
 
 
 def _with_one(x: np.ndarray) -> np.ndarray:

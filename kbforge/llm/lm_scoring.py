@@ -32,6 +32,8 @@ ROUNDS, RATE = 3, 0.3
 #: Weights that travel in one row.
 CHUNK = 8192
 _MERGE_AT = 1 << 20
+#: Leading bits of a hash by which the head is looked up.
+_LEADING = 18
 #: Words whose documents a task scores side by side.
 SIDE_BY_SIDE = 2_000_000
 
@@ -75,13 +77,22 @@ class Lexicon:
         s = np.where(np.arange(len(rank)) < vocabulary, np.arange(len(rank)) + 2, 0)
         order = np.argsort(h)
         self.hashes, self.counts, self.symbols = h[order], c[order], s[order].astype(np.int64)
+        # hashes are spread evenly, so where those with the same leading bits begin is next to the place
+        self.begin = np.searchsorted(self.hashes, np.arange(1 << _LEADING, dtype=np.uint64) << np.uint64(64 - _LEADING)).astype(np.int32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place of each hash, -1 if absent."""
         if not len(self.hashes):
             return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
+        last = len(self.hashes) - 1
+        at = np.minimum(self.begin.take((h >> np.uint64(64 - _LEADING)).view(np.int64)), last).astype(np.int64)
+        found = self.hashes.take(at)
+        late = np.flatnonzero((found < h) & (at < last))
+        while len(late):
+            at[late] += 1
+            found[late] = more = self.hashes.take(at[late])
+            late = late[(more < h[late]) & (at[late] < last)]
+        return np.where(found == h, at, -1)
 
 
 def _symbols(lex: Lexicon, column: pa.Array) -> Iterator[tuple[int, int, kernel.Words, np.ndarray, np.ndarray, np.ndarray]]:

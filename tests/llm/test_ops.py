@@ -585,6 +585,31 @@ def test_range_coder_finds_classes():
             assert c.tolist() == [int(np.searchsorted(row[1:], v, "right")) for row, v in zip(classes.stops, value)]
 
 
+def test_lexicon_places():
+    r = np.random.default_rng(11)
+    top = np.array([0, 1, (1 << 46) - 1, 1 << 46, (1 << 64) - 1], np.uint64)
+    for known in (top[:0], top[:1], top[-1:], top[1:4], np.unique(np.concatenate([top, r.integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2), np.arange(7 << 50, (7 << 50) + 90, dtype=np.uint64)]))):
+        lex = lm_scoring.Lexicon([(int(h), 1) for h in known.view(np.int64)], 3)
+        asked = np.concatenate([known, top, r.integers(0, 1 << 63, 300, np.uint64), known + np.uint64(1)])
+        at = lex.find(asked)
+        assert ((at >= 0) == np.isin(asked, known)).all() and (lex.hashes[at[at >= 0]] == asked[at >= 0]).all()
+
+
+def test_lexicon_is_not_searched_bit_by_bit():
+    r = np.random.default_rng(12)
+    lex = lm_scoring.Lexicon([(int(h), 1) for h in r.integers(-(1 << 62), 1 << 62, 65_536) * 2], 8190)
+    asked = r.permutation(np.concatenate([np.tile(lex.hashes, 8), r.integers(0, 1 << 63, 1 << 18, np.uint64)]))
+    ratios = []
+    for _ in range(5):
+        t = time.thread_time()
+        want = np.searchsorted(lex.hashes, asked)
+        u = time.thread_time()
+        at = lex.find(asked)
+        ratios.append((time.thread_time() - u) / (u - t))
+    assert (at[at >= 0] == want[at >= 0]).all() and (at >= 0).sum() == 8 * 65_536
+    assert min(ratios) < 0.7  # above 1 where places come from that search
+
+
 def test_transport_stream(docs, empty):
     got = by_id(transport_stream.op5(docs))
     for i, t in ROWS:
