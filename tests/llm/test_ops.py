@@ -607,7 +607,7 @@ def test_lexicon_is_not_searched_bit_by_bit():
         at = lex.find(asked)
         ratios.append((time.thread_time() - u) / (u - t))
     assert (at[at >= 0] == want[at >= 0]).all() and (at >= 0).sum() == 8 * 65_536
-    assert min(ratios) < 0.7  # above 1 where places come from that search
+    assert min(ratios) < 0.7  # about 1 where places come from that search
 
 
 def test_transport_stream(docs, empty):
