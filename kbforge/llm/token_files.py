@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from kbforge.llm import fast_ids, kernel
 from kbforge.llm.scratch import written
 
-BLOCK, FILE_IDS, END_ID = 2048, 1 << 23, 0
+BLOCK, FILE_IDS, END_ID = 2048, 1 << 22, 0
 #: Slots of a context table; classes of order 0, most of them for one id each, and how many of them are searched at a time.
-SLOTS, CLASSES, SINGLE, RUN = 512, 512, 480, 8
+SLOTS, CLASSES, SINGLE, RUN = 1024, 512, 480, 8
 #: Confidences and frequency steps of both guesses, and whether they are the same; groups of them; steps between which weights and estimates learn.
 SITUATIONS, GROUPS, STRETCH = 512, 32, 32
 #: Weight of the file's frequencies when a block begins, and of each id that comes.
