@@ -33,6 +33,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def rounded(c: Column, places: int) -> Column:
+    """A double at so many places as C and SQL engines round it, half away from zero in binary: F.round takes the shortest decimal instead, so
+    0.5105, whose thousandfold is just below 510.5, becomes 0.511 there and 0.51 here. A negative zero stays one; what would overflow stays as it is."""
+    many = c * 10.0**places
+    whole = F.when(many > 0, F.round(many)).when(many < 0, -F.round(-many)).otherwise(many)
+    return F.when(F.abs(many) == float("inf"), c).otherwise(whole / 10.0**places)
+
+
 def l2_norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
@@ -56,7 +64,7 @@ def padded_left(mask: Column, batch: list[Column]) -> Column:
 def knn_topk(items: DataFrame, query: list[float], k: int = TOP_K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Rows (rank, key, score) of the k best items for one query: a partial top-k in every task, merged."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    best = items.select(key, F.round(dot(F.col(vector), q), PLACES).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    best = items.select(key, rounded(dot(F.col(vector), q), PLACES).alias("score")).orderBy(F.desc("score"), key).limit(k)
     return best.select(F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("rank"), key, "score")
 
 
@@ -64,6 +72,15 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
 
 
+def _rounded(s: np.ndarray) -> np.ndarray:
+    """rounded() for scores in an array; np.round would take halves to the even neighbour."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        many = s * 10.0**PLACES
+        whole = np.trunc(many)
+        whole += np.copysign(np.abs(many - whole) >= 0.5, many)
+    return np.where(np.isinf(many), s, whole / 10.0**PLACES)
+
+
 def _merged(best_s: np.ndarray, best_k: np.ndarray, s: np.ndarray, keys: np.ndarray, k: int, finite: bool) -> tuple[np.ndarray, np.ndarray]:
     """A row's best scores and keys (k, or all so far) with those of more items; s isn't rounded yet. What can't be among the k best is left
     out by a bound that is lower than theirs by more than rounding makes up; equal scores go by key."""
@@ -77,7 +94,7 @@ def _merged(best_s: np.ndarray, best_k: np.ndarray, s: np.ndarray, keys: np.ndar
         return best_s, best_k
     rows = np.unique(row)
     of = np.concatenate([np.repeat(rows, m), row])
-    scores, ids = np.concatenate([best_s[rows].ravel(), np.round(s[row, col], PLACES)]), np.concatenate([best_k[rows].ravel(), keys[col]])
+    scores, ids = np.concatenate([best_s[rows].ravel(), _rounded(s[row, col])]), np.concatenate([best_k[rows].ravel(), keys[col]])
     order = np.lexsort((ids, -scores, of))
     of = of[order]
     order = order[np.arange(len(of)) - np.searchsorted(of, of) < k].reshape(len(rows), -1)

@@ -22,3 +22,41 @@ def test_oracle(spark, sf, name):
     assert sorted(got.columns) == sorted(want.columns)
     rows = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).values.tolist()))
     assert rows(got) == rows(want)
+
+
+def _same_as_sql(spark, folder, name, tables):
+    """The query and its SQL over small tables of their own."""
+    db = duckdb.connect()
+    for table, made in tables.items():
+        db.execute(f"COPY ({made}) TO '{folder}/{table}.parquet' (FORMAT parquet)")
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    want = db.execute(entry.oracle_sql()[name]).df()
+    got = entry.queries()[name](spark, str(folder)).toPandas()[list(want.columns)]
+    rows = lambda df: sorted(map(repr, df.astype(object).where(df.notna(), None).values.tolist()))
+    assert rows(got) == rows(want)
+    return got
+
+
+#: Products with the first vector that are halves at three places, one side or the other of them in binary, and negative ones that round to zero.
+_HALVES = "SELECT i AS vec_id, [x::FLOAT, (CASE WHEN i = 0 THEN 0 ELSE 1 END)::FLOAT] AS embedding, 0::INTEGER AS label FROM (SELECT unnest([{values}]) AS x, unnest(range({n})) AS i)"
+
+
+def _halves(*values):
+    return {"embeddings": _HALVES.format(values=", ".join(map(str, (1.0, *values))), n=len(values) + 1)}
+
+
+@pytest.mark.parametrize("name", ["answer_with_sources"])
+def test_scores_at_three_places_round_as_in_sql(spark, tmp_path, name):
+    got = _same_as_sql(spark, tmp_path, name, _halves(0.5105, 0.9125, 0.2555, 0.1005))
+    assert "0.5100" in got.iloc[0, 1]  # 0.5110 by the shortest decimal
+    low = tmp_path / "low"
+    low.mkdir()
+    got = _same_as_sql(spark, low, name, _halves(-0.0000001, -0.0003, -0.0005, -0.0015))
+    assert "-0.0000" in got.iloc[0, 1]
+
+
+@pytest.mark.parametrize("name", ["knn_topk", "knn_topk_batch", "knn_cells"])
+def test_scores_at_six_places_round_as_in_sql(spark, tmp_path, name):
+    """Products that are halves in binary: 0.0078125 is 0.007813, not the even 0.007812."""
+    got = _same_as_sql(spark, tmp_path, name, _halves(0.0078125, 0.0234375, -0.0078125, 0.0000004))
+    assert 0.007813 in got.score.tolist() and -0.007813 in got.score.tolist()
