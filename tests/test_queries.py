@@ -45,7 +45,7 @@ def _halves(*values):
     return {"embeddings": _HALVES.format(values=", ".join(map(str, (1.0, *values))), n=len(values) + 1)}
 
 
-@pytest.mark.parametrize("name", ["answer_with_sources", "build_context", "build_context_search"])
+@pytest.mark.parametrize("name", ["answer_with_sources", "build_context", "build_context_search", "build_context_sources"])
 def test_scores_at_three_places_round_as_in_sql(spark, tmp_path, name):
     got = _same_as_sql(spark, tmp_path, name, _halves(0.5105, 0.9125, 0.2555, 0.1005))
     assert "0.5100" in got.iloc[0, 1]  # 0.5110 by the shortest decimal
