@@ -76,3 +76,8 @@ def _titled():
 def test_cut_off_references_and_empty_titles_as_in_sql(spark, tmp_path, name):
     got = _same_as_sql(spark, tmp_path, name, _titled())
     assert " - chunk 1" in got.source_title.tolist() and "token = &quot - chunk 1" in got.source_title.tolist()
+
+
+@pytest.mark.parametrize("name", ["crawl_records", "page_titles", "html_extract", "html_extract_base", "extract_links", "decode_bodies"])
+def test_pages_with_cut_off_references_as_in_sql(spark, tmp_path, name):
+    _same_as_sql(spark, tmp_path, name, _titled())
